@@ -20,73 +20,71 @@ from spanmill.functions.vocabulary import (
 )
 
 REPLACEMENT = chr(0xFFFD)
+SEPARATOR = chr(0x100)
 
 
-def _hex_table() -> Column:
-    """UTF-8 hex of each id on its own; a stray letter prints as U+0100 and up."""
+def _spelling() -> Column:
+    """The bytes of each id on its own, one Latin-1 character per byte; stray letters print as U+0100 and up."""
     literals = {i: token for token, i in special_tokens().items()}
-    cells = []
-    for i in range(SIZE):
-        if i in literals:
-            raw = literals[i].encode()
-        elif i < INITIAL_BASE:
-            raw = bytes([i - BYTE_BASE])
-        else:
-            raw = chr(i - BYTE_BASE).encode()
-        cells.append(raw.hex().upper())
-    return F.split(F.lit(",".join(cells)), ",")
 
+    def alone(i: int) -> bytes:
+        if i in literals:
+            return literals[i].encode()
+        return bytes([i - BYTE_BASE]) if i < INITIAL_BASE else chr(i - BYTE_BASE).encode()
 
-def _in_block(x: Column, start: int, end: int) -> Column:
-    return F.coalesce((x >= start) & (x < end), F.lit(False))
+    # No cell holds the separator, which lies beyond Latin-1; the split folds to one constant.
+    return F.split(F.lit(SEPARATOR.join(alone(i).decode("latin-1") for i in range(SIZE))), SEPARATOR)
 
 
-def _hex_cells(ids: Column, table: Column) -> Column:
-    initial = lambda x: _in_block(x, INITIAL_BASE, VOWEL_BASE)
-    vowel = lambda x: _in_block(x, VOWEL_BASE, FINAL_BASE)
-    final = lambda x: _in_block(x, FINAL_BASE, SENTINEL_BASE)
+def _spelled(ids: Column, table: Column) -> Column:
+    """One string per id; the three letters of a syllable give its three bytes."""
 
     def cell(x: Column, i: Column) -> Column:
+        def is_syllable(first: Column, second: Column, third: Column) -> Column:
+            return (
+                first.between(INITIAL_BASE, VOWEL_BASE - 1)
+                & second.between(VOWEL_BASE, FINAL_BASE - 1)
+                & third.between(FINAL_BASE, SENTINEL_BASE - 1)
+            )
+
+        def code(first: Column, second: Column, third: Column) -> Column:
+            constant = FIRST_SYLLABLE - (INITIAL_BASE * VOWELS + VOWEL_BASE) * FINALS - FINAL_BASE
+            return (first * VOWELS + second) * FINALS + third + constant
+
+        byte = lambda value: F.get(table, value + BYTE_BASE)
         at = lambda step: F.get(ids, i + step)
-        code = (
-            (x - INITIAL_BASE) * (VOWELS * FINALS)
-            + (at(1) - VOWEL_BASE) * FINALS
-            + (at(2) - FINAL_BASE)
-            + FIRST_SYLLABLE
-        )
-        # The three UTF-8 bytes of the syllable, side by side in one integer.
-        utf8 = (
-            F.lit(0xE08080)
-            + F.shiftleft(F.shiftright(code, 12), 16)
-            + F.shiftleft(F.shiftright(code, 6).bitwiseAND(0x3F), 8)
-            + code.bitwiseAND(0x3F)
-        )
+        initial, vowel, final = (x, at(1), at(2)), (at(-1), x, at(1)), (at(-2), at(-1), x)
         return (
-            F.when(x < INITIAL_BASE, F.get(table, x))
-            .when(initial(x) & vowel(at(1)) & final(at(2)), F.hex(utf8))
-            .when(vowel(x) & initial(at(-1)) & final(at(1)), F.lit(""))
-            .when(final(x) & vowel(at(-1)) & initial(at(-2)), F.lit(""))
+            F.when((x < INITIAL_BASE) | (x >= SENTINEL_BASE), F.get(table, x))
+            .when((x < VOWEL_BASE) & is_syllable(*initial), byte(F.shiftright(code(*initial), 12) + 0xE0))
+            .when(
+                (x >= VOWEL_BASE) & (x < FINAL_BASE) & is_syllable(*vowel),
+                byte(F.shiftright(code(*vowel), 6).bitwiseAND(0x3F) + 0x80),
+            )
+            .when((x >= FINAL_BASE) & is_syllable(*final), byte(code(*final).bitwiseAND(0x3F) + 0x80))
             .otherwise(F.get(table, x))
         )
 
-    return F.transform(ids, cell)
+    is_letter = lambda x: (x >= INITIAL_BASE) & (x < SENTINEL_BASE)
+    plain = F.transform(ids, lambda x: F.get(table, x))
+    return F.when(F.exists(ids, is_letter), F.transform(ids, cell)).otherwise(plain)
 
 
 def _valid_text(cells: Column) -> Column:
     """Bytes to text; undecodable bytes vanish, a U+FFFD that was in the text stays."""
-    runs = F.split(F.array_join(cells, " "), "EF BF BD")
+    kept = REPLACEMENT.encode().decode("latin-1")
 
     def run_text(run: Column) -> Column:
-        raw = F.unhex(F.replace(run, F.lit(" "), F.lit("")))
-        return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit(REPLACEMENT), F.lit(""))
+        raw = F.encode(run, "ISO-8859-1").cast("string")
+        return F.replace(F.make_valid_utf8(raw), F.lit(REPLACEMENT), F.lit(""))
 
-    return F.array_join(F.transform(runs, run_text), REPLACEMENT)
+    return F.array_join(F.transform(F.split(F.array_join(cells, ""), kept), run_text), REPLACEMENT)
 
 
 def decode_ids(ids: Column | str) -> Column:
     """Token ids to text: letter triples rejoin to syllables, special ids print as literals."""
     ids = F.col(ids) if isinstance(ids, str) else ids
-    return bind(ids, lambda v: _valid_text(_hex_cells(v, _hex_table())))
+    return bind(ids, lambda v: _valid_text(_spelled(v, _spelling())))
 
 
 def decode_bytes(ids: Column | str) -> Column:

@@ -88,6 +88,16 @@ def noise_counts(tokens: Column, density: float = NOISE_DENSITY, mean_span: floa
     return noise, F.least(spans, tokens - noise).cast("int")
 
 
+def example_lengths(
+    tokens: Column, density: float = NOISE_DENSITY, mean_span: float = MEAN_SPAN
+) -> tuple[Column, Column]:
+    """Input and target length, end id included, of a sequence of ``tokens`` > 0 ids."""
+    noise, count = noise_counts(tokens, density, mean_span)
+    masked = tokens > 1
+    inputs = F.when(masked, tokens - noise + count + 1).otherwise(tokens + 1)
+    return inputs, F.when(masked, noise + count + 1).otherwise(2)
+
+
 def random_bounds(total: Column, parts: Column, seed: int, tag: str, *key: Column) -> Column:
     """``[0, cut, ..., total]`` splitting ``total`` into ``parts`` random positive parts.
 
@@ -175,10 +185,14 @@ def corrupt_inputs(ids: Column, spans: Column, scheme: SentinelScheme) -> Column
 
 def corrupt_targets(ids: Column, spans: Column, scheme: SentinelScheme) -> Column:
     """Dropped ids, each kept run replaced by one sentinel."""
-    skipped = F.when(F.get(spans, F.lit(0))["keep"] == 0, 1).otherwise(0)
 
-    def piece(v: Column, s: Column, k: Column) -> Column:
-        dropped = F.slice(v, s["at"] + s["keep"], s["drop"])
-        return F.when(s["keep"] > 0, F.concat(F.array(scheme.sentinel(k - skipped)), dropped)).otherwise(dropped)
+    def cut(spans: Column) -> Column:
+        skipped = F.when(F.get(spans, F.lit(0))["keep"] == 0, 1).otherwise(0)
 
-    return _cut_out(ids, spans, piece)
+        def piece(v: Column, s: Column, k: Column) -> Column:
+            dropped = F.slice(v, s["at"] + s["keep"], s["drop"])
+            return F.when(s["keep"] > 0, F.concat(F.array(scheme.sentinel(k - skipped)), dropped)).otherwise(dropped)
+
+        return _cut_out(ids, spans, piece)
+
+    return bind(spans, cut)

@@ -23,8 +23,15 @@ def random_chunk(
     df: DataFrame, ids: str, keys: list[str], length: int = CHUNK_LENGTH, seed: int = 1
 ) -> DataFrame:
     """Keep one random chunk of every record that is too long; empty records go."""
-    start = chunk_start(F.size(ids), *[F.col(k) for k in keys], length=length, seed=seed)
-    return df.where(F.size(ids) > 0).withColumn(ids, F.slice(ids, start + 1, F.lit(length)))
+    key = [F.col(k) for k in keys]
+
+    def chosen(v: Column) -> Column:
+        start = chunk_start(F.size(v), *key, length=length, seed=seed)
+        return F.when(F.size(v) > 0, F.array(F.slice(v, start + 1, F.lit(length))))
+
+    # Exploding "one chunk or none" drops empty records without tokenising twice for a filter.
+    rest = [c for c in df.columns if c != ids]
+    return df.select(*rest, F.explode(bind(F.col(ids), chosen)).alias(ids))
 
 
 def concat_tokens(df: DataFrame, ids: str, record_no: str, group_size: int = GROUP_SIZE) -> DataFrame:

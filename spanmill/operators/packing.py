@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanmill.functions.binding import bind, steps
 from spanmill.functions.sequences import pad_to
 from spanmill.functions.spans import INPUT_LENGTH, TARGET_LENGTH
-from spanmill.functions.vocabulary import EOS
+from spanmill.functions.vocabulary import EOS, PAD
 
 LENGTHS = {"inputs": INPUT_LENGTH, "targets": TARGET_LENGTH}
 # The least an example can take up: one id and its end, or the end alone.
@@ -38,12 +38,16 @@ def next_fit_starts(members: Column, lengths: dict[str, int]) -> Column:
     return F.aggregate(members, state, take, lambda acc: acc["starts"])
 
 
+def _fixed(ids: Column, length: int, ensure_eos: bool) -> Column:
+    """Trimmed or padded to ``length``; the last place is the end id or padding, never a cut-off token."""
+    if not ensure_eos:
+        return pad_to(ids, length)
+    last = lambda v: F.least(F.coalesce(F.get(v, F.lit(length - 1)), F.lit(PAD)), F.lit(EOS))
+    return bind(ids, lambda v: F.array_append(pad_to(v, length - 1), last(v)))
+
+
 def _fill(members: Column, feature: str, length: int, ensure_eos: bool) -> list[Column]:
-    ids = pad_to(F.flatten(F.transform(members, lambda m: m[feature])), length)
-    if ensure_eos:
-        # The last place is the end id or padding, never a cut-off token.
-        last = F.least(F.element_at(ids, length), F.lit(EOS))
-        ids = F.array_append(F.slice(ids, 1, length - 1), last)
+    ids = _fixed(F.flatten(F.transform(members, lambda m: m[feature])), length, ensure_eos)
     number = F.flatten(F.transform(members, lambda m, i: F.array_repeat(i + 1, F.size(m[feature]))))
     place = F.flatten(F.transform(members, lambda m: steps(F.size(m[feature]))))
     return [
@@ -60,6 +64,7 @@ def pack_examples(
     lengths: dict[str, int] = LENGTHS,
     shortest: dict[str, int] = SHORTEST,
     ensure_eos: bool = True,
+    sizes: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Pack examples in key order within each bucket.
 
@@ -69,16 +74,25 @@ def pack_examples(
     cut to full segments that is nearly all of them. Returns the keys of the
     first member, the number of members, and per feature the ids with their
     segment numbers (from 1) and positions.
+
+    ``sizes`` gives the feature lengths where they are known without the ids.
+    The choice between the two ways is then made below the work that builds
+    the ids, and each row is built on one way only.
     """
-    trimmed = df.select(*keys, bucket.alias("_bucket"), *[F.slice(f, 1, n).alias(f) for f, n in lengths.items()])
+    trimmed = [F.slice(f, 1, n).alias(f) for f, n in lengths.items()]
     full = F.lit(False)
     for f, n in lengths.items():
-        full = full | (F.size(f) + shortest[f] > n)
-    whole = trimmed.withColumn("_full", full)
-    member = F.struct(*keys, *lengths)
-
-    alone = whole.where("_full").select(F.array(member).alias("_pack"))
-    gathered = whole.where("NOT _full").groupBy("_bucket").agg(F.array_sort(F.collect_list(member)).alias("_rows"))
+        full = full | (F.least(sizes[f] if sizes else F.size(f), F.lit(n)) + shortest[f] > n)
+    row = F.struct(*keys, *trimmed)
+    if sizes:
+        whole = df.select(full.alias("_full"), bucket.alias("_bucket"), row.alias("_row"))
+    else:
+        # A generator keeps the filter from being pushed into, and repeating, that work.
+        whole = df.select(F.explode(F.array(F.struct(full.alias("_full"), bucket.alias("_bucket"), row.alias("_row")))))
+        whole = whole.select("col.*")
+
+    alone = whole.where("_full").select(F.array("_row").alias("_pack"))
+    gathered = whole.where("NOT _full").groupBy("_bucket").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
 
     def packs(rows: Column) -> Column:
         def cut(starts: Column) -> Column:
@@ -99,17 +113,17 @@ def pad_examples(
     df: DataFrame, keys: list[str], lengths: dict[str, int] = LENGTHS, ensure_eos: bool = True
 ) -> DataFrame:
     """One example per row, trimmed or padded to length."""
-
-    def fixed(feature: str, length: int) -> Column:
-        ids = pad_to(F.col(feature), length)
-        if not ensure_eos:
-            return ids
-        return F.array_append(F.slice(ids, 1, length - 1), F.least(F.element_at(ids, length), F.lit(EOS)))
-
-    return df.select(*keys, *[fixed(f, n).alias(f) for f, n in lengths.items()])
+    return df.select(*keys, *[_fixed(F.col(f), n, ensure_eos).alias(f) for f, n in lengths.items()])
 
 
 def pack_or_pad(
-    df: DataFrame, keys: list[str], bucket: Column, pack: bool = True, lengths: dict[str, int] = LENGTHS
+    df: DataFrame,
+    keys: list[str],
+    bucket: Column,
+    pack: bool = True,
+    lengths: dict[str, int] = LENGTHS,
+    sizes: dict[str, Column] | None = None,
 ) -> DataFrame:
-    return pack_examples(df, keys, bucket, lengths) if pack else pad_examples(df, keys, lengths)
+    if pack:
+        return pack_examples(df, keys, bucket, lengths, sizes=sizes)
+    return pad_examples(df, keys, lengths)

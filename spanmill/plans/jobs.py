@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanmill.functions.cleaning import clean_review_text
 from spanmill.functions.encode import letter_ids, special_letter_ids
 from spanmill.functions.sequences import attention_mask, ignore_padding, pad_to, truncate, truncate_ended
-from spanmill.functions.spans import LETTERS_ASCENDING, SentinelScheme, span_lengths
+from spanmill.functions.spans import LETTERS_ASCENDING, SentinelScheme, example_lengths, span_lengths
 from spanmill.operators.corruption import corrupt
 from spanmill.operators.equations import verify_equations
 from spanmill.operators.mixing import batch_assign, mix_fixed_rates, shuffle_seeded
@@ -40,8 +40,12 @@ def pretraining_corpus(
         mixed = mix_fixed_rates(corpus, source, keys, rates, total, seed)
         order = [*keys, "epoch"]
     numbered = shuffle_seeded(mixed, order, seed).withColumnRenamed("pos", "record_no")
+    examples = recipe.run(numbered, keep=["tokens"])
     bucket = F.floor(F.col("group_id") / GROUPS_PER_BUCKET)
-    return pack_or_pad(recipe.run(numbered), list(recipe.keys), bucket, pack)
+    sizes = None
+    if "tokens" in examples.columns:
+        sizes = dict(zip(("inputs", "targets"), example_lengths(F.col("tokens"))))
+    return pack_or_pad(examples, list(recipe.keys), bucket, pack, sizes=sizes)
 
 
 def eval_holdout(

@@ -34,11 +34,12 @@ class Recipe:
     features: tuple[str, ...] = ("inputs", "targets")
     keys: tuple[str, ...] = ("group_id", "segment")
 
-    def run(self, source: DataFrame) -> DataFrame:
+    def run(self, source: DataFrame, keep: list[str] = []) -> DataFrame:
+        """Keys and features of the examples, and those columns of ``keep`` that the steps leave."""
         out = source
         for step in self.steps:
             out = out.transform(step)
-        return select_features(out, list(self.features), list(self.keys))
+        return select_features(out, [*self.features, *keep], list(self.keys))
 
 
 @dataclass
@@ -79,8 +80,8 @@ def span_corruption(
     segment = check_target_length(lengths[1], input_length=lengths[0])
 
     def step(df: DataFrame) -> DataFrame:
-        segments = joined_segments(df, text, record_no, encode, segment, seed=seed)
-        return corrupt(segments, ["group_id", "segment"], scheme, seed=seed, lengths=lengths)
+        segments = joined_segments(df, text, record_no, encode, segment, seed=seed).withColumn("tokens", F.size("ids"))
+        return corrupt(segments, ["group_id", "segment"], scheme, keep=["tokens"], seed=seed, lengths=lengths)
 
     return step
 

@@ -16,6 +16,16 @@ MISSING = "nan"  # fixed value: how a missing TSV field reads as text
 _OUTSIDE_QUOTES = r"""(?=(?:[^'"]++|'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+")*+$)"""
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share out the rows of a scan that has fewer tasks than the session has cores.
+
+    One gzip file or one Parquet row group is one task whatever follows. A
+    scan of a large table has more tasks than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def read_jsonl_shards(
     spark: SparkSession, paths: str | list[str], schema: str = "text string", record_no: str | None = "record_no"
 ) -> DataFrame:

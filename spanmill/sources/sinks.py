@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    """TSV with a header; tabs, quotes, newlines and backslashes in fields survive."""
-    df.write.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """TSV with a header; tabs, quotes, newlines, backslashes and outer blanks of fields survive."""
+    (
+        df.write.option("sep", "\t")
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_jsonl_shards(df: DataFrame, path: str) -> None:
