@@ -60,7 +60,7 @@ def problems(spark: SparkSession, sf: str) -> DataFrame:
     """Math problems over lineitem: four right forms, one wrong, one broken."""
     form = F.col("l_linenumber") % 6
     q, p = F.col("q"), F.col("p")
-    rows = table(spark, sf, "lineitem").select(
+    rows = spread(table(spark, sf, "lineitem"), "l_orderkey").select(
         "l_orderkey",
         "l_linenumber",
         "l_returnflag",

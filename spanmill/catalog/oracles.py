@@ -42,7 +42,7 @@ def special_ids(text: str) -> str:
 
 
 def joined(ids: str) -> str:
-    return f"coalesce(array_to_string({ids}, ' '), '')"
+    return f"cast({ids} as varchar)"
 
 
 def repeated(value: str, count: str) -> str:
@@ -82,10 +82,11 @@ def group_segments(source: str, ids: str) -> str:
                ids[{draw(1, 'chunk', 'record_no')} % cast(ceil(len(ids) / 65536.0) as bigint) * 65536 + 1 :
                    {draw(1, 'chunk', 'record_no')} % cast(ceil(len(ids) / 65536.0) as bigint) * 65536 + 65536] as ids
         from sized where len(ids) > 0),
-    streams as materialized (
-        select record_no // 128 as group_id, flatten(list(ids order by record_no)) as ids from chunked group by 1),
+    streams as (
+        select group_id, unnest(ids) as id, unnest(range(0, len(ids))) as place
+        from (select record_no // 128 as group_id, flatten(list(ids order by record_no)) as ids from chunked group by 1)),
     segments as materialized (
-        select group_id, unnest(range(0, {COUNT})) as segment, unnest({CUT}) as ids from streams)"""
+        select group_id, place // {SEGMENT} as segment, list(id order by place) as ids from streams group by 1, 2)"""
 
 
 def noised(keys: list[str], seed: int = 1, density: float = 0.15, mean: float = 20.0) -> str:
@@ -410,8 +411,7 @@ oracle(
     f"""with t as (select doc_id, {byte_ids('text')} as ids from documents),
         cut as (select doc_id, {ended('ids[1:511]')} as ids from t)
         select cut.doc_id, {joined(padded('ids', '512'))} as input_ids, {joined(mask('ids', '512'))} as attention_mask,
-               case quality when 0 then '{' '.join(str(b + 3) for b in b'negative')} 1'
-                            else '{' '.join(str(b + 3) for b in b'positive')} 1' end as labels
+               case quality when 0 then '{[b + 3 for b in b'negative'] + [1]}' else '{[b + 3 for b in b'positive'] + [1]}' end as labels
         from cut join labels using (doc_id)""",
 )
 oracle("tok_decode", f"select doc_id, {SPECIALS} as text, text as bytes_text from documents")
@@ -489,7 +489,7 @@ def by_position(name: str, flag: str) -> str:
         select *, 326 + sum(case when first then 1 else 0 end) over (partition by doc_id, segment order by place) as sentinel
         from runs)
     select doc_id, segment,
-           string_agg(cast(case when first then sentinel else id end as varchar), ' ' order by place) as {name}
+           concat('[', string_agg(cast(case when first then sentinel else id end as varchar), ', ' order by place), ']') as {name}
     from numbered where first or not f group by doc_id, segment"""
 
 

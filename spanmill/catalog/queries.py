@@ -12,7 +12,7 @@ from spanmill.functions import cleaning as C
 from spanmill.functions import sequences as Q
 from spanmill.functions import spans as S
 from spanmill.functions.decode import decode_ids
-from spanmill.functions.encode import byte_ids, letter_ids, special_letter_ids
+from spanmill.functions.encode import byte_ids, first_ids, letter_ids, special_letter_ids
 from spanmill.functions.vocabulary import vocabulary_table
 from spanmill.operators import corpus as K
 from spanmill.operators import equations as E
@@ -204,7 +204,7 @@ def prompt_concat(spark, sf):
 @query
 def filter_blacklist(spark, sf):
     problems = I.problems(spark, sf)
-    listed = E.verify_equations(problems).where("verdict <> 'right'").distinct()
+    listed = E.verify_equations(problems).where("verdict <> 'right'")
     return P.drop_listed(problems, listed, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "equation")
 
 
@@ -309,7 +309,7 @@ def tok_append_eos(spark, sf):
 
 @query
 def tok_trim_then_eos(spark, sf):
-    ids = Q.trim_then_eos(letter_ids("text"), S.INPUT_LENGTH)
+    ids = Q.append_eos_always(first_ids("text", S.INPUT_LENGTH - 1))
     return text_of(I.korean(spark, sf).select("doc_id", ids.alias("ids")), "ids")
 
 
@@ -351,7 +351,7 @@ def tok_pair_inputs(spark, sf):
 
 
 def _padded_512(spark, sf):
-    ids = Q.truncate_ended(letter_ids("text"), 512)
+    ids = Q.append_eos(first_ids("text", 511))
     df = I.korean(spark, sf).select("doc_id", ids.alias("ids"))
     return df.select("doc_id", Q.pad_to(F.col("ids"), 512).alias("ids"), Q.attention_mask(F.col("ids"), 512).alias("mask"))
 
@@ -370,8 +370,8 @@ def pad_batch_longest(spark, sf):
     length = F.least(F.octet_length("text"), F.lit(I.SEGMENT))
     width = F.max(length).over(Window.partitionBy("batch_id"))
     df = batched.select("doc_id", "batch_id", "text", width.alias("width"))
-    ids = Q.truncate(letter_ids("text"), I.SEGMENT)
-    padded = df.select(
+    ids = F.col("ids")
+    padded = df.select("doc_id", "batch_id", "width", first_ids("text", I.SEGMENT).alias("ids")).select(
         "doc_id", "batch_id", Q.pad_to(ids, F.col("width")).alias("ids"), Q.pad_to(ids, F.col("width"), Q.IGNORED_LABEL).alias("labels")
     )
     return text_of(padded, "ids", "labels")
@@ -388,7 +388,7 @@ def assemble_examples(spark, sf):
     rows = R.zip_text_labels(I.documents(spark, sf).select("doc_id", "text"), I.table(spark, sf, "labels"), "doc_id", "quality")
     ids = rows.select(
         "doc_id",
-        Q.truncate_ended(letter_ids("text"), 512).alias("ids"),
+        Q.append_eos(first_ids("text", 511)).alias("ids"),
         special_letter_ids(P.label_text(F.col("label"), jobs.LABEL_NAMES)).alias("target"),
     )
     return text_of(
@@ -580,7 +580,8 @@ def corr_metrics(spark, sf):
 
 
 def _document_stream(spark, sf):
-    return T.stream_table(spark, f"{sf}/documents*.parquet", "doc_id bigint, text string")
+    cores = spark.sparkContext.defaultParallelism
+    return T.stream_table(spark, f"{sf}/documents*.parquet", "doc_id bigint, text string", tasks=cores)
 
 
 @query
@@ -680,6 +681,6 @@ def labelled_text(spark, sf):
 @query
 def corpus_token_counts(spark, sf):
     """Flagship: documents tokenised, cut to one segment, ended, and counted by language."""
-    ids = Q.append_eos(Q.truncate(letter_ids("text"), I.SEGMENT))
+    ids = Q.append_eos(first_ids("text", I.SEGMENT))
     counted = I.korean(spark, sf).select("lang", F.size(ids).alias("n"), F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("s"))
     return counted.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.sum("s").alias("id_sum"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as white space, and the patterns of the cleaning rules.
-WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-REVIEW_PUNCTUATION = r"""[.;:!'?,"()\[\]]"""
-REVIEW_MARKUP = rf"(<br{WHITE}*/><br{WHITE}*/>)|-|/"
+# The characters and patterns of the cleaning rules.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+REVIEW_PUNCTUATION = ".;:!'?,\"()[]"
+REVIEW_BREAKS = f"<br[{WHITE}]*/><br[{WHITE}]*/>"
+REVIEW_STROKES = "-/"
 RATIO = "([0-9]+):([0-9]+)"
 MIXED_NUMBER = r"([0-9]+)\(([0-9]+)/([0-9]+)\)"
 PERCENT = r"[0-9]+(?:\.[0-9]+)?%"
@@ -17,8 +18,8 @@ ANSWER_PREFIX = "x="
 
 def clean_review_text(text: Column) -> Column:
     """Strip white space, then delete punctuation, doubled line breaks, hyphens and slashes."""
-    stripped = F.regexp_replace(F.regexp_replace(text, f"^{WHITE}+", ""), f"{WHITE}+$", "")
-    return F.regexp_replace(F.regexp_replace(stripped, REVIEW_PUNCTUATION, ""), REVIEW_MARKUP, "")
+    bare = F.translate(F.btrim(text, F.lit(WHITE)), REVIEW_PUNCTUATION, "")
+    return F.translate(F.regexp_replace(bare, REVIEW_BREAKS, ""), REVIEW_STROKES, "")
 
 
 def strip_target_prefix(equation: Column) -> Column:

@@ -40,30 +40,24 @@ def _spelled(ids: Column, table: Column) -> Column:
     """One string per id; the three letters of a syllable give its three bytes."""
 
     def cell(x: Column, i: Column) -> Column:
-        def is_syllable(first: Column, second: Column, third: Column) -> Column:
-            return (
-                first.between(INITIAL_BASE, VOWEL_BASE - 1)
-                & second.between(VOWEL_BASE, FINAL_BASE - 1)
-                & third.between(FINAL_BASE, SENTINEL_BASE - 1)
-            )
-
         def code(first: Column, second: Column, third: Column) -> Column:
             constant = FIRST_SYLLABLE - (INITIAL_BASE * VOWELS + VOWEL_BASE) * FINALS - FINAL_BASE
             return (first * VOWELS + second) * FINALS + third + constant
 
-        byte = lambda value: F.get(table, value + BYTE_BASE)
         at = lambda step: F.get(ids, i + step)
-        initial, vowel, final = (x, at(1), at(2)), (at(-1), x, at(1)), (at(-2), at(-1), x)
-        return (
-            F.when((x < INITIAL_BASE) | (x >= SENTINEL_BASE), F.get(table, x))
-            .when((x < VOWEL_BASE) & is_syllable(*initial), byte(F.shiftright(code(*initial), 12) + 0xE0))
-            .when(
-                (x >= VOWEL_BASE) & (x < FINAL_BASE) & is_syllable(*vowel),
-                byte(F.shiftright(code(*vowel), 6).bitwiseAND(0x3F) + 0x80),
-            )
-            .when((x >= FINAL_BASE) & is_syllable(*final), byte(code(*final).bitwiseAND(0x3F) + 0x80))
-            .otherwise(F.get(table, x))
+        byte = lambda value: F.get(table, value + BYTE_BASE)
+        low_bits = lambda value: value.bitwiseAND(0x3F) + 0x80
+        is_initial = lambda y: y.between(INITIAL_BASE, VOWEL_BASE - 1)
+        is_vowel = lambda y: y.between(VOWEL_BASE, FINAL_BASE - 1)
+        is_final = lambda y: y.between(FINAL_BASE, SENTINEL_BASE - 1)
+        as_initial = F.when(is_vowel(at(1)) & is_final(at(2)), byte(F.shiftright(code(x, at(1), at(2)), 12) + 0xE0))
+        as_vowel = F.when(
+            is_initial(at(-1)) & is_final(at(1)), byte(low_bits(F.shiftright(code(at(-1), x, at(1)), 6)))
         )
+        as_final = F.when(is_initial(at(-2)) & is_vowel(at(-1)), byte(low_bits(code(at(-2), at(-1), x))))
+        joined = F.when(x < VOWEL_BASE, as_initial).when(x < FINAL_BASE, as_vowel).otherwise(as_final)
+        alone = F.get(table, x)
+        return F.when((x < INITIAL_BASE) | (x >= SENTINEL_BASE), alone).otherwise(F.coalesce(joined, alone))
 
     is_letter = lambda x: (x >= INITIAL_BASE) & (x < SENTINEL_BASE)
     plain = F.transform(ids, lambda x: F.get(table, x))

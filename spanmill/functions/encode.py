@@ -7,6 +7,8 @@ size and place token runs before anything is tokenised.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +95,15 @@ def letter_ids(text: Column | str) -> Column:
     return F.when(text.rlike(SYLLABLE_CLASS), spelled).otherwise(byte_ids(text))
 
 
+def first_ids(text: Column | str, length: int, encode: Callable[[Column], Column] = letter_ids) -> Column:
+    """``slice(encode(text), 1, length)`` for a long text, without encoding what is cut off anyway.
+
+    Every character gives at least one id, so the first ``length`` ids never
+    reach beyond the first ``length`` characters. Not for :func:`special_letter_ids`.
+    """
+    return F.slice(encode(F.substring(text, 1, length)), 1, length)
+
+
 def special_letter_ids(text: Column | str) -> Column:
     """As :func:`letter_ids`, but literal special tokens inside the text become one id each."""
     text = F.col(text) if isinstance(text, str) else text

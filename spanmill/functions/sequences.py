@@ -82,5 +82,5 @@ def sentinels_to_ascending(ids: Column, sentinels: int = 10) -> Column:
 
 
 def ids_text(ids: Column) -> Column:
-    """Ids as one space-separated string, the form that results are compared in."""
-    return F.array_join(ids.cast("array<string>"), " ")
+    """Ids as one bracketed string, the form that results are compared in."""
+    return ids.cast("string")

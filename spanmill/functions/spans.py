@@ -108,7 +108,8 @@ def random_bounds(total: Column, parts: Column, seed: int, tag: str, *key: Colum
     def add_cut(cuts: Column, i: Column) -> Column:
         top = first + i
         cut = (draw(seed, tag, *key, top) % top + 1).cast("int")
-        return F.array_append(cuts, F.when(F.array_contains(cuts, cut), top).otherwise(cut))
+        unused = lambda c: F.when(F.array_contains(cuts, c), top).otherwise(c)
+        return F.array_append(cuts, bind(cut, unused))
 
     cuts = F.aggregate(steps(parts - 1), F.array().cast("array<int>"), add_cut)
     return F.concat(F.array(F.lit(0)), F.array_sort(cuts), F.array(total))
@@ -119,24 +120,25 @@ def noise_spans(
 ) -> Column:
     """Random spans for a sequence of ``tokens`` ids that ``key`` identifies."""
     noise, count = noise_counts(tokens, density, mean_span)
+    sizes = F.struct(noise.alias("noise"), (tokens - noise).alias("kept"), count.alias("count"))
 
-    def spans(kept: Column) -> Column:
+    def span(kept: Column, dropped: Column, i: Column) -> Column:
+        return F.struct(
+            (F.get(kept, i) + F.get(dropped, i) + 1).alias("at"),
+            (F.get(kept, i + 1) - F.get(kept, i)).alias("keep"),
+            (F.get(dropped, i + 1) - F.get(dropped, i)).alias("drop"),
+        )
+
+    def spans(n: Column) -> Column:
+        kept = random_bounds(n["kept"], n["count"], seed, "keep", *key)
+        dropped = random_bounds(n["noise"], n["count"], seed, "drop", *key)
         return bind(
-            random_bounds(noise, count, seed, "drop", *key),
-            lambda dropped: F.transform(
-                steps(F.size(dropped) - 1),
-                lambda i: F.struct(
-                    (F.get(kept, i) + F.get(dropped, i) + 1).alias("at"),
-                    (F.get(kept, i + 1) - F.get(kept, i)).alias("keep"),
-                    (F.get(dropped, i + 1) - F.get(dropped, i)).alias("drop"),
-                ),
-            ),
+            F.struct(kept.alias("k"), dropped.alias("d")),
+            lambda b: F.transform(steps(n["count"]), lambda i: span(b["k"], b["d"], i)),
         )
 
     whole = F.array(F.struct(F.lit(1).alias("at"), tokens.cast("int").alias("keep"), F.lit(0).alias("drop")))
-    return F.when(tokens > 1, bind(random_bounds(tokens - noise, count, seed, "keep", *key), spans)).when(
-        tokens == 1, whole
-    )
+    return F.when(tokens > 1, bind(sizes, spans)).when(tokens == 1, whole)
 
 
 def spans_mask(spans: Column) -> Column:

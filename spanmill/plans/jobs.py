@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.functions.cleaning import clean_review_text
-from spanmill.functions.encode import letter_ids, special_letter_ids
-from spanmill.functions.sequences import attention_mask, ignore_padding, pad_to, truncate, truncate_ended
+from spanmill.functions.encode import first_ids, letter_ids, special_letter_ids
+from spanmill.functions.sequences import append_eos, attention_mask, ignore_padding, pad_to, truncate_ended
 from spanmill.functions.spans import LETTERS_ASCENDING, SentinelScheme, example_lengths, span_lengths
 from spanmill.operators.corruption import corrupt
 from spanmill.operators.equations import verify_equations
@@ -57,7 +57,7 @@ def eval_holdout(
     """The holdout of a numbered corpus (``record_no``, ``text``) as masked pairs, one segment per record."""
     length, _ = span_lengths()
     held = eval_records(numbered).where(F.octet_length("text") > 0)
-    ids = held.select("record_no", truncate(encode(F.col("text")), length).alias("ids"))
+    ids = held.select("record_no", first_ids("text", length, encode).alias("ids"))
     return corrupt(ids, ["record_no"], scheme, seed=seed)
 
 
@@ -70,7 +70,7 @@ def labelled_text(
     reviews: DataFrame, text: str = "text", label: str = "label", length: int = 512, target_length: int = 10
 ) -> DataFrame:
     """Labelled texts as padded ids with attention masks and loss labels."""
-    source = truncate_ended(letter_ids(clean_review_text(F.col(text))), length)
+    source = append_eos(first_ids(clean_review_text(F.col(text)), length - 1))
     target = truncate_ended(special_letter_ids(label_text(F.col(label), LABEL_NAMES)), target_length)
     rest = [c for c in reviews.columns if c not in (text, label)]
     bare = reviews.select(*rest, source.alias("_s"), target.alias("_t"))

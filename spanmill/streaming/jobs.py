@@ -11,16 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.functions.encode import letter_ids
-from spanmill.functions.sequences import truncate
+from spanmill.functions.encode import first_ids, letter_ids
 from spanmill.functions.spans import LETTERS_ASCENDING, SentinelScheme, span_lengths
 from spanmill.operators.corruption import corrupt
 from spanmill.operators.equations import verify_equations
 
 
-def stream_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 1000):
-    """Files of a folder or glob as a stream; new files are picked up as they arrive."""
-    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
+def stream_table(
+    spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 1000, tasks: int | None = None
+) -> DataFrame:
+    """Files of a folder or glob as a stream; new files are picked up as they arrive.
+
+    ``tasks`` shares out the rows of a micro-batch that comes in few large files.
+    """
+    stream = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
+    return stream if tasks is None else stream.repartition(tasks)
 
 
 def stream_tokenize(
@@ -39,7 +44,7 @@ def stream_corrupt(
 ) -> DataFrame:
     """Masked pairs record by record, each cut to one segment; empty records go."""
     length, _ = span_lengths()
-    ids = records.where(F.octet_length(text) > 0).select(*keys, truncate(encode(F.col(text)), length).alias("ids"))
+    ids = records.where(F.octet_length(text) > 0).select(*keys, first_ids(text, length, encode).alias("ids"))
     return corrupt(ids, keys, scheme, seed=seed)
 
 
