@@ -36,32 +36,42 @@ def _spelling() -> Column:
     return F.split(F.lit(SEPARATOR.join(alone(i).decode("latin-1") for i in range(SIZE))), SEPARATOR)
 
 
-def _spelled(ids: Column, table: Column) -> Column:
-    """One string per id; the three letters of a syllable give its three bytes."""
+def _with_syllables(ids: Column) -> Column:
+    """Ids, but an initial that a vowel and a final follow is the code point of their syllable."""
 
     def cell(x: Column, i: Column) -> Column:
-        def code(first: Column, second: Column, third: Column) -> Column:
-            constant = FIRST_SYLLABLE - (INITIAL_BASE * VOWELS + VOWEL_BASE) * FINALS - FINAL_BASE
-            return (first * VOWELS + second) * FINALS + third + constant
-
-        at = lambda step: F.get(ids, i + step)
-        byte = lambda value: F.get(table, value + BYTE_BASE)
-        low_bits = lambda value: value.bitwiseAND(0x3F) + 0x80
-        is_initial = lambda y: y.between(INITIAL_BASE, VOWEL_BASE - 1)
-        is_vowel = lambda y: y.between(VOWEL_BASE, FINAL_BASE - 1)
-        is_final = lambda y: y.between(FINAL_BASE, SENTINEL_BASE - 1)
-        as_initial = F.when(is_vowel(at(1)) & is_final(at(2)), byte(F.shiftright(code(x, at(1), at(2)), 12) + 0xE0))
-        as_vowel = F.when(
-            is_initial(at(-1)) & is_final(at(1)), byte(low_bits(F.shiftright(code(at(-1), x, at(1)), 6)))
-        )
-        as_final = F.when(is_initial(at(-2)) & is_vowel(at(-1)), byte(low_bits(code(at(-2), at(-1), x))))
-        joined = F.when(x < VOWEL_BASE, as_initial).when(x < FINAL_BASE, as_vowel).otherwise(as_final)
-        alone = F.get(table, x)
-        return F.when((x < INITIAL_BASE) | (x >= SENTINEL_BASE), alone).otherwise(F.coalesce(joined, alone))
+        vowel, final = F.get(ids, i + 1), F.get(ids, i + 2)
+        constant = FIRST_SYLLABLE - (INITIAL_BASE * VOWELS + VOWEL_BASE) * FINALS - FINAL_BASE
+        code = (x * VOWELS + vowel) * FINALS + final + constant
+        follow = vowel.between(VOWEL_BASE, FINAL_BASE - 1) & final.between(FINAL_BASE, SENTINEL_BASE - 1)
+        return F.when((x < INITIAL_BASE) | (x >= VOWEL_BASE), x).when(follow, code).otherwise(x)
+
+    return F.transform(ids, cell)
+
+
+def _spelled(ids: Column, table: Column) -> Column:
+    """One string per id; a syllable gives its three bytes, and its vowel and final nothing more."""
+    byte = lambda value: F.get(table, value + BYTE_BASE)
+    low_bits = lambda value: byte(value.bitwiseAND(0x3F) + 0x80)
+
+    def cells(joined: Column) -> Column:
+        used = lambda at: F.get(joined, at) >= FIRST_SYLLABLE
+
+        def cell(y: Column, i: Column) -> Column:
+            syllable = F.concat(byte(F.shiftright(y, 12) + 0xE0), low_bits(F.shiftright(y, 6)), low_bits(y))
+            return (
+                F.when(y < VOWEL_BASE, F.get(table, y))
+                .when(y >= FIRST_SYLLABLE, syllable)
+                .when((y < FINAL_BASE) & used(i - 1), F.lit(""))
+                .when((y >= FINAL_BASE) & (y < SENTINEL_BASE) & used(i - 2), F.lit(""))
+                .otherwise(F.get(table, y))
+            )
+
+        return F.transform(joined, cell)
 
     is_letter = lambda x: (x >= INITIAL_BASE) & (x < SENTINEL_BASE)
     plain = F.transform(ids, lambda x: F.get(table, x))
-    return F.when(F.exists(ids, is_letter), F.transform(ids, cell)).otherwise(plain)
+    return F.when(F.exists(ids, is_letter), bind(_with_syllables(ids), cells)).otherwise(plain)
 
 
 def _valid_text(cells: Column) -> Column:

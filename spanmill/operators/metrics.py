@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.operators.numbering import with_rank_sum
+from spanmill.session import scratch
 
 # A key with more than this share of the rows is hot; there are at most 1/HOT_SHARE of them.
 HOT_SHARE = 1 / 1000
@@ -90,8 +91,15 @@ def _average_ranks(pairs: DataFrame, column: str) -> DataFrame:
 
 
 def corr_metrics(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson correlation of the values, Spearman's of their average ranks."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_n"))
+    """Pearson correlation of the values, Spearman's of their average ranks.
+
+    The distinct pairs with their counts are written once to the shared folder,
+    since both rankings and the final join start from them.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "pairs")
+    present = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    present.groupBy(x, y).agg(F.count("*").alias("_n")).write.parquet(path)
+    pairs = spark.read.parquet(path)
     total = pairs.agg(F.sum("_n").alias("t")).scalar()
     ranked = join_hot_keys_apart(pairs, _average_ranks(pairs, x), x, "_c", total)
     ranked = join_hot_keys_apart(ranked, _average_ranks(pairs, y), y, "_c", total)
@@ -103,5 +111,5 @@ def corr_metrics(df: DataFrame, x: str, y: str) -> DataFrame:
         F.count("*").alias("_pairs"),
         (F.sum(n * da * db) / F.sqrt(F.sum(n * da * da) * F.sum(n * db * db))).alias("spearman"),
     )
-    pearson = df.agg(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"), F.corr(x, y).alias("pearson"))
+    pearson = present.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"))
     return pearson.select("n", "pearson", spearman.select("spearman").scalar().alias("spearman"))

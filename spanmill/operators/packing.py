@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.functions.binding import bind, steps
-from spanmill.functions.sequences import pad_to
+from spanmill.functions.sequences import attention_mask, pad_to
 from spanmill.functions.spans import INPUT_LENGTH, TARGET_LENGTH
 from spanmill.functions.vocabulary import EOS, PAD
 
@@ -46,6 +46,16 @@ def _fixed(ids: Column, length: int, ensure_eos: bool) -> Column:
     return bind(ids, lambda v: F.array_append(pad_to(v, length - 1), last(v)))
 
 
+def _fill_alone(row: Column, feature: str, length: int, ensure_eos: bool) -> list[Column]:
+    """As :func:`_fill` for a pack of one."""
+    size = F.size(row[feature])
+    return [
+        _fixed(row[feature], length, ensure_eos).alias(feature),
+        attention_mask(row[feature], length).alias(f"{feature}_segmentation"),
+        pad_to(steps(size), length).alias(f"{feature}_position"),
+    ]
+
+
 def _fill(members: Column, feature: str, length: int, ensure_eos: bool) -> list[Column]:
     ids = _fixed(F.flatten(F.transform(members, lambda m: m[feature])), length, ensure_eos)
     number = F.flatten(F.transform(members, lambda m, i: F.array_repeat(i + 1, F.size(m[feature]))))
@@ -91,7 +101,12 @@ def pack_examples(
         whole = df.select(F.explode(F.array(F.struct(full.alias("_full"), bucket.alias("_bucket"), row.alias("_row")))))
         whole = whole.select("col.*")
 
-    alone = whole.where("_full").select(F.array("_row").alias("_pack"))
+    row = F.col("_row")
+    alone = whole.where("_full").select(
+        *[row[k].alias(k) for k in keys],
+        F.lit(1).alias("members"),
+        *[c for f, n in lengths.items() for c in _fill_alone(row, f, n, ensure_eos)],
+    )
     gathered = whole.where("NOT _full").groupBy("_bucket").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
 
     def packs(rows: Column) -> Column:
@@ -101,12 +116,12 @@ def pack_examples(
 
         return bind(next_fit_starts(rows, lengths), cut)
 
-    together = gathered.select(F.explode(bind(F.col("_rows"), packs)).alias("_pack"))
-    out = alone.unionByName(together)
-    filled = [c for f, n in lengths.items() for c in _fill(F.col("_pack"), f, n, ensure_eos)]
-    return out.select(
-        *[F.get("_pack", F.lit(0))[k].alias(k) for k in keys], F.size("_pack").alias("members"), *filled
+    together = gathered.select(F.explode(bind(F.col("_rows"), packs)).alias("_pack")).select(
+        *[F.get("_pack", F.lit(0))[k].alias(k) for k in keys],
+        F.size("_pack").alias("members"),
+        *[c for f, n in lengths.items() for c in _fill(F.col("_pack"), f, n, ensure_eos)],
     )
+    return alone.unionByName(together)
 
 
 def pad_examples(
