@@ -12,8 +12,8 @@ PROBLEM_SCHEMA = f"original_text_kr string, equation string, ans string, {CORRUP
 TRIPLE_SCHEMA = "prefix string, input_text string, target_text string"
 MISSING = "nan"  # fixed value: how a missing TSV field reads as text
 
-# A word outside quotes: only whole quoted strings may follow it on the line.
-_OUTSIDE_QUOTES = r"""(?=(?:[^'"]++|'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+")*+$)"""
+# A quoted string with its escapes, a run without quotes, or a quote that nothing closes.
+LITERAL_PIECES = r"""('(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[^'"]++|['"])"""
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -47,9 +47,15 @@ def read_jsonl_shards(
 
 def python_literal_json(line: Column) -> Column:
     """A Python dict literal as JSON: None, True and False outside quotes are renamed."""
-    for literal, name in (("None", "null"), ("True", "true"), ("False", "false")):
-        line = F.regexp_replace(line, rf"\b{literal}\b{_OUTSIDE_QUOTES}", name)
-    return line
+
+    def piece_json(piece: Column) -> Column:
+        renamed = piece
+        for literal, name in (("None", "null"), ("True", "true"), ("False", "false")):
+            renamed = F.regexp_replace(renamed, rf"\b{literal}\b", name)
+        return F.when(piece.rlike("""^['"]"""), piece).otherwise(renamed)
+
+    pieces = F.regexp_extract_all(line, F.lit(LITERAL_PIECES), F.lit(1))
+    return F.array_join(F.transform(pieces, piece_json), "")
 
 
 def read_literal_lines(
@@ -69,7 +75,7 @@ def read_literal_lines(
 def read_tsv(
     spark: SparkSession, paths: str | list[str], schema: str = TRIPLE_SCHEMA, missing: str | None = MISSING
 ) -> DataFrame:
-    """TSV with a header, every column text, a missing field as ``missing``."""
+    """TSV with a header, every column text, a missing or empty field as ``missing``."""
     df = (
         spark.read.schema(schema)
         .option("sep", "\t")

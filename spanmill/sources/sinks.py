@@ -23,10 +23,12 @@ def write_jsonl_shards(df: DataFrame, path: str) -> None:
     df.write.option("compression", "gzip").json(path)
 
 
-def write_predictions(df: DataFrame, path: str, order: str, value: str) -> None:
+def write_predictions(df: DataFrame, path: str, order: str, value: str, files: int | None = None) -> None:
     """One prediction per line; files sorted by name, read in turn, are in ``order``."""
     one_line = F.regexp_replace(F.col(value), r"[\r\n]+", " ").alias("value")
-    df.select(order, one_line).repartitionByRange(order).sortWithinPartitions(order).select("value").write.text(path)
+    ranged = df.select(order, one_line)
+    ranged = ranged.repartitionByRange(order) if files is None else ranged.repartitionByRange(files, order)
+    ranged.sortWithinPartitions(order).select("value").write.text(path)
 
 
 def write_named_splits(df: DataFrame, path: str) -> None:
