@@ -17,8 +17,8 @@ from spanmill.functions.draws import draw_hash
 
 # Block tables up to this many rows are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
-# One leading hex digit of a digest splits the rows 16 ways: 3 digits give 4,096 even blocks.
-HASH_DIGITS = 3
+# One leading hex digit of a digest splits the rows 16 ways; 3 to 5 of them give 4,096 to 1,048,576 even blocks.
+HASH_DIGITS = range(3, 6)
 
 
 def _offsets(counts: DataFrame, blocks: list[str], within: list[str] = [], carry: list[str] = []) -> DataFrame:
@@ -65,6 +65,11 @@ def with_line_position(df: DataFrame, name: str = "record_no") -> DataFrame:
     return joined.withColumn(name, number).drop(*blocks, "_running", "_first", "offset")
 
 
+def block_digits(partitions: int) -> int:
+    """Digits that give every shuffle partition several blocks; the numbering is the same for any choice."""
+    return next((d for d in HASH_DIGITS if 16**d >= 8 * partitions), HASH_DIGITS[-1])
+
+
 def with_shuffled_position(
     df: DataFrame,
     keys: list[str],
@@ -72,7 +77,7 @@ def with_shuffled_position(
     tag: str = "order",
     within: list[str] = [],
     name: str = "pos",
-    hash_digits: int = HASH_DIGITS,
+    hash_digits: int | None = None,
 ) -> DataFrame:
     """Place of each row in a seeded random order, from 0; per group if ``within`` is given.
 
@@ -80,6 +85,8 @@ def with_shuffled_position(
     are even whatever the keys or groups look like, so a source that holds a
     third of the rows is spread over all tasks. ``keys`` must identify a row.
     """
+    if hash_digits is None:
+        hash_digits = block_digits(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     digest = draw_hash(seed, tag, *within, *keys)
     block = F.substring("_digest", 1, hash_digits).alias("_block")
     thin = df.select(*within, digest.alias("_digest")).select(*within, block)
@@ -100,7 +107,7 @@ def range_blocks(df: DataFrame, key: str, blocks: int = 256) -> Column:
     """
     side = max(int(blocks**0.5), 2)
     shares = [i / (side * side) for i in range(1, side * side)]
-    bounds = df.agg(F.percentile_approx(key, shares, 100 * side * side)).first()[0]
+    bounds = df.agg(F.percentile_approx(key, shares, 20 * side * side)).first()[0]
     if bounds is None:
         return F.lit(0)
     kind = df.schema[key].dataType
