@@ -29,13 +29,10 @@ from spanmill.functions.vocabulary import (
     UNK_TOKEN,
     VOWEL_BASE,
     VOWELS,
+    special_tokens,
 )
 
 SYLLABLE_CLASS = f"[{chr(FIRST_SYLLABLE)}-{chr(LAST_SYLLABLE)}]"
-# One special token, or a run of other characters, or a lone '<'.
-SPECIAL_PIECES = (
-    f"{EOS_TOKEN}|{UNK_TOKEN}|{PAD_TOKEN}|<extra_id_(?:{'|'.join(str(k) for k in range(SENTINELS))})>|[^<]+|<"
-)
 
 
 def _no_ids() -> Column:
@@ -104,7 +101,12 @@ def first_ids(text: Column | str, length: int, encode: Callable[[Column], Column
     return F.slice(encode(F.substring(text, 1, length)), 1, length)
 
 
-def special_letter_ids(text: Column | str) -> Column:
+def special_pieces(sentinels: int = SENTINELS) -> str:
+    """Pattern of one special token, or a run of other characters, or a lone '<'."""
+    return "|".join([*special_tokens(sentinels), "[^<]+", "<"])
+
+
+def special_letter_ids(text: Column | str, sentinels: int = SENTINELS) -> Column:
     """As :func:`letter_ids`, but literal special tokens inside the text become one id each."""
     text = F.col(text) if isinstance(text, str) else text
 
@@ -118,5 +120,5 @@ def special_letter_ids(text: Column | str) -> Column:
         is_special = (F.char_length(piece) > 1) & piece.startswith("<")
         return F.when(is_special, F.array(named)).otherwise(letter_ids(piece))
 
-    pieces = F.regexp_extract_all(text, F.lit(f"({SPECIAL_PIECES})"), F.lit(1))
+    pieces = F.regexp_extract_all(text, F.lit(f"({special_pieces(sentinels)})"), F.lit(1))
     return F.flatten(F.transform(pieces, piece_ids))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanmill.functions.binding import bind
-from spanmill.functions.vocabulary import EOS, PAD
+from spanmill.functions.vocabulary import BYTE_BASE, EOS, PAD, SENTINEL_BASE
 
 IGNORED_LABEL = -100  # fixed value: label positions that a loss skips
 
@@ -61,10 +61,19 @@ def join_pair(first: Column, second: Column) -> Column:
     return F.concat(append_eos(first), append_eos(second))
 
 
+def special_mask(ids: Column) -> Column:
+    """1 at every special id of a sequence that already has its special ids."""
+    return F.transform(ids, lambda x: F.when((x < BYTE_BASE) | (x >= SENTINEL_BASE), 1).otherwise(0))
+
+
+def single_special_mask(ids: Column) -> Column:
+    """1 at the end position that one bare sequence gets."""
+    return F.array_append(_repeat(0, F.size(ids)), F.lit(1))
+
+
 def pair_special_mask(first: Column, second: Column) -> Column:
     """1 at the two end positions; the inputs are taken to hold no end id."""
-    ended = lambda ids: F.array_append(_repeat(0, F.size(ids)), F.lit(1))
-    return F.concat(ended(first), ended(second))
+    return F.concat(single_special_mask(first), single_special_mask(second))
 
 
 def pair_type_ids(first: Column, second: Column) -> Column:

@@ -21,10 +21,10 @@ def sentinel_token(k: int) -> str:
     return f"<extra_id_{k}>"
 
 
-def special_tokens() -> dict[str, int]:
+def special_tokens(sentinels: int = SENTINELS) -> dict[str, int]:
     """Literal token -> id, sentinels included."""
     named = {PAD_TOKEN: PAD, EOS_TOKEN: EOS, UNK_TOKEN: UNK}
-    return named | {sentinel_token(k): SENTINEL_BASE + k for k in range(SENTINELS)}
+    return named | {sentinel_token(k): SENTINEL_BASE + k for k in range(sentinels)}
 
 
 def code_point_char(code: Column) -> Column:
@@ -32,8 +32,8 @@ def code_point_char(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
 
 
-def vocabulary_table(spark: SparkSession) -> DataFrame:
-    """(id, token, kind), 384 rows: always small enough to broadcast."""
+def vocabulary_table(spark: SparkSession, sentinels: int = SENTINELS) -> DataFrame:
+    """(id, token, kind), 384 rows unless ``sentinels`` says otherwise: small enough to broadcast."""
     i = F.col("id")
     kind = (
         F.when(i < BYTE_BASE, "control")
@@ -50,7 +50,7 @@ def vocabulary_table(spark: SparkSession) -> DataFrame:
         .when(i < SENTINEL_BASE, code_point_char(i - BYTE_BASE))
         .otherwise(F.concat(F.lit("<extra_id_"), (i - SENTINEL_BASE).cast("string"), F.lit(">")))
     )
-    return spark.range(SIZE).select(i.cast("int").alias("id"), token.alias("token"), kind.alias("kind"))
+    return spark.range(SENTINEL_BASE + sentinels).select(i.cast("int").alias("id"), token.alias("token"), kind.alias("kind"))
 
 
 def token_id(token: Column) -> Column:

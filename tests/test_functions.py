@@ -105,6 +105,17 @@ def test_pairs(one):
     assert one(Q.pair_type_ids(a, b)) == [0] * 5
 
 
+def test_special_masks(one):
+    assert one(Q.single_special_mask(ids(5, 6))) == [0, 0, 1]
+    assert one(Q.special_mask(ids(0, 5, 300, 327, 2, 1))) == [1, 0, 0, 1, 1, 1]
+
+
+def test_other_sentinel_counts(spark, one):
+    assert vocabulary_table(spark, sentinels=100).count() == 427
+    assert one(special_letter_ids(F.lit("<extra_id_99>"), sentinels=100)) == [426]
+    assert one(special_letter_ids(F.lit("<extra_id_3>"), sentinels=2)) == [b + 3 for b in b"<extra_id_3>"]
+
+
 def test_sentinel_remap(one):
     assert one(Q.sentinels_to_descending(ids(100, 259, 260))) == [100, 258, 257]
     assert one(Q.sentinels_to_ascending(ids(100, 258, 257))) == [100, 259, 260]
