@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanmill.functions.binding import bind
 from spanmill.functions.vocabulary import (
     BYTE_BASE,
     EOS,
@@ -42,9 +43,13 @@ def _no_ids() -> Column:
 def byte_ids(text: Column | str) -> Column:
     """UTF-8 byte + 3 for each byte."""
     text = F.col(text) if isinstance(text, str) else text
-    # Read as Latin-1, each byte is one character whose code point is the byte.
-    chars = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
-    return F.when(text == "", _no_ids()).otherwise(F.transform(chars, lambda c: F.ascii(c) + BYTE_BASE))
+
+    def ids(t: Column) -> Column:
+        # Read as Latin-1, each byte is one character whose code point is the byte.
+        chars = F.split(F.decode(F.encode(t, "UTF-8"), "ISO-8859-1"), "")
+        return F.when(t == "", _no_ids()).otherwise(F.transform(chars, lambda c: F.ascii(c) + BYTE_BASE))
+
+    return bind(text, ids)
 
 
 def _continuation(bits: Column) -> Column:
@@ -87,9 +92,13 @@ def _character_ids(code: Column) -> Column:
 def letter_ids(text: Column | str) -> Column:
     """As :func:`byte_ids`, but a Hangul syllable becomes initial, vowel, final."""
     text = F.col(text) if isinstance(text, str) else text
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c))
-    spelled = F.flatten(F.transform(codes, _character_ids))
-    return F.when(text.rlike(SYLLABLE_CLASS), spelled).otherwise(byte_ids(text))
+
+    def ids(t: Column) -> Column:
+        codes = F.transform(F.split(t, ""), lambda c: F.ascii(c))
+        spelled = F.flatten(F.transform(codes, _character_ids))
+        return F.when(t.rlike(SYLLABLE_CLASS), spelled).otherwise(byte_ids(t))
+
+    return bind(text, ids)
 
 
 def first_ids(text: Column | str, length: int, encode: Callable[[Column], Column] = letter_ids) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.operators.numbering import with_rank_sum
-from spanmill.session import scratch
+from spanmill.session import written
 
 # A key with more than this share of the rows is hot; there are at most 1/HOT_SHARE of them.
 HOT_SHARE = 1 / 1000
@@ -71,15 +71,14 @@ def text_overlap_metrics(df: DataFrame, predicted: str, truth: str, by: list[str
     )
 
 
-def join_hot_keys_apart(rows: DataFrame, table: DataFrame, key: str, weight: str, total: Column) -> DataFrame:
+def join_hot_keys_apart(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Join rows to a table with one row per key, however uneven the keys are.
 
     The few keys with a large share of the rows are broadcast, so their rows
     stay where they are; only the rest is shuffled.
     """
-    marked = table.withColumn("_hot", F.col(weight) > total * HOT_SHARE)
-    hot = marked.where("_hot").drop("_hot", weight)
-    cold = marked.where("NOT _hot").drop("_hot", weight)
+    hot = table.where(F.col(weight) > total * HOT_SHARE).drop(weight)
+    cold = table.where(F.col(weight) <= total * HOT_SHARE).drop(weight)
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(cold, key))
 
 
@@ -87,29 +86,27 @@ def _average_ranks(pairs: DataFrame, column: str) -> DataFrame:
     """(value, average rank, weight) with equal values collapsed before anything is ordered."""
     counts = pairs.groupBy(column).agg(F.sum("_n").alias("_c"))
     ranked = with_rank_sum(counts, column, "_c", "_before")
-    return ranked.select(column, (F.col("_before") + (F.col("_c") + 1) / 2).alias(f"{column}_rank"), "_c")
+    rank = F.col("_before") + (F.col("_c") + 1) / 2
+    return written(ranked.select(column, rank.alias(f"{column}_rank"), "_c"), "ranks")
 
 
 def corr_metrics(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation of the values, Spearman's of their average ranks.
 
-    The distinct pairs with their counts are written once to the shared folder,
-    since both rankings and the final join start from them.
+    The distinct pairs with their counts, and the ranks of either side, are
+    written once, since several later steps start from them.
     """
-    spark, path = df.sparkSession, scratch(df.sparkSession, "pairs")
     present = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    present.groupBy(x, y).agg(F.count("*").alias("_n")).write.parquet(path)
-    pairs = spark.read.parquet(path)
-    total = pairs.agg(F.sum("_n").alias("t")).scalar()
-    ranked = join_hot_keys_apart(pairs, _average_ranks(pairs, x), x, "_c", total)
-    ranked = join_hot_keys_apart(ranked, _average_ranks(pairs, y), y, "_c", total)
-    n, a, b = F.col("_n"), F.col(f"{x}_rank"), F.col(f"{y}_rank")
+    pairs = written(present.groupBy(x, y).agg(F.count("*").alias("_n")), "pairs")
+    total = pairs.agg(F.sum("_n")).first()[0] or 0
+    ranked = pairs
+    for column in (x, y):
+        ranked = join_hot_keys_apart(ranked, _average_ranks(pairs, column), column, "_c", total)
     # Centring on the known mean rank keeps the sums small.
     centre = (total + 1) / 2
-    da, db = a - centre, b - centre
+    n, a, b = F.col("_n"), F.col(f"{x}_rank") - centre, F.col(f"{y}_rank") - centre
     spearman = ranked.agg(
-        F.count("*").alias("_pairs"),
-        (F.sum(n * da * db) / F.sqrt(F.sum(n * da * da) * F.sum(n * db * db))).alias("spearman"),
+        F.try_divide(F.sum(n * a * b), F.sqrt(F.sum(n * a * a) * F.sum(n * b * b))).alias("spearman")
     )
     pearson = present.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"))
-    return pearson.select("n", "pearson", spearman.select("spearman").scalar().alias("spearman"))
+    return pearson.select("n", "pearson", spearman.scalar().alias("spearman"))
