@@ -13,7 +13,7 @@ from spanmill.functions.sequences import append_eos, attention_mask, ignore_padd
 from spanmill.functions.spans import LETTERS_ASCENDING, SentinelScheme, example_lengths, span_lengths
 from spanmill.operators.corruption import corrupt
 from spanmill.operators.equations import verify_equations
-from spanmill.operators.mixing import batch_assign, mix_fixed_rates, shuffle_seeded
+from spanmill.operators.mixing import mix_fixed_rates, shuffle_seeded
 from spanmill.operators.packing import pack_or_pad
 from spanmill.operators.projection import label_text, project_task_triple
 from spanmill.operators.splitting import eval_records
