@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.llm import language_id
+from spanmill.llm import language_id, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [F.col("doc_id").cast("bigint"), language_id.held_out()]
     found = language_id.predict(docs, language_id.learned(docs), keys, "doc_id bigint, held_out boolean")
     return found.withColumn("rejected", F.col("score") < language_id.Parameters().min_margin)
+
+
+@query()
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.spelled("bits").alias("fingerprint"), "component_id")
