@@ -91,7 +91,8 @@ def links(distinct: DataFrame, differing: int = 2) -> DataFrame:
     """``a, b``: links between the fingerprints of ``distinct(bits)`` that connect whoever differs by two bits at most."""
     if differing != 2:
         raise ValueError("the grids are those of two differing bits")
-    rows = distinct.select("bits", F.explode(_cells(F.col("bits"))).alias("cell"))
+    tasks = max(1, distinct.count() >> 14)  # each row becomes many: more tasks than the size of the table suggests
+    rows = distinct.select("bits").repartition(tasks).select("bits", F.explode(_cells(F.col("bits"))).alias("cell"))
     met = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     rows = written(rows.join(met, "cell"), "cells")
 

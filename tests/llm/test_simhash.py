@@ -96,7 +96,9 @@ def test_links_connect_what_comparing_all_connects(spark, monkeypatch, cell):
     assert sorted(mine.values()) == sorted(other.values())
 
 
-def test_components_of_odd_links(spark):
+@pytest.mark.parametrize("chunk", [3, 1 << 18])
+def test_components_of_odd_links(spark, monkeypatch, chunk):
+    monkeypatch.setattr("spanmill.llm.components.CHUNK", chunk)
     links = spark.createDataFrame([(1, 1), (2, 9), (9, 5), (5, 2), (None, 3), (3, 4), (4, 3), (3, 4)], "a bigint, b bigint")
     assert sorted(components(links).collect()) == [(4, 3), (5, 2), (9, 2)]
     assert components(links.where("a > 99")).count() == 0
