@@ -24,7 +24,7 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_matches_the_library_and_comes_back(spark, library, monkeypatch):
+def test_matches_the_library_and_comes_back(spark, library):
     rows = [(k, t, "clash") for k, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens string")
     found = byte_bpe.encoded(docs, [F.col("doc_id")], "doc_id bigint").collect()
@@ -38,20 +38,20 @@ def test_matches_the_library_and_comes_back(spark, library, monkeypatch):
     assert byte_bpe.encoded(docs.limit(0), [F.col("doc_id")], "doc_id bigint").count() == 0
 
 
-def test_forgetting_and_cutting_change_nothing(library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "REMEMBERED", 7)
-    monkeypatch.setattr(byte_bpe, "LONGEST", 5)
+def test_cutting_texts_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "PIECES", 3)
-    encoder = byte_bpe.Encoder(byte_bpe.ranks_of(public_tokenizers.path(byte_bpe.VOCABULARY)), public_tokenizers.PATTERN)
+    merges = byte_bpe.Merges(byte_bpe.ranks_of(public_tokenizers.path(byte_bpe.VOCABULARY)))
     texts = [t or "" for t in TEXTS] * 2
-    for text, parts in zip(texts, encoder.encode(texts), strict=True):
-        assert [int(i) for p in parts for i in p.split()] == library.encode_ordinary(text)
+    for text, (ids, decimal) in zip(texts, byte_bpe.Encoder(merges, public_tokenizers.PATTERN).encode(texts), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text)
+        assert decimal == "".join(f" {i}" for i in ids) and merges.decode(ids) == text.encode()
 
 
 def test_made_up_ranks_whose_merges_do_not_grow():
     """A merge may give rise to one of lower rank; each word must be as if merged alone."""
     draw = random.Random(3)
-    for _ in range(200):
+    early = 0
+    for _ in range(300):
         tokens = {bytes([c]) for c in b"abc"}
         while len(tokens) < 14:
             tokens.add(bytes(draw.choices(b"abc", k=draw.randint(2, 5))))
@@ -59,8 +59,13 @@ def test_made_up_ranks_whose_merges_do_not_grow():
         rest = sorted(t for t in tokens if len(t) > 1)
         draw.shuffle(rest)
         ranks = {t: k for k, t in enumerate(single + rest)}
-        words = [bytes(draw.choices(b"abc", k=draw.randint(0, 12))) for _ in range(20)]
-        for word, ids in zip(words, byte_bpe.replay(words, ranks), strict=True):
+        words = [bytes(draw.choices(b"abc", k=draw.randint(0, 12))) for _ in range(30)]
+        merges = byte_bpe.Merges(ranks)
+        early += merges.early.any()
+        ids, counts = byte_bpe.replay(words, merges)
+        assert counts.sum() == len(ids)
+        ends = counts.cumsum()
+        for word, end, n in zip(words, ends, counts, strict=True):
             parts = [word[k : k + 1] for k in range(len(word))]
             while True:
                 pairs = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
@@ -68,7 +73,8 @@ def test_made_up_ranks_whose_merges_do_not_grow():
                     break
                 k = min(pairs)[1]
                 parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            assert ids == [ranks[p] for p in parts]
+            assert ids[end - n : end].tolist() == [ranks[p] for p in parts]
+    assert early > 100
 
 
 def test_query_round_trip(spark, library):
