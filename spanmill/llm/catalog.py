@@ -16,7 +16,10 @@ from spanmill.llm import (
     neighbours,
     secret_scan,
     simhash,
+    substring_dedup,
+    token_counts,
 )
+from spanmill.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +41,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+OP1 = """
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[ \\t\\r\\n]*[^.!?\\n]*[.!?\\n]+[ \\t\\r\\n]*|[^.!?\\n]+') AS parts FROM documents
+), pieces AS (
+  SELECT doc_id, i, parts[i] AS part, regexp_extract_all(parts[i], '[^ \\t\\r\\n]+') AS w
+  FROM cut, unnest(generate_series(1, len(parts))) AS t(i)
+), places AS (
+  SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, array_to_string(w, ' ') AS words FROM pieces
+), runs AS (
+  SELECT a.doc_id, a.i, min(b.i) AS j FROM places AS a JOIN places AS b
+  ON a.doc_id = b.doc_id AND b.i BETWEEN a.i + 1 AND a.i + 13 AND b.upto - a.upto + len(a.w) >= 12 GROUP BY ALL
+), spelled AS (
+  SELECT r.doc_id, r.i, r.j, string_agg(p.words, ' ' ORDER BY p.i) AS k
+  FROM runs AS r JOIN places AS p ON r.doc_id = p.doc_id AND p.i BETWEEN r.i AND r.j GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS place FROM spelled),
+covered AS (SELECT DISTINCT doc_id, x FROM ranked, unnest(generate_series(i, j)) AS t(x) WHERE place > 1)
+SELECT c.doc_id, coalesce(string_agg(p.part, '' ORDER BY p.i) FILTER (v.x IS NULL), '') AS text,
+  count(p.i) AS n_sentences, count(v.x) AS n_removed, count(v.x) > 0 AS changed
+FROM cut AS c LEFT JOIN pieces AS p ON c.doc_id = p.doc_id LEFT JOIN covered AS v ON p.doc_id = v.doc_id AND p.i = v.x
+GROUP BY c.doc_id
+"""
+
+
+@query(OP1)
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).withColumn("changed", F.col("n_removed") > 0)
+
+
 OP2 = """
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -126,6 +157,37 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(docs, [F.col("doc_id").cast("bigint")], "doc_id bigint", with_ids=False)
 
 
+OP8 = """
+WITH live AS (
+  SELECT d.doc_id, d.source, d.lang, CASE WHEN l.quality = 0 THEN regexp_replace(d.text, '[*&%$#!]{2,}', '', 'g') ELSE d.text END AS text
+  FROM documents AS d LEFT JOIN labels AS l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1
+), counts AS (
+  SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+')) AS n FROM live
+  UNION ALL
+  SELECT source, lang, 'pieces-1', len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N} \\t\\r\\n]')) FROM live
+)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM counts GROUP BY ALL
+"""
+
+
+@query(OP8)
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in; those labelled toxic are taken down; those of low quality are cleaned and counted anew.
+
+    The two later batches are delivered twice, as after a lost acknowledgement.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    toxic = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    low = docs.join(labels.where("quality = 0 and coalesce(toxic, 0) <> 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    low = low.withColumn("text", F.regexp_replace("text", r"[*&%$#!]{2,}", ""))
+    rollup = token_counts.Rollup(spark, scratch(spark, "token-counts"))
+    rollup.commit(1, token_counts.counted(docs, "insert", 1))
+    later = {2: token_counts.counted(toxic, "delete", 2), 3: token_counts.counted(low, "revise", 3)}
+    for batch, changes in [*later.items(), *later.items()]:
+        rollup.commit(batch, changes)
+    return rollup.totals()
+
+
 @query()
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
