@@ -70,6 +70,13 @@ class Merges:
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    @classmethod
+    def of(cls, tables: dict) -> Merges:
+        """The same from the tables of another, which are plain data."""
+        merges = cls.__new__(cls)
+        vars(merges).update(tables)
+        return merges
+
     def symbols(self, content: bytes) -> np.ndarray:
         raw = np.frombuffer(content, dtype=np.uint8)
         if self.byte is not None:
@@ -198,10 +205,11 @@ def encoded(
 ) -> DataFrame:
     """``keys`` (as ``schema`` names them), n_tokens, digests of ids and decoded bytes, and the ids where asked for."""
     merges = Merges(ranks_of(path or public_tokenizers.path(VOCABULARY)))
-    shared = docs.sparkSession.sparkContext.broadcast((merges, pattern or public_tokenizers.PATTERN))
+    shared = docs.sparkSession.sparkContext.broadcast((vars(merges), pattern or public_tokenizers.PATTERN))
 
     def start():
-        encoder = Encoder(*shared.value)
+        tables, expression = shared.value
+        encoder = Encoder(Merges.of(tables), expression)
 
         def work(texts: pa.Array, *kept: pa.Array) -> list:
             counts, ids_sha, decoded_sha, all_ids = [], [], [], []
