@@ -57,7 +57,7 @@ def document_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def problems(spark: SparkSession, sf: str) -> DataFrame:
-    """Math problems over lineitem: four right forms, one wrong, one broken."""
+    """Math problems over lineitem: four right forms, some in other spellings, one wrong, one broken."""
     form = F.col("l_linenumber") % 6
     q, p = F.col("q"), F.col("p")
     rows = spread(table(spark, sf, "lineitem"), "l_orderkey").select(
@@ -73,8 +73,15 @@ def problems(spark: SparkSession, sf: str) -> DataFrame:
         whole(F.expr("q * 10000 div p div 10000")), F.lit("."), F.lpad(whole(scaled % 10000), 4, "0")
     )
     share = F.concat(whole(F.expr("q * p div 100")), F.lit("."), F.lpad(whole(q * p % 100), 2, "0"))
+    # Products in four spellings: plain, with powers, with a root of a large power, and as a sum of 2,001 terms.
+    product = (
+        F.when(p == 97, F.concat(q, F.lit("*"), p, F.repeat(F.lit("+1-1"), 1000)))
+        .when(p % 3 == 1, F.concat(q, F.lit("^2*"), p, F.lit("/"), q, F.lit("^1")))
+        .when(p % 3 == 2, F.concat(q, F.lit("*"), p, F.lit("*1^70000+(2^2000)^0.5/2^1000-1")))
+        .otherwise(F.concat(q, F.lit("*"), p))
+    )
     equation = (
-        F.when(form == 0, F.concat(F.lit("x="), q, F.lit("*"), p))
+        F.when(form == 0, F.concat(F.lit("x="), product))
         .when(form == 1, F.concat(F.lit("x="), q, F.lit(":"), p))
         .when(form == 2, F.concat(F.lit("x="), q, F.lit("(1/"), p, F.lit(")")))
         .when(form == 3, F.concat(F.lit("x="), p, F.lit("%*"), q))
@@ -85,6 +92,7 @@ def problems(spark: SparkSession, sf: str) -> DataFrame:
         F.when(form == 0, whole(q * p))
         .when(form == 1, ratio)
         .when(form == 2, F.concat(q, F.lit("(1/"), p, F.lit(")")))
+        .when((form == 3) & (p % 2 == 0), F.concat(q * p, F.lit("e-2")))
         .when(form == 3, share)
         .when(form == 4, whole(q + p + 1))
         .otherwise(whole(q))

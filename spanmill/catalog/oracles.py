@@ -141,13 +141,17 @@ PROBLEMS = """
         select l_orderkey, l_linenumber, l_returnflag, form, q, p,
                concat('It''s ', q, ' and "None" ', p) as question,
                concat('x=', case form
-                   when 0 then concat(q, '*', p) when 1 then concat(q, ':', p) when 2 then concat(q, '(1/', p, ')')
+                   when 0 then case when p = 97 then concat(q, '*', p, repeat('+1-1', 1000))
+                                    when p % 3 = 1 then concat(q, '^2*', p, '/', q, '^1')
+                                    when p % 3 = 2 then concat(q, '*', p, '*1^70000+(2^2000)^0.5/2^1000-1')
+                                    else concat(q, '*', p) end
+                   when 1 then concat(q, ':', p) when 2 then concat(q, '(1/', p, ')')
                    when 3 then concat(p, '%*', q) when 4 then concat(q, '+', p) else concat(q, '+*', p) end) as equation,
                case form
                    when 0 then cast(q * p as varchar)
                    when 1 then concat(q * 10000 // p // 10000, '.', lpad(cast(q * 10000 // p % 10000 as varchar), 4, '0'))
                    when 2 then concat(q, '(1/', p, ')')
-                   when 3 then concat(q * p // 100, '.', lpad(cast(q * p % 100 as varchar), 2, '0'))
+                   when 3 then case when p % 2 = 0 then concat(q * p, 'e-2') else concat(q * p // 100, '.', lpad(cast(q * p % 100 as varchar), 2, '0')) end
                    when 4 then cast(q + p + 1 as varchar)
                    else cast(q as varchar) end as ans
         from quantities),
@@ -191,7 +195,7 @@ oracle(
 oracle("src_union_files", "select doc_id as id, text from documents union all select item_id, text from benchmark")
 oracle(
     "src_tsv_as_str",
-    """select cast(doc_id as varchar) as prefix, case when doc_id % 10 > 0 then text else 'nan' end as input_text,
+    """select cast(doc_id as varchar) as prefix, case when doc_id % 10 > 1 then text else 'nan' end as input_text,
               lang as target_text from documents""",
 )
 oracle(
@@ -201,7 +205,7 @@ oracle(
 )
 oracle(
     "src_text_label_zip",
-    "select d.doc_id, d.text, l.quality as label from documents d join labels l on d.doc_id = l.doc_id",
+    "select d.doc_id, d.text, l.quality as label from documents d left join labels l on d.doc_id = l.doc_id",
 )
 oracle(
     "sink_tsv",
@@ -385,10 +389,10 @@ oracle(
     "tok_pair_inputs",
     f"""with t as (select conv_id, turn, {letter_ids('text')} as ids from conversations)
         select a.conv_id, a.turn,
-               {joined('list_concat(list_append(a.ids, 1), list_append(b.ids, 1))')} as ids,
-               {joined(f"list_concat({repeated('0', 'len(a.ids)')}, [1], {repeated('0', 'len(b.ids)')}, [1])")} as special_mask,
-               {joined(repeated('0', 'len(a.ids) + len(b.ids) + 2'))} as type_ids
-        from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.turn % 2 = 0""",
+               {joined("list_concat(list_append(a.ids, 1), case when b.ids is null then [] else list_append(b.ids, 1) end)")} as ids,
+               {joined(f"list_concat({repeated('0', 'len(a.ids)')}, [1], case when b.ids is null then [] else list_append({repeated('0', 'len(b.ids)')}, 1) end)")} as special_mask,
+               {joined(repeated('0', 'len(a.ids) + 1 + coalesce(len(b.ids) + 1, 0)'))} as type_ids
+        from t a left join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.turn % 2 = 0""",
 )
 PADDED_512 = f"""
     t as (select doc_id, {letter_ids(HANGUL)} as ids from documents),
@@ -405,7 +409,13 @@ oracle(
         select doc_id, batch_id, {joined(padded('ids', 'width'))} as ids, {joined(padded('ids', 'width', '-100'))} as labels
         from w""",
 )
-oracle("mask_label_pad", f"with {PADDED_512} select doc_id, {joined(padded('ids', '512', '-100'))} as labels from cut")
+oracle(
+    "mask_label_pad",
+    f"""with t as (select doc_id, {letter_ids(HANGUL)} as ids from documents),
+        whole as (select doc_id, {ended('ids')} as ids from t),
+        wide as (select *, cast(ceil(len(ids) / 512.0) * 512 as bigint) as width from whole)
+        select doc_id, {joined(padded('ids', 'width', '-100'))} as labels from wide""",
+)
 oracle(
     "assemble_examples",
     f"""with t as (select doc_id, {byte_ids('text')} as ids from documents),
@@ -457,10 +467,12 @@ oracle(
 )
 oracle(
     "concat_tokens",
-    f"""with numbered as ({NUMBERED}), t as (select record_no, {letter_ids(HANGUL)} as ids from numbered)
+    f"""with numbered as ({NUMBERED}), t as (select record_no, {letter_ids(HANGUL)} as ids from numbered),
+        s as (select record_no, ids, {draw(1, 'chunk', 'record_no')} % cast(ceil(len(ids) / 65536.0) as bigint) * 65536 as b
+              from t where len(ids) > 0)
         select record_no // 128 as group_id, cast(count(*) as int) as records,
-               {joined('flatten(list(ids order by record_no))')} as ids
-        from t group by 1""",
+               {joined('flatten(list(ids[b + 1 : b + 65536] order by record_no))')} as ids
+        from s group by 1""",
 )
 oracle("split_segments", f"with {LETTER_SEGMENTS} select doc_id, cast(segment as int) as segment, {joined('ids')} as ids from segments")
 oracle(
@@ -649,12 +661,37 @@ oracle(
 )
 oracle(
     "pretraining_corpus",
-    f"""with recursive {mixture('documents', {'fr': '0.7', 'en': '0.3'}, 'count(*)')},
-        records as (
-            select row_number() over (order by {digest(1, 'order', 'doc_id', 'epoch')}, doc_id, epoch) - 1 as record_no,
-                   {HANGUL} as text from mixed),
-        {group_segments('records', letter_ids('text')).replace(' sized as', ' texts as').replace('from sized', 'from texts')},
-        {pairs(GROUP_KEYS, 327, 1, (1024, 189))}, {packed('group_id, segment', 'group_id // 1000')}""",
+    f"""with recursive records as (
+            select lang as source, {HANGUL} as text,
+                   row_number() over (partition by lang order by {digest(1, 'order', 'lang', 'doc_id')}, doc_id) - 1 as record_no
+            from documents where lang in ('fr', 'en')),
+        texts as (select source, record_no, {letter_ids('text')} as ids from records),
+        placed_chunks as (
+            select *, {draw(1, 'chunk', 'source', 'record_no')} % cast(ceil(len(ids) / 65536.0) as bigint) * 65536 as b
+            from texts where len(ids) > 0),
+        streams as (
+            select source, group_id, unnest(ids) as id, unnest(range(0, len(ids))) as place
+            from (select source, record_no // 128 as group_id, flatten(list(ids[b + 1 : b + 65536] order by record_no)) as ids
+                  from placed_chunks group by 1, 2)),
+        segments as materialized (
+            select source, group_id, place // {SEGMENT} as segment, list(id order by place) as ids from streams group by 1, 2, 3),
+        {pairs(['source', *GROUP_KEYS], 327, 1, (1024, 189)).replace('pairs as materialized', 'examples as materialized')},
+        sizes as (
+            select source, count(*) as n, cast(floor((select count(*) from examples) * case source when 'fr' then 0.7 else 0.3 end) as bigint) as quota
+            from examples group by source),
+        ranked as (
+            select *, row_number() over (partition by source order by {digest(1, 'mix', 'source', 'group_id', 'segment')}, group_id, segment) - 1 as r
+            from examples),
+        mixed as (
+            select ranked.*, unnest(range(0, cast(quota // n + case when r < quota % n then 1 else 0 end as bigint))) as epoch
+            from ranked join sizes using (source)),
+        pairs as materialized (
+            select source, inputs, targets, {digest(1, 'order', 'source', 'group_id', 'segment', 'epoch')} as place,
+                   cast(greatest(ceil(ln((select count(*) from examples) / 1000.0) / ln(16)), 0) as int) as digits
+            from mixed),
+        {packed('place, source', 'place[1:digits]').replace('select arg_min(place', ', packs as (select arg_min(place')}),
+        ordered as (select * exclude (place, source), row_number() over (order by place) - 1 as pos from packs)
+        select *, pos // 8 as batch_id, cast(pos % 8 as int) as slot from ordered where pos // 8 < (select count(*) // 8 from packs)""",
 )
 oracle(
     "eval_holdout",
@@ -684,7 +721,7 @@ oracle(
 )
 oracle(
     "corpus_token_counts",
-    f"""with t as (select lang, list_append(({letter_ids(HANGUL)})[1:{SEGMENT}], 1) as ids from documents)
+    f"""with t as (select lang, list_append({letter_ids(HANGUL)}, 1) as ids from documents)
         select lang, count(*) as documents, cast(sum(len(ids)) as bigint) as tokens, cast(sum(list_sum(ids)) as bigint) as id_sum
         from t group by lang""",
 )

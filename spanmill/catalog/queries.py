@@ -11,6 +11,7 @@ from spanmill.catalog import inputs as I
 from spanmill.functions import cleaning as C
 from spanmill.functions import sequences as Q
 from spanmill.functions import spans as S
+from spanmill.functions.binding import bind
 from spanmill.functions.decode import decode_ids
 from spanmill.functions.encode import byte_ids, first_ids, letter_ids, special_letter_ids
 from spanmill.functions.vocabulary import vocabulary_table
@@ -24,7 +25,7 @@ from spanmill.operators.corruption import corrupt, with_noise_spans
 from spanmill.operators.numbering import with_line_position
 from spanmill.operators import packing as Z
 from spanmill.plans import jobs
-from spanmill.plans.recipes import registry
+from spanmill.plans.recipes import registry, run_together
 from spanmill.session import scratch
 from spanmill.sources import readers as R
 from spanmill.sources import sinks as W
@@ -74,7 +75,8 @@ def src_union_files(spark, sf):
 @query
 def src_tsv_as_str(spark, sf):
     path = scratch(spark, "tsv")
-    text = F.when(F.col("doc_id") % 10 > 0, F.col("text"))
+    words = F.element_at(F.array(*[F.lit(w) for w in ("NA", "None", "null", "N/A")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.when(F.col("doc_id") % 10 > 1, F.col("text")).when(F.col("doc_id") % 10 == 1, words)
     W.write_tsv(I.documents(spark, sf).select(F.col("doc_id").alias("prefix"), text.alias("input_text"), F.col("lang").alias("target_text")), path)
     return R.read_tsv(spark, path)
 
@@ -89,7 +91,7 @@ def src_named_splits(spark, sf):
 @query
 def src_text_label_zip(spark, sf):
     return R.zip_text_labels(
-        I.documents(spark, sf).select("doc_id", "text"), I.table(spark, sf, "labels"), "doc_id", "quality"
+        I.documents(spark, sf).select("doc_id", "text"), I.table(spark, sf, "labels"), "doc_id", "quality", unlabelled=True
     )
 
 
@@ -292,7 +294,7 @@ def tok_vocab_table(spark, sf):
     """Use of each vocabulary entry in the corpus; the counts are summed before the 384-row join."""
     ids = special_letter_ids(I.with_specials())
     used = I.korean(spark, sf).select(F.explode(ids).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    return F.broadcast(vocabulary_table(spark)).join(used, "id", "left").select("id", "token", "kind", F.coalesce("n", F.lit(0)).alias("n"))
+    return vocabulary_table(spark).join(F.broadcast(used), "id", "left").select("id", "token", "kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query
@@ -331,18 +333,19 @@ def tok_truncate(spark, sf):
 
 @query
 def tok_pair_inputs(spark, sf):
+    """Each even turn with the turn after it; a last turn without one is a sequence of its own."""
     turns = I.table(spark, sf, "conversations")
     first = turns.where("turn % 2 = 0").select("conv_id", "turn", F.col("text").alias("a"))
     second = turns.where("turn % 2 = 1").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
-    df = first.join(second, ["conv_id", "turn"]).select("conv_id", "turn", letter_ids("a").alias("a"), letter_ids("b").alias("b"))
+    df = first.join(second, ["conv_id", "turn"], "left").select("conv_id", "turn", letter_ids("a").alias("a"), letter_ids("b").alias("b"))
     a, b = F.col("a"), F.col("b")
     return text_of(
         df.select(
             "conv_id",
             "turn",
-            Q.join_pair(a, b).alias("ids"),
-            Q.pair_special_mask(a, b).alias("special_mask"),
-            Q.pair_type_ids(a, b).alias("type_ids"),
+            F.when(b.isNull(), Q.append_eos(a)).otherwise(Q.join_pair(a, b)).alias("ids"),
+            F.when(b.isNull(), Q.single_special_mask(a)).otherwise(Q.pair_special_mask(a, b)).alias("special_mask"),
+            F.when(b.isNull(), Q.single_type_ids(a)).otherwise(Q.pair_type_ids(a, b)).alias("type_ids"),
         ),
         "ids",
         "special_mask",
@@ -379,8 +382,10 @@ def pad_batch_longest(spark, sf):
 
 @query
 def mask_label_pad(spark, sf):
-    df = _padded_512(spark, sf).select("doc_id", Q.ignore_padding(F.col("ids")).alias("labels"))
-    return text_of(df, "labels")
+    """Whole texts, padded to the next multiple of 512 and the padding masked."""
+    df = I.korean(spark, sf).select("doc_id", Q.append_eos(letter_ids("text")).alias("ids"))
+    whole = bind(F.col("ids"), lambda v: Q.ignore_padding(Q.pad_to(v, (F.ceil(F.size(v) / 512) * 512).cast("int"))))
+    return text_of(df.select("doc_id", whole.alias("labels")), "labels")
 
 
 @query
@@ -500,17 +505,15 @@ def corrupt_pairs(spark, sf):
 def sentinel_schemes(spark, sf):
     docs = I.numbered(spark, sf).select("record_no", "text")
     out = None
-    for name, recipe in registry.recipes.items():
-        pairs = recipe.run(docs).select(F.lit(name).alias("scheme"), *recipe.keys, *recipe.features)
+    for name, pairs in run_together(list(registry.recipes.values()), docs).items():
+        pairs = pairs.select(F.lit(name).alias("scheme"), "*")
         out = pairs if out is None else out.unionByName(pairs)
     return text_of(out, "inputs", "targets")
 
 
 def _packed(spark, sf, pack):
-    segments = I.document_segments(spark, sf).withColumn("tokens", F.size("ids"))
-    pairs = corrupt(segments, ["doc_id", "segment"], S.LETTERS_ASCENDING, keep=["tokens"])
-    sizes = dict(zip(("inputs", "targets"), S.example_lengths(F.col("tokens"))))
-    return Z.pack_or_pad(pairs, ["doc_id", "segment"], F.floor(F.col("doc_id") / 100), pack, sizes=sizes)
+    pairs = corrupt(I.document_segments(spark, sf), ["doc_id", "segment"], S.LETTERS_ASCENDING)
+    return Z.pack_or_pad(pairs, ["doc_id", "segment"], F.floor(F.col("doc_id") / 100), pack)
 
 
 PACKED = [f"{side}{part}" for side in ("inputs", "targets") for part in ("", "_segmentation", "_position")]
@@ -617,8 +620,8 @@ def recipe_registry(spark, sf):
     """Size of what every registered recipe makes of the corpus."""
     docs = I.numbered(spark, sf).select("record_no", I.hangul().alias("text"))
     out = None
-    for name, recipe in registry.recipes.items():
-        sizes = recipe.run(docs).agg(
+    for name, pairs in run_together(list(registry.recipes.values()), docs).items():
+        sizes = pairs.agg(
             F.count("*").alias("examples"), F.sum(F.size("inputs")).alias("input_ids"), F.sum(F.size("targets")).alias("target_ids")
         )
         sizes = sizes.select(F.lit(name).alias("recipe"), "*")
@@ -653,10 +656,7 @@ def mixture_registry(spark, sf):
 @query
 def pretraining_corpus(spark, sf):
     docs = I.documents(spark, sf).select("doc_id", "lang", I.hangul().alias("text"))
-    total = docs.agg(F.count("*").alias("n")).scalar()
-    packed = jobs.pretraining_corpus(
-        docs, "letters_ascending", ["doc_id"], rates={"fr": 0.7, "en": 0.3}, total=total
-    )
+    packed = jobs.pretraining_corpus(docs, "letters_ascending", ["doc_id"], rates={"fr": 0.7, "en": 0.3}, drop_last=True)
     return text_of(packed, *PACKED)
 
 
@@ -680,7 +680,8 @@ def labelled_text(spark, sf):
 
 @query
 def corpus_token_counts(spark, sf):
-    """Flagship: documents tokenised, cut to one segment, ended, and counted by language."""
-    ids = Q.append_eos(first_ids("text", I.SEGMENT))
-    counted = I.korean(spark, sf).select("lang", F.size(ids).alias("n"), F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("s"))
+    """Flagship: whole documents tokenised, ended, and counted by language."""
+    added = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    both = bind(Q.append_eos(letter_ids("text")), lambda v: F.struct(F.size(v).alias("n"), added(v).alias("s")))
+    counted = I.korean(spark, sf).select("lang", both.alias("c")).select("lang", "c.n", "c.s")
     return counted.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.sum("s").alias("id_sum"))

@@ -76,6 +76,10 @@ def pair_special_mask(first: Column, second: Column) -> Column:
     return F.concat(single_special_mask(first), single_special_mask(second))
 
 
+def single_type_ids(ids: Column) -> Column:
+    return _repeat(0, F.size(ids) + 1)
+
+
 def pair_type_ids(first: Column, second: Column) -> Column:
     return _repeat(0, F.size(first) + F.size(second) + 2)
 

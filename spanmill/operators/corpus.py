@@ -34,14 +34,17 @@ def random_chunk(
     return df.select(*rest, F.explode(bind(F.col(ids), chosen)).alias(ids))
 
 
-def concat_tokens(df: DataFrame, ids: str, record_no: str, group_size: int = GROUP_SIZE) -> DataFrame:
+def concat_tokens(
+    df: DataFrame, ids: str, record_no: str, group_size: int = GROUP_SIZE, chunk_length: int = CHUNK_LENGTH, seed: int = 1
+) -> DataFrame:
     """One row per run of ``group_size`` records with their ids joined in record order.
 
-    A group holds at most ``group_size`` records of at most one chunk each, so
-    its row is bounded; for the training objective :func:`joined_segments`
-    never builds it.
+    Each record gives one chunk at most, chosen here, so a row is bounded by
+    ``group_size * chunk_length`` ids; for the training objective
+    :func:`joined_segments` never builds it.
     """
-    grouped = df.groupBy(F.floor(F.col(record_no) / group_size).alias("group_id"))
+    chunks = random_chunk(df.select(record_no, ids), ids, [record_no], chunk_length, seed)
+    grouped = chunks.groupBy(F.floor(F.col(record_no) / group_size).alias("group_id"))
     members = grouped.agg(F.array_sort(F.collect_list(F.struct(record_no, ids))).alias("_members"))
     return members.select(
         "group_id",
@@ -67,6 +70,7 @@ def joined_segments(
     group_size: int = GROUP_SIZE,
     chunk_length: int = CHUNK_LENGTH,
     seed: int = 1,
+    within: list[str] = [],
 ) -> DataFrame:
     """Chunk selection, concatenation and splitting as one shuffle of the text.
 
@@ -77,18 +81,21 @@ def joined_segments(
     key, so it runs inside the partitions that the running sum made, and no
     row ever holds a whole group.
 
-    Returns ``group_id``, ``segment``, ``ids``.
+    With ``within``, say a source, records are numbered and joined for each of
+    its values apart, and no segment holds two. Returns ``within``,
+    ``group_id``, ``segment``, ``ids``.
     """
     size = F.octet_length(text)
-    start = chunk_start(F.col("_size"), F.col(record_no), length=chunk_length, seed=seed)
+    key = [F.col(c) for c in (*within, record_no)]
+    start = chunk_start(F.col("_size"), *key, length=chunk_length, seed=seed)
     sized = (
-        df.select(record_no, text, size.alias("_size"))
+        df.select(*within, record_no, text, size.alias("_size"))
         .where("_size > 0")
         .withColumn("group_id", F.floor(F.col(record_no) / group_size))
         .withColumn("_start", start)
         .withColumn("_len", F.least(F.lit(chunk_length), F.col("_size") - F.col("_start")))
     )
-    before = Window.partitionBy("group_id").orderBy(record_no).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*within, "group_id").orderBy(record_no).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_at", F.coalesce(F.sum("_len").over(before), F.lit(0)).cast("int"))
 
     at, count = F.col("_at"), F.col("_len")
@@ -102,8 +109,8 @@ def joined_segments(
 
         return F.transform(F.sequence(first.cast("int"), last.cast("int")), piece)
 
-    cut = placed.select("group_id", record_no, F.explode(bind(encode(F.col(text)), pieces)).alias("_p"))
-    met = cut.groupBy("group_id", F.col("_p.segment").alias("segment")).agg(
+    cut = placed.select(*within, "group_id", record_no, F.explode(bind(encode(F.col(text)), pieces)).alias("_p"))
+    met = cut.groupBy(*within, "group_id", F.col("_p.segment").alias("segment")).agg(
         F.array_sort(F.collect_list(F.struct(record_no, F.col("_p.ids").alias("ids")))).alias("_parts")
     )
-    return met.select("group_id", "segment", F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids"))
+    return met.select(*within, "group_id", "segment", F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids"))

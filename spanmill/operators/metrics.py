@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanmill.operators.numbering import with_rank_sum
 from spanmill.session import written
@@ -50,14 +54,19 @@ def exact_match(predicted: Column, truth: Column) -> Column:
     return F.when(answer_words(predicted) == answer_words(truth), 1.0).otherwise(0.0)
 
 
+def words_shared(predicted: Column, truth: Column) -> Column:
+    """How many words two arrays share, repeats counted; in proportion to their lengths."""
+
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        both = zip(a.to_pylist(), b.to_pylist())
+        return pa.array([sum((Counter(x or []) & Counter(y or [])).values()) for x, y in both], pa.int32())
+
+    return F.arrow_udf(count, T.IntegerType())(predicted, truth)
+
+
 def overlap_f1(predicted: Column, truth: Column) -> Column:
     """F1 of the words two answers share, repeats counted; both arguments are word arrays."""
-    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    shared = F.aggregate(
-        F.array_intersect(predicted, truth),
-        F.lit(0),
-        lambda acc, w: acc + F.least(times(predicted, w), times(truth, w)),
-    )
+    shared = words_shared(predicted, truth)
     both_empty = (F.size(predicted) == 0) & (F.size(truth) == 0)
     return F.when(both_empty, 1.0).otherwise(2.0 * shared / F.greatest(F.size(predicted) + F.size(truth), F.lit(1)))
 
@@ -82,31 +91,39 @@ def join_hot_keys_apart(rows: DataFrame, table: DataFrame, key: str, weight: str
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(cold, key))
 
 
-def _average_ranks(pairs: DataFrame, column: str) -> DataFrame:
-    """(value, average rank, weight) with equal values collapsed before anything is ordered."""
-    counts = pairs.groupBy(column).agg(F.sum("_n").alias("_c"))
-    ranked = with_rank_sum(counts, column, "_c", "_before")
-    rank = F.col("_before") + (F.col("_c") + 1) / 2
-    return written(ranked.select(column, rank.alias(f"{column}_rank"), "_c"), "ranks")
+def _average_ranks(pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """(side, value, average rank, weight) of all columns, with equal values collapsed before anything is ordered."""
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("double").alias("value")) for c in columns]))
+    counts = pairs.select(stacked.alias("_s"), "_n").groupBy("_s.side", "_s.value").agg(F.sum("_n").alias("_c"))
+    ranked = with_rank_sum(counts, "value", "_c", "_before", within=["side"])
+    return ranked.select("side", "value", (F.col("_before") + (F.col("_c") + 1) / 2).alias("rank"), "_c")
 
 
 def corr_metrics(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation of the values, Spearman's of their average ranks.
 
-    The distinct pairs with their counts, and the ranks of either side, are
-    written once, since several later steps start from them.
+    The table is read once, for its distinct pairs with their counts; both
+    correlations follow from these. The ranks of both sides are one table.
     """
     present = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     pairs = written(present.groupBy(x, y).agg(F.count("*").alias("_n")), "pairs")
-    total = pairs.agg(F.sum("_n")).first()[0] or 0
-    ranked = pairs
+    mean = lambda c: (F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"mean_{c}")
+    known = pairs.agg(F.sum("_n").alias("total"), mean(x), mean(y)).first()
+    total = known["total"] or 0
+    ranked, ranks = pairs, _average_ranks(pairs, [x, y])
     for column in (x, y):
-        ranked = join_hot_keys_apart(ranked, _average_ranks(pairs, column), column, "_c", total)
-    # Centring on the known mean rank keeps the sums small.
+        side = ranks.where(F.col("side") == column).select(F.col("value").alias("_v"), F.col("rank").alias(f"{column}_rank"), "_c")
+        ranked = join_hot_keys_apart(ranked.withColumn("_v", F.col(column).cast("double")), side, "_v", "_c", total).drop("_v")
+
+    def correlation(a: Column, b: Column) -> Column:
+        # Centring on the known means keeps the sums small.
+        n = F.col("_n")
+        return F.try_divide(F.sum(n * a * b), F.sqrt(F.sum(n * a * a) * F.sum(n * b * b)))
+
     centre = (total + 1) / 2
-    n, a, b = F.col("_n"), F.col(f"{x}_rank") - centre, F.col(f"{y}_rank") - centre
-    spearman = ranked.agg(
-        F.try_divide(F.sum(n * a * b), F.sqrt(F.sum(n * a * a) * F.sum(n * b * b))).alias("spearman")
+    values = [F.col(c) - F.lit(known[f"mean_{c}"]) for c in (x, y)]
+    return ranked.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
+        correlation(*values).alias("pearson"),
+        correlation(*[F.col(f"{c}_rank") - centre for c in (x, y)]).alias("spearman"),
     )
-    pearson = present.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"))
-    return pearson.select("n", "pearson", spearman.scalar().alias("spearman"))

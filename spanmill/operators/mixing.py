@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.operators.numbering import with_shuffled_position
+from spanmill.operators.numbering import digest_blocks, with_shuffled_position
 
 DEFAULT_TEMPERATURE = 1.0 / 0.3
+EPOCHS_AT_ONCE = 4096
 
 
 def temperature_rates(
@@ -40,6 +41,8 @@ def mix_fixed_rates(
 
     A source short of its quota is repeated in whole epochs; the last, partial
     epoch takes the rows that come first in the seeded order of that source.
+    Rows that no epoch takes are dropped, and all others stay, where they are
+    read: only one block of each source, at the edge of its quota, is shuffled.
     """
     named = df.where(F.col(source).isin(list(rates)))
     rate = F.lit(None).cast("decimal(9,6)")
@@ -47,22 +50,26 @@ def mix_fixed_rates(
         rate = F.when(F.col(source) == name, F.lit(Decimal(str(value))).cast("decimal(9,6)")).otherwise(rate)
     total = F.lit(total) if isinstance(total, int) else total
     quota = F.floor(total.cast("decimal(20,0)") * rate).cast("bigint")
-    # One row per named source, and the names are those of ``rates``.
-    sizes = (
-        named.groupBy(source)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_quota", quota)
-        .select(source, F.expr("_quota div _n").alias("_full"), F.expr("_quota % _n").alias("_rest"))
-    )
-    placed = with_shuffled_position(named, keys, seed, "mix", within=[source], name="_pos")
-    copies = F.col("_full") + F.when(F.col("_pos") < F.col("_rest"), 1).otherwise(0)
-    return (
-        placed.join(F.broadcast(sizes), source)
-        .withColumn("_copies", copies)
-        .where("_copies > 0")
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
-        .drop("_full", "_rest", "_pos", "_copies")
+    blocks = digest_blocks(named, keys, seed, "mix", within=[source])
+    # One row per named source and block of its digests: at most len(rates) * 16**5.
+    all_rows = F.sum("n").over(Window.partitionBy(source))
+    counted = blocks.offsets.withColumn("_quota", quota).withColumn("_all", all_rows).select(
+        source, "_block", "n", "offset", F.expr("_quota div _all").alias("_full"), F.expr("_quota % _all").alias("_rest")
     )
+    # A block before the last epoch's edge is taken once more, one behind it is not; only the block at the edge is ranked.
+    edge = (F.col("offset") < F.col("_rest")) & (F.col("offset") + F.col("n") > F.col("_rest"))
+    more = F.when(F.col("offset") + F.col("n") <= F.col("_rest"), 1).otherwise(0)
+    needed = counted.where((F.col("_full") > 0) | (F.col("offset") < F.col("_rest")))
+    rows = blocks.rows.join(F.broadcast(needed.withColumn("_edge", edge)), [source, "_block"])
+    place = F.col("offset") + F.row_number().over(Window.partitionBy(source, "_block").orderBy("_digest", *keys)) - 1
+    at_edge = rows.where("_edge").withColumn("_copies", F.col("_full") + F.when(place < F.col("_rest"), 1).otherwise(0))
+    taken = rows.where("NOT _edge").withColumn("_copies", F.col("_full") + more).unionByName(at_edge).where("_copies > 0")
+    # Epochs are made in two steps, so that a row holds few numbers even if a source of ten rows fills a large quota.
+    slices = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {EPOCHS_AT_ONCE}"))
+    sliced = taken.withColumn("_slice", F.explode(slices))
+    last = F.least(F.lit(EPOCHS_AT_ONCE), F.col("_copies") - F.col("_slice") * EPOCHS_AT_ONCE) - 1
+    numbers = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda k: F.col("_slice") * EPOCHS_AT_ONCE + k)
+    return sliced.select(*df.columns, F.explode(numbers).alias("epoch"))
 
 
 def shuffle_seeded(df: DataFrame, keys: list[str], seed: int = 1) -> DataFrame:

@@ -9,15 +9,18 @@ which row, so a retried or moved task gives the same numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.functions.binding import bind
 from spanmill.functions.draws import draw_hash
+from spanmill.session import written
 
 # Block tables up to this many rows are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
-# One leading hex digit of a digest splits the rows 16 ways; 3 to 5 of them give 4,096 to 1,048,576 even blocks.
+# One leading hex digit of a digest splits the rows 16 ways; 3 to 5 of them give 4,096 to 1,048,576 even blocks, which
+# is enough for some 10**10 rows: blocks of 10,000.
 HASH_DIGITS = range(3, 6)
 
 
@@ -45,9 +48,12 @@ def with_file_position(df: DataFrame, name: str = "record_no") -> DataFrame:
 def with_line_position(df: DataFrame, name: str = "record_no") -> DataFrame:
     """Number the lines of a text source in sorted-file order, from 0.
 
-    Within one piece of a file (a whole file if it is gzip) a task numbers its
-    rows one by one, so the place in the piece is the running id minus the
-    piece's first running id.
+    The source is read once: its lines are written to the shared folder with
+    their file, the piece of the file they were read in (a whole file if it is
+    gzip) and the reading task's running number, and everything else starts
+    from that table. The place in a piece is the running number minus the
+    piece's first. Offsets are summed over the pieces of each file, then over
+    files.
     """
     blocks = ["_file", "_start"]
     rows = df.select(
@@ -56,11 +62,13 @@ def with_line_position(df: DataFrame, name: str = "record_no") -> DataFrame:
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_running"),
     )
+    rows = written(rows, "lines")
     pieces = rows.groupBy(*blocks).agg(F.count("*").alias("n"), F.min("_running").alias("_first"))
-    offsets = _offsets(pieces, blocks, carry=["_first"])
-    # A large plain-text file has several pieces, hence the wider margin.
-    few = len(df.inputFiles()) <= BROADCAST_ROWS // 10
-    joined = rows.join(F.broadcast(offsets) if few else offsets, blocks)
+    pieces = written(pieces, "pieces")
+    files = _offsets(pieces.groupBy("_file").agg(F.sum("n").alias("n")), ["_file"]).withColumnRenamed("offset", "_before")
+    inside = _offsets(pieces, ["_start"], ["_file"], carry=["_first"]).join(files, "_file")
+    offsets = inside.select(*blocks, "_first", (F.col("offset") + F.col("_before")).alias("offset"))
+    joined = rows.join(F.broadcast(offsets) if pieces.count() <= BROADCAST_ROWS else offsets, blocks)
     number = F.col("offset") + F.col("_running") - F.col("_first")
     return joined.withColumn(name, number).drop(*blocks, "_running", "_first", "offset")
 
@@ -85,55 +93,46 @@ def with_shuffled_position(
     are even whatever the keys or groups look like, so a source that holds a
     third of the rows is spread over all tasks. ``keys`` must identify a row.
     """
+    blocks = digest_blocks(df, keys, seed, tag, within, hash_digits)
+    place = F.row_number().over(Window.partitionBy(*within, "_block").orderBy("_digest", *keys)) - 1
+    # Window and join use the same keys, so the rows move only once.
+    joined = blocks.rows.withColumn("_place", place).join(blocks.offsets.drop("n"), [*within, "_block"])
+    return joined.withColumn(name, F.col("offset") + F.col("_place")).drop("_digest", "_block", "_place", "offset")
+
+
+class DigestBlocks(NamedTuple):
+    """``rows`` with ``_digest`` and ``_block``; ``offsets`` with the rows ``n`` of each block and the ``offset`` before it."""
+
+    rows: DataFrame
+    offsets: DataFrame
+
+
+def digest_blocks(
+    df: DataFrame, keys: list[str], seed: int, tag: str, within: list[str] = [], hash_digits: int | None = None
+) -> DigestBlocks:
+    """The rows in even blocks of a seeded order, and how many there are before each block."""
     if hash_digits is None:
         hash_digits = block_digits(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     digest = draw_hash(seed, tag, *within, *keys)
     block = F.substring("_digest", 1, hash_digits).alias("_block")
     thin = df.select(*within, digest.alias("_digest")).select(*within, block)
-    blocks = [*within, "_block"]
-    offsets = _offsets(thin.groupBy(*blocks).agg(F.count("*").alias("n")), ["_block"], within)
-    rows = df.withColumn("_digest", digest).select("*", block)
-    place = F.row_number().over(Window.partitionBy(*blocks).orderBy("_digest", *keys)) - 1
-    # Window and join use the same keys, so the rows move only once.
-    joined = rows.withColumn("_place", place).join(offsets, blocks)
-    return joined.withColumn(name, F.col("offset") + F.col("_place")).drop("_digest", "_block", "_place", "offset")
+    offsets = _offsets(thin.groupBy(*within, "_block").agg(F.count("*").alias("n")), ["_block"], within, carry=["n"])
+    return DigestBlocks(df.withColumn("_digest", digest).select("*", block), offsets)
 
 
-def range_blocks(df: DataFrame, key: str, blocks: int = 256) -> Column:
-    """Block number of ``key`` in an even split of its value range.
+def with_rank_sum(df: DataFrame, key: str, weight: str, name: str = "before", within: list[str] = []) -> DataFrame:
+    """Sum of ``weight`` over all rows whose unique ``key`` is smaller (per group if ``within`` is given).
 
-    The bounds are approximate quantiles, at most ``blocks`` numbers; any
-    bounds give the same final numbering, they only decide how even it runs.
+    Rows are dealt out by ranges of the key, as many as the shuffle has
+    partitions, and written once; each range's sum gives the offsets of the
+    ranges behind it. No range depends on a fixed number of blocks.
     """
-    side = max(int(blocks**0.5), 2)
-    shares = [i / (side * side) for i in range(1, side * side)]
-    bounds = df.agg(F.percentile_approx(key, shares, 20 * side * side)).first()[0]
-    if bounds is None:
-        return F.lit(0)
-    kind = df.schema[key].dataType
-    coarse = bounds[side - 1 :: side]
-    fine = [bounds[i * side : i * side + side - 1] for i in range(side)]
-    lit_row = lambda row: F.array(*[F.lit(v).cast(kind) for v in row])
-    below = lambda table: F.size(F.filter(table, lambda b: b <= F.col(key)))
-    upper = below(lit_row(coarse))
-    table = F.array(*[lit_row(row) for row in fine])
-    return bind(upper, lambda u: u * side + F.size(F.filter(F.get(table, u), lambda b: b <= F.col(key))))
-
-
-def with_key_position(df: DataFrame, key: str, name: str = "pos", blocks: int = 256) -> DataFrame:
-    """Place of each row in the order of a unique numeric key, from 0."""
-    block = range_blocks(df, key, blocks).alias("_block")
-    offsets = _offsets(df.select(block).groupBy("_block").agg(F.count("*").alias("n")), ["_block"])
-    place = F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1
-    joined = df.select("*", block).withColumn("_place", place).join(offsets, "_block")
-    return joined.withColumn(name, F.col("offset") + F.col("_place")).drop("_block", "_place", "offset")
-
-
-def with_rank_sum(df: DataFrame, key: str, weight: str, name: str = "before", blocks: int = 256) -> DataFrame:
-    """Sum of ``weight`` over all rows whose unique ``key`` is smaller."""
-    block = range_blocks(df, key, blocks).alias("_block")
-    totals = df.select(block, weight).groupBy("_block").agg(F.sum(weight).alias("n"))
-    inside = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.select("*", block).withColumn("_place", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    joined = rows.join(_offsets(totals, ["_block"]), "_block")
-    return joined.withColumn(name, F.col("offset") + F.col("_place")).drop("_block", "_place", "offset")
+    order = [*within, key]
+    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    blocks = [*within, "_range"]
+    totals = dealt.groupBy(*blocks).agg(F.sum(weight).alias("n"))
+    inside = Window.partitionBy(*blocks).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumn("_place", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    joined = rows.join(_offsets(totals, ["_range"], within), blocks)
+    return joined.withColumn(name, F.col("offset") + F.col("_place")).drop("_range", "_place", "offset")

@@ -9,6 +9,7 @@ from spanmill.functions.binding import bind, steps
 from spanmill.functions.sequences import attention_mask, pad_to
 from spanmill.functions.spans import INPUT_LENGTH, TARGET_LENGTH
 from spanmill.functions.vocabulary import EOS, PAD
+from spanmill.session import written
 
 LENGTHS = {"inputs": INPUT_LENGTH, "targets": TARGET_LENGTH}
 # The least an example can take up: one id and its end, or the end alone.
@@ -74,7 +75,6 @@ def pack_examples(
     lengths: dict[str, int] = LENGTHS,
     shortest: dict[str, int] = SHORTEST,
     ensure_eos: bool = True,
-    sizes: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Pack examples in key order within each bucket.
 
@@ -85,21 +85,14 @@ def pack_examples(
     first member, the number of members, and per feature the ids with their
     segment numbers (from 1) and positions.
 
-    ``sizes`` gives the feature lengths where they are known without the ids.
-    The choice between the two ways is then made below the work that builds
-    the ids, and each row is built on one way only.
+    The examples are written once to the shared folder, and both ways start
+    from that table: the ids are built once.
     """
     trimmed = [F.slice(f, 1, n).alias(f) for f, n in lengths.items()]
     full = F.lit(False)
     for f, n in lengths.items():
-        full = full | (F.least(sizes[f] if sizes else F.size(f), F.lit(n)) + shortest[f] > n)
-    row = F.struct(*keys, *trimmed)
-    if sizes:
-        whole = df.select(full.alias("_full"), bucket.alias("_bucket"), row.alias("_row"))
-    else:
-        # A generator keeps the filter from being pushed into, and repeating, that work.
-        whole = df.select(F.explode(F.array(F.struct(full.alias("_full"), bucket.alias("_bucket"), row.alias("_row")))))
-        whole = whole.select("col.*")
+        full = full | (F.least(F.size(f), F.lit(n)) + shortest[f] > n)
+    whole = written(df.select(full.alias("_full"), bucket.alias("_bucket"), F.struct(*keys, *trimmed).alias("_row")), "examples")
 
     row = F.col("_row")
     alone = whole.where("_full").select(
@@ -137,8 +130,7 @@ def pack_or_pad(
     bucket: Column,
     pack: bool = True,
     lengths: dict[str, int] = LENGTHS,
-    sizes: dict[str, Column] | None = None,
 ) -> DataFrame:
     if pack:
-        return pack_examples(df, keys, bucket, lengths, sizes=sizes)
+        return pack_examples(df, keys, bucket, lengths)
     return pad_examples(df, keys, lengths)

@@ -2,50 +2,87 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.functions.cleaning import clean_review_text
+from spanmill.functions.draws import draw_hash
 from spanmill.functions.encode import first_ids, letter_ids, special_letter_ids
 from spanmill.functions.sequences import append_eos, attention_mask, ignore_padding, pad_to, truncate_ended
-from spanmill.functions.spans import LETTERS_ASCENDING, SentinelScheme, example_lengths, span_lengths
+from spanmill.functions.spans import LETTERS_ASCENDING, SentinelScheme, span_lengths
 from spanmill.operators.corruption import corrupt
 from spanmill.operators.equations import verify_equations
-from spanmill.operators.mixing import mix_fixed_rates, shuffle_seeded
+from spanmill.operators.mixing import batch_assign, mix_fixed_rates
+from spanmill.operators.numbering import with_shuffled_position
 from spanmill.operators.packing import pack_or_pad
 from spanmill.operators.projection import label_text, project_task_triple
 from spanmill.operators.splitting import eval_records
-from spanmill.plans.recipes import Recipe, registry
+from spanmill.plans.recipes import SOURCE, Recipe, registry
+from spanmill.session import written
 
 LABEL_NAMES = ["negative</s>", "positive</s>"]  # fixed value: target text of labels 0 and 1
-GROUPS_PER_BUCKET = 1000  # record groups whose short tails are packed together
+BUCKET = 1000  # examples, on average, whose short ones are packed together
+BATCH = 8
 
 
 def pretraining_corpus(
     corpus: DataFrame,
-    recipe: str | Recipe,
+    recipes: str | Recipe | dict[str, str | Recipe],
     keys: list[str],
     source: str = "lang",
     rates: dict[str, float] | None = None,
-    total: int | Column | None = None,
+    total: int | None = None,
     seed: int = 1,
     pack: bool = True,
+    batch: int = BATCH,
+    drop_last: bool = False,
 ) -> DataFrame:
-    """Corpus to packed training rows: mix, shuffle, corrupt, pack."""
-    recipe = registry.recipe(recipe) if isinstance(recipe, str) else recipe
-    mixed, order = corpus, list(keys)
-    if rates is not None:
-        mixed = mix_fixed_rates(corpus, source, keys, rates, total, seed)
-        order = [*keys, "epoch"]
-    numbered = shuffle_seeded(mixed, order, seed).withColumnRenamed("pos", "record_no")
-    examples = recipe.run(numbered, keep=["tokens"])
-    bucket = F.floor(F.col("group_id") / GROUPS_PER_BUCKET)
-    sizes = None
-    if "tokens" in examples.columns:
-        sizes = dict(zip(("inputs", "targets"), example_lengths(F.col("tokens"))))
-    return pack_or_pad(examples, list(recipe.keys), bucket, pack, sizes=sizes)
+    """Corpus to packed training rows in batches.
+
+    Each source goes through its recipe (one for all, or one by name) by
+    itself: its records are shuffled, joined and cut apart from the others.
+    ``total`` examples, as many as there are if not given, are then drawn at
+    the sources' rates, put in a seeded order, packed and batched. The order
+    is that of a digest, whose leading digits make the packing buckets; the
+    examples are built once and written.
+    """
+    named = corpus if rates is None else corpus.where(F.col(source).isin(list(rates)))
+    records = with_shuffled_position(named, keys, seed, within=[source], name="record_no")
+    records = records.select(F.col(source).cast("string").alias(SOURCE), "record_no", "text")
+    by_recipe: dict[Recipe, list[str] | None] = {}
+    if isinstance(recipes, dict):
+        for name, recipe in recipes.items():
+            by_recipe.setdefault(_recipe(recipe), []).append(name)
+    else:
+        by_recipe[_recipe(recipes)] = None
+    parts = [r.run(records if names is None else records.where(F.col(SOURCE).isin(names))) for r, names in by_recipe.items()]
+    examples = written(reduce(DataFrame.unionByName, parts), "examples")
+
+    place = ["group_id", "segment"]
+    total = examples.count() if total is None else total
+    if rates is None:
+        mixed = examples.withColumn("epoch", F.lit(0).cast("bigint"))
+    else:
+        mixed = mix_fixed_rates(examples, SOURCE, place, rates, total, seed)
+    digits = max(0, math.ceil(math.log(max(total, 1) / BUCKET, 16)))
+    ordered = mixed.withColumn("_order", draw_hash(seed, "order", SOURCE, *place, "epoch"))
+    packs = pack_or_pad(ordered, ["_order", SOURCE], F.substring("_order", 1, digits), pack)
+    packs = written(packs.withColumn("_block", F.substring("_order", 1, max(digits, 1))), "packs")
+    offsets = packs.groupBy("_block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # one row for each bucket
+    offsets = offsets.select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy("_order")) - 1
+    numbered = packs.withColumn("_inside", inside).join(offsets, "_block")
+    numbered = numbered.withColumn("pos", F.col("_before") + F.col("_inside"))
+    return batch_assign(numbered, "pos", batch, drop_last).drop("_order", SOURCE, "_block", "_inside", "_before")
+
+
+def _recipe(recipe: str | Recipe) -> Recipe:
+    return registry.recipe(recipe) if isinstance(recipe, str) else recipe
 
 
 def eval_holdout(

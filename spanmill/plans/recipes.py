@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from spanmill.functions.encode import byte_ids, letter_ids
 from spanmill.functions.spans import (
@@ -21,6 +20,7 @@ from spanmill.functions.spans import (
 from spanmill.operators.corpus import joined_segments
 from spanmill.operators.corruption import corrupt
 from spanmill.operators.projection import rekey, select_features
+from spanmill.session import written
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -36,10 +36,27 @@ class Recipe:
 
     def run(self, source: DataFrame, keep: list[str] = []) -> DataFrame:
         """Keys and features of the examples, and those columns of ``keep`` that the steps leave."""
-        out = source
-        for step in self.steps:
-            out = out.transform(step)
-        return select_features(out, [*self.features, *keep], list(self.keys))
+        return self.finish(self.prepare(source), keep)
+
+    def prepare(self, source: DataFrame) -> DataFrame:
+        """All steps but the last: what recipes with the same steps can share."""
+        for step in self.steps[:-1]:
+            source = source.transform(step)
+        return source
+
+    def finish(self, prepared: DataFrame, keep: list[str] = []) -> DataFrame:
+        keys = [c for c in (SOURCE, *self.keys) if c != SOURCE or c in prepared.columns]
+        return select_features(prepared.transform(self.steps[-1]), [*self.features, *keep], keys)
+
+
+def run_together(recipes: list[Recipe], source: DataFrame, keep: list[str] = []) -> dict[str, DataFrame]:
+    """Examples of each recipe over one source; steps that several recipes begin with run once."""
+    shared: dict[tuple[Step, ...], DataFrame] = {}
+    for recipe in recipes:
+        first = recipe.steps[:-1]
+        if first not in shared:
+            shared[first] = written(recipe.prepare(source), "prepared")
+    return {r.name: r.finish(shared[r.steps[:-1]], keep) for r in recipes}
 
 
 @dataclass
@@ -68,36 +85,40 @@ class Registry:
         return self.mixtures[name]
 
 
-def span_corruption(
-    text: str,
-    record_no: str,
-    encode: Callable[[Column], Column],
-    scheme: SentinelScheme,
-    lengths: tuple[int, int] = (INPUT_LENGTH, TARGET_LENGTH),
-    seed: int = 1,
+SOURCE = "source"  # a column of this name keeps sources apart: each is numbered, joined and cut by itself
+
+
+def _within(df: DataFrame) -> list[str]:
+    return [SOURCE] if SOURCE in df.columns else []
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Empty inputs, and the text as targets."""
+    return rekey(df, {"inputs": None, "targets": "text"}, keep=["record_no", *_within(df)])
+
+
+def segmented(
+    encode: Callable[[Column], Column], lengths: tuple[int, int] = (INPUT_LENGTH, TARGET_LENGTH), seed: int = 1
 ) -> Step:
-    """Chunk, join, split, mask and end, as one step; fails at once if the targets cannot fit."""
+    """Chunk, join and split; fails at once if the targets cannot fit."""
     segment = check_target_length(lengths[1], input_length=lengths[0])
+    return lambda df: joined_segments(df, "targets", "record_no", encode, segment, seed=seed, within=_within(df))
+
+
+def masked(scheme: SentinelScheme, lengths: tuple[int, int] = (INPUT_LENGTH, TARGET_LENGTH), seed: int = 1) -> Step:
+    """Mask and end."""
+    return lambda df: corrupt(df, [*_within(df), "group_id", "segment"], scheme, seed=seed, lengths=lengths)
 
-    def step(df: DataFrame) -> DataFrame:
-        segments = joined_segments(df, text, record_no, encode, segment, seed=seed).withColumn("tokens", F.size("ids"))
-        return corrupt(segments, ["group_id", "segment"], scheme, keep=["tokens"], seed=seed, lengths=lengths)
 
-    return step
+byte_segments, letter_segments = segmented(byte_ids), segmented(letter_ids)
 
 
-def pretraining_recipe(name: str, encode: Callable[[Column], Column], scheme: SentinelScheme, seed: int = 1) -> Recipe:
-    return Recipe(
-        name,
-        (
-            lambda df: rekey(df, {"inputs": None, "targets": "text"}, keep=["record_no"]),
-            span_corruption("targets", "record_no", encode, scheme, seed=seed),
-        ),
-    )
+def pretraining_recipe(name: str, segments: Step, scheme: SentinelScheme) -> Recipe:
+    return Recipe(name, (keyed, segments, masked(scheme)))
 
 
 registry = Registry()
-registry.add(pretraining_recipe("bytes_descending", byte_ids, BYTES_DESCENDING))
-registry.add(pretraining_recipe("bytes_ascending", byte_ids, BYTES_ASCENDING))
-registry.add(pretraining_recipe("letters_ascending", letter_ids, LETTERS_ASCENDING))
+registry.add(pretraining_recipe("bytes_descending", byte_segments, BYTES_DESCENDING))
+registry.add(pretraining_recipe("bytes_ascending", byte_segments, BYTES_ASCENDING))
+registry.add(pretraining_recipe("letters_ascending", letter_segments, LETTERS_ASCENDING))
 registry.add_mixture("korean_english", {"ko": 0.7, "en": 0.3})

@@ -11,6 +11,11 @@ CORRUPT = "_corrupt_record"
 PROBLEM_SCHEMA = f"original_text_kr string, equation string, ans string, {CORRUPT} string"
 TRIPLE_SCHEMA = "prefix string, input_text string, target_text string"
 MISSING = "nan"  # fixed value: how a missing TSV field reads as text
+# What pandas takes for a missing field.
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+    "None", "n/a", "nan", "null",
+)
 
 # A quoted string with its escapes, a run without quotes, or a quote that nothing closes.
 LITERAL_PIECES = r"""('(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[^'"]++|['"])"""
@@ -32,7 +37,8 @@ def read_jsonl_shards(
     """JSON-line shards (gzip or plain) in sorted file order, one row per line.
 
     Lines are parsed after they are numbered, so the number of a record does
-    not depend on which fields a query uses.
+    not depend on which fields a query uses. A line that is no JSON object is
+    kept in the ``_corrupt_record`` column, if ``schema`` names it.
     """
     lines = spark.read.text(paths)
     if record_no is not None:
@@ -40,7 +46,7 @@ def read_jsonl_shards(
     numbered = [record_no] if record_no is not None else []
     return (
         lines.where(F.trim("value") != "")
-        .select(*numbered, F.from_json("value", schema).alias("_r"))
+        .select(*numbered, F.from_json("value", schema, {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}).alias("_r"))
         .select(*numbered, "_r.*")
     )
 
@@ -73,21 +79,32 @@ def read_literal_lines(
 
 
 def read_tsv(
-    spark: SparkSession, paths: str | list[str], schema: str = TRIPLE_SCHEMA, missing: str | None = MISSING
+    spark: SparkSession,
+    paths: str | list[str],
+    schema: str = TRIPLE_SCHEMA,
+    missing: str | None = MISSING,
+    line_ends: bool = True,
+    missing_words: tuple[str, ...] = MISSING_WORDS,
 ) -> DataFrame:
-    """TSV with a header, every column text, a missing or empty field as ``missing``."""
+    """TSV with a header, every column text; a missing or empty field or a word for one as ``missing``.
+
+    ``line_ends`` allows quoted fields to hold line ends, and a file is then one
+    task; without it a large file is split.
+    """
     df = (
         spark.read.schema(schema)
         .option("sep", "\t")
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", line_ends)
         .csv(paths)
     )
     if missing is None:
         return df
-    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c) for c in df.columns])
+    text = lambda c: F.col(c).cast("string")
+    known = lambda c: F.when(~text(c).isin(*missing_words), text(c))
+    return df.select(*[F.coalesce(known(c), F.lit(missing)).alias(c) for c in df.columns])
 
 
 def read_named_split(spark: SparkSession, root: str, lang: str, split: str, schema: str | None = None) -> DataFrame:
@@ -104,6 +121,9 @@ def union_files(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def zip_text_labels(texts: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
-    """Texts with their labels, matched by key and never by position."""
-    return texts.join(labels.select(key, F.col(label).alias("label")), key)
+def zip_text_labels(texts: DataFrame, labels: DataFrame, key: str, label: str, unlabelled: bool = False) -> DataFrame:
+    """Texts with their labels, matched by key and never by position.
+
+    Without a label a text is no training example and is left out, unless ``unlabelled`` asks for it with a null label.
+    """
+    return texts.join(labels.select(key, F.col(label).alias("label")), key, "left" if unlabelled else "inner")

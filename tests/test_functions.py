@@ -269,9 +269,47 @@ def test_cleaning(one):
         ("y+1", "2", "error"),
         ("", "0", "error"),
         (None, "0", "error"),
-        ("9**9**9", "1", "error"),
+        ("9**9**9", "1", "wrong"),
+        ("9**9**9/9**(9**9-1)", "9", "right"),
+        ("9**9**9**9", "9^9^9^9", "error"),
+        ("9**9**9**9", " 9**9**9**9", "right"),
+        ("9**9**9**9", "1", "wrong"),
         ("-3--4", "1", "right"),
-        ("(" * 5000 + "1" + ")" * 5000, "1", "error"),
+        ("(" * 5000 + "1" + ")" * 5000, "1", "right"),
+        ("+".join(["1"] * 2000), "2000", "right"),
+        ("1**70000", "1", "right"),
+        ("1.05^20000/1.05^19999", "1.05", "right"),
+        ("2^70000/2^70000", "1", "right"),
+        ("2^70000", "2^70001", "wrong"),
+        ("(2^2000)^0.5/2^1000", "1", "right"),
+        ("1" * 4301 + "-" + "1" * 4300 + "0", "1", "right"),
+        ("0.00001", "1e-05", "right"),
+        ("1e3", "1000", "right"),
+        ("1e-999999999", "0", "right"),
+        ("7//2", "3", "right"),
+        ("-7//2", "-4", "right"),
+        ("3!", "6", "right"),
+        ("-3!+2**3!", "58", "right"),
+        ("70000!/69999!", "70000", "right"),
+        ("2.5!", "1", "error"),
+        ("sqrt(4)+sqrt(2)^2", "4", "right"),
+        ("sqrt 4", "2", "error"),
+        ("sqrt(-1)", "1", "error"),
+        ("pi", "3.14159265", "right"),
+        ("e", "2.71828183", "right"),
+        ("2pi", "6.28", "error"),
+        ("-2**2", "-4", "right"),
+        ("2**-1", "0.5", "right"),
+        ("2**3**2", "512", "right"),
+        ("2**-3*4", "0.5", "right"),
+        ("10-4-3", "3", "right"),
+        ("100/10/5", "2", "right"),
+        ("(8/27)^(2/3)", "4/9", "right"),
+        ("0^0", "1", "right"),
+        ("0^-1", "1", "error"),
+        ("(1", "1", "error"),
+        ("1)", "1", "error"),
+        ("()", "1", "error"),
         ("007", "7", "error"),
         ("1,2", "1", "error"),
     ],

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from spanmill.functions import spans as S
 from spanmill.functions.encode import byte_ids, letter_ids
 from spanmill.operators.corruption import corrupt
+from spanmill.operators import packing as Z
 from spanmill.plans import jobs
-from spanmill.plans.recipes import Recipe, Registry, registry, span_corruption
+from spanmill.plans.recipes import Recipe, Registry, registry, segmented
 from spanmill.session import shared_dir
 from spanmill.sources import readers as R
 from spanmill.sources import sinks as W
@@ -129,7 +130,7 @@ def test_registry(spark):
     with pytest.raises(ValueError):
         own.add_mixture("m", {})
     with pytest.raises(ValueError):
-        span_corruption("text", "id", byte_ids, S.BYTES_ASCENDING, lengths=(1024, 100))
+        segmented(byte_ids, lengths=(1024, 100))
 
 
 def test_recipe_equals_direct_call(spark):
@@ -172,10 +173,53 @@ def test_eval_holdout(spark):
     assert all(len(r["inputs"]) == 1024 and len(r["targets"]) == 189 for r in rows)
 
 
+def corpus(spark):
+    text = F.concat(F.when(F.col("id") < 300, "가").otherwise("b"), F.lit(" ")).alias("text")
+    return spark.range(400).select("id", F.when(F.col("id") < 300, "ko").otherwise("en").alias("lang"), F.repeat(text, (F.col("id") % 50 * 20).cast("int")).alias("text"))
+
+
 @pytest.mark.parametrize("pack", [True, False])
 def test_pretraining_corpus(spark, pack):
-    df = spark.range(400).select("id", F.when(F.col("id") < 300, "ko").otherwise("en").alias("lang"), F.repeat(F.lit("가나a "), (F.col("id") % 50).cast("int")).alias("text"))
-    out = jobs.pretraining_corpus(df, "letters_ascending", ["id"], rates=registry.mixture("korean_english"), total=1000, pack=pack)
+    rates = registry.mixture("korean_english")
+    out = jobs.pretraining_corpus(corpus(spark), "letters_ascending", ["id"], rates=rates, total=1000, pack=pack)
     rows = out.collect()
-    assert rows and all(len(r["inputs"]) == 1024 and len(r["targets"]) == 189 for r in rows)
-    assert rows[0]["inputs"][-1] in (0, 1)
+    assert all(len(r["inputs"]) == 1024 and len(r["targets"]) == 189 for r in rows)
+    assert sorted((r["batch_id"], r["slot"]) for r in rows) == [(k // 8, k % 8) for k in range(len(rows))]
+    assert sorted(r["pos"] for r in rows) == list(range(len(rows)))
+    shares = {True: 0, False: 0}
+    for r in rows:
+        numbers = r["inputs_segmentation"] if pack else [1] * 1024
+        for part in range(1, (r["members"] if pack else 1) + 1):
+            ids = {i for i, n in zip(r["inputs"], numbers) if n == part and 1 < i < 327}
+            letters, latin = {i for i in ids if i >= 259}, {i for i in ids if i == ord("b") + 3}
+            assert bool(letters) != bool(latin)  # one source in each segment
+            shares[bool(letters)] += 1
+    assert shares == {True: 700, False: 300}
+
+
+def test_recipes_by_source_and_one_encoder_in_the_plan(spark):
+    recipes = {"ko": "letters_ascending", "en": "bytes_ascending"}
+    out = jobs.pretraining_corpus(corpus(spark), recipes, ["id"], drop_last=True)
+    assert out.count() % 8 == 0
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()  # texts are not encoded again
+    examples = registry.recipe("letters_ascending").run(corpus(spark).withColumnRenamed("id", "record_no"))
+    packs = Z.pack_examples(examples, ["group_id", "segment"], F.col("group_id"))
+    assert "octet_length" not in packs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_missing_words_and_bad_lines(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("prefix\tinput_text\ttarget_text\nNA\tnull\tNone\nN/A\t\tNA \n")
+    for line_ends in (True, False):
+        rows = R.read_tsv(spark, str(tmp_path / "t.tsv"), line_ends=line_ends).collect()
+        assert [tuple(r) for r in rows] == [("nan", "nan", "nan"), ("nan", "nan", "NA ")]
+    (tmp_path / "a.json").write_text('{"text": "x"}\nbad\n')
+    rows = R.read_jsonl_shards(spark, str(tmp_path / "a.json"), f"text string, {R.CORRUPT} string").orderBy("record_no").collect()
+    assert [(r["text"], r[R.CORRUPT]) for r in rows] == [("x", None), (None, "bad")]
+
+
+def test_unpaired_turns_and_unlabelled_texts(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
+    labels = spark.createDataFrame([(1, 0)], "id int, q int")
+    assert R.zip_text_labels(texts, labels, "id", "q").count() == 1
+    assert sorted(r["id"] for r in R.zip_text_labels(texts, labels, "id", "q", unlabelled=True).collect()) == [1, 2]
+
