@@ -90,7 +90,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """``doc_id, version, at, n`` of every run that is not the first of its kind."""
     found = written(hashed(docs, doc_id, text), "runs")
     across = found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    later = found.join(across.select("hash", "first"), "hash").where("doc_id > first")
+    across = written(across.select("hash", "first"), "repeated")  # as a table, so that the join can split a hot hash
+    later = found.join(across, "hash").where("doc_id > first")
     columns = ["doc_id", "version", "at", "n"]
     return later.select(*columns).union(found.where("again").select(*columns))
 
