@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from spanmill.llm.common import keep_rows, map_texts, text_of
 
 UNKNOWN = "und"
+PARTS = 256
 
 
 @dataclass(frozen=True)
@@ -49,12 +50,19 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def least(hashes: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The rows with the ``n`` least hashes of each group."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("hash"))
+    return hashes.withColumn("place", place).where(F.col("place") <= n).drop("place")
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", p: Parameters = Parameters()) -> dict[str, bytes]:
     """A dictionary for each language from the ``samples`` texts whose hashes are smallest."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).withColumn("hash", F.xxhash64("text"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    chosen = rows.select("lang", "hash").distinct().withColumn("place", first).where(F.col("place") <= p.samples)
+    # The least of each of many parts of a language, then the least of these: no task ranks all texts of a language.
+    hashes = rows.select("lang", "hash").distinct().withColumn("part", F.pmod("hash", F.lit(PARTS)))
+    chosen = least(least(hashes, ["lang", "part"], p.samples), ["lang"], p.samples).select("lang", "hash")
     sample = rows.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "hash").agg(
         F.min(F.lower(text_of(F.substring("text", 1, p.sample_chars)))).alias("text")
     )
