@@ -177,12 +177,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     The two later batches are delivered twice, as after a lost acknowledgement.
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    toxic = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    low = docs.join(labels.where("quality = 0 and coalesce(toxic, 0) <> 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    low = low.withColumn("text", F.regexp_replace("text", r"[*&%$#!]{2,}", ""))
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    low = labels.where("quality = 0 and coalesce(toxic, 0) <> 1").select("doc_id").distinct()
+    cleaned = docs.withColumn("text", F.regexp_replace("text", r"[*&%$#!]{2,}", ""))
     rollup = token_counts.Rollup(spark, scratch(spark, "token-counts"))
     rollup.commit(1, token_counts.counted(docs, "insert", 1))
-    later = {2: token_counts.counted(toxic, "delete", 2), 3: token_counts.counted(low, "revise", 3)}
+    # Counts meet the labels, not texts.
+    deletes = token_counts.removed(docs, 2).join(toxic, "doc_id", "left_semi")
+    revised = token_counts.counted(cleaned, "revise", 3).join(low, "doc_id", "left_semi")
+    later = {2: deletes, 3: revised}
     for batch, changes in [*later.items(), *later.items()]:
         rollup.commit(batch, changes)
     return rollup.totals()

@@ -44,6 +44,16 @@ def counted(docs: DataFrame, op: str, seq: int, tokenizers: dict[str, str] = TOK
     )
 
 
+def removed(docs: DataFrame, seq: int, tokenizers: dict[str, str] = TOKENIZERS) -> DataFrame:
+    """``CHANGES`` that delete documents; their texts are not read."""
+    name = F.explode(F.array(*[F.lit(t) for t in tokenizers])).alias("tokenizer")
+    return docs.select(
+        F.lit(seq).cast("bigint").alias("seq"), F.lit("delete").alias("op"), F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), name,
+        F.lit(None).cast("bigint").alias("n_tokens"),
+    )
+
+
 class Rollup:
     """Totals in a folder that all executors share."""
 
