@@ -7,10 +7,15 @@ size and place token runs before anything is tokenised.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanmill.functions.binding import bind
 from spanmill.functions.vocabulary import (
@@ -33,6 +38,9 @@ from spanmill.functions.vocabulary import (
     special_tokens,
 )
 
+# Executors get the batch function with its code and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SYLLABLE_CLASS = f"[{chr(FIRST_SYLLABLE)}-{chr(LAST_SYLLABLE)}]"
 
 
@@ -90,7 +98,39 @@ def _character_ids(code: Column) -> Column:
 
 
 def letter_ids(text: Column | str) -> Column:
-    """As :func:`byte_ids`, but a Hangul syllable becomes initial, vowel, final."""
+    """As :func:`byte_ids`, but a Hangul syllable becomes initial, vowel, final.
+
+    One Arrow pass over the bytes of a whole batch, with no step for each text
+    or character: about twice as fast as :func:`letter_ids_expr`.
+    """
+    return F.arrow_udf(_letters_of_batch, T.ArrayType(T.IntegerType()))(text)
+
+
+def _letters_of_batch(texts: pa.Array) -> pa.Array:
+    """The ids lie where the bytes lie, so the offsets of the texts are those of their ids."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+    ids = raw.astype(np.int32) + BYTE_BASE
+    lead = np.flatnonzero((raw >= 0xEA) & (raw <= 0xED))  # first bytes of the characters from U+A000 to U+DFFF
+    bits = [raw[lead + k].astype(np.int32) for k in range(3)]
+    code = (bits[0] & 0x0F) << 12 | (bits[1] & 0x3F) << 6 | bits[2] & 0x3F
+    found = (code >= FIRST_SYLLABLE) & (code <= LAST_SYLLABLE)
+    lead, syllable = lead[found], code[found] - FIRST_SYLLABLE
+    ids[lead] = INITIAL_BASE + syllable // (VOWELS * FINALS)
+    ids[lead + 1] = VOWEL_BASE + syllable % (VOWELS * FINALS) // FINALS
+    ids[lead + 2] = FINAL_BASE + syllable % FINALS
+    return pa.ListArray.from_arrays(
+        pa.array(ends - ends[0], pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null() if texts.null_count else None
+    )
+
+
+def letter_ids_expr(text: Column | str) -> Column:
+    """As :func:`letter_ids`, in column expressions alone.
+
+    These may stand inside a lambda, and unlike a function in Python they keep
+    the partitioning of what they are computed from.
+    """
     text = F.col(text) if isinstance(text, str) else text
 
     def ids(t: Column) -> Column:
@@ -127,7 +167,7 @@ def special_letter_ids(text: Column | str, sentinels: int = SENTINELS) -> Column
             .otherwise(F.regexp_extract(piece, "[0-9]+", 0).try_cast("int") + SENTINEL_BASE)
         )
         is_special = (F.char_length(piece) > 1) & piece.startswith("<")
-        return F.when(is_special, F.array(named)).otherwise(letter_ids(piece))
+        return F.when(is_special, F.array(named)).otherwise(letter_ids_expr(piece))
 
     pieces = F.regexp_extract_all(text, F.lit(f"({special_pieces(sentinels)})"), F.lit(1))
     return F.flatten(F.transform(pieces, piece_ids))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 
-from spanmill.functions.encode import byte_ids, letter_ids
+from spanmill.functions.encode import byte_ids, letter_ids_expr
 from spanmill.functions.spans import (
     BYTES_ASCENDING,
     BYTES_DESCENDING,
@@ -110,7 +110,8 @@ def masked(scheme: SentinelScheme, lengths: tuple[int, int] = (INPUT_LENGTH, TAR
     return lambda df: corrupt(df, [*_within(df), "group_id", "segment"], scheme, seed=seed, lengths=lengths)
 
 
-byte_segments, letter_segments = segmented(byte_ids), segmented(letter_ids)
+# Expressions, so that joining and cutting need one exchange.
+byte_segments, letter_segments = segmented(byte_ids), segmented(letter_ids_expr)
 
 
 def pretraining_recipe(name: str, segments: Step, scheme: SentinelScheme) -> Recipe:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanmill.functions import spans as S
-from spanmill.functions.encode import byte_ids, first_ids, letter_ids
+from spanmill.functions.encode import byte_ids, first_ids, letter_ids, letter_ids_expr
 from spanmill.operators import corpus as K
 from spanmill.operators import equations as E
 from spanmill.operators import metrics as M
@@ -192,7 +192,7 @@ def test_joined_segments_are_chunk_concat_split(spark, texts, partitions):
 
 
 def test_joining_moves_the_text_once(spark, texts):
-    df = K.joined_segments(spark.read.parquet(texts[0]), "text", "id", letter_ids, 60)
+    df = K.joined_segments(spark.read.parquet(texts[0]), "text", "id", letter_ids_expr, 60)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
 
