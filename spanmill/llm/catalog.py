@@ -51,7 +51,8 @@ WITH cut AS (
   SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, array_to_string(w, ' ') AS words FROM pieces
 ), runs AS (
   SELECT a.doc_id, a.i, min(b.i) AS j FROM places AS a JOIN places AS b
-  ON a.doc_id = b.doc_id AND b.i BETWEEN a.i + 1 AND a.i + 13 AND b.upto - a.upto + len(a.w) >= 12 GROUP BY ALL
+  ON a.doc_id = b.doc_id AND b.i BETWEEN a.i + (CASE WHEN len(a.w) >= 25 THEN 0 ELSE 1 END) AND a.i + 13
+    AND b.upto - a.upto + len(a.w) >= 12 GROUP BY ALL
 ), spelled AS (
   SELECT r.doc_id, r.i, r.j, string_agg(p.words, ' ' ORDER BY p.i) AS k
   FROM runs AS r JOIN places AS p ON r.doc_id = p.doc_id AND p.i BETWEEN r.i AND r.j GROUP BY ALL

@@ -1,8 +1,8 @@
 """Substring dedup: runs of consecutive sentences that occurred before are removed.
 
 A text is cut into sentences, each with the white space around it, so the sentences of a text joined are the text. At every
-sentence a run begins: that sentence and the following ones, ``SENTENCES`` at least, until the run has ``WORDS`` words. Its
-words are hashed. Hashes meet globally; a run is a repeat if a document with a smaller id holds it, or the same document
+sentence a run begins: that sentence and the following ones, ``SENTENCES`` at least, until the run has ``WORDS`` words; a
+sentence of ``LONG`` words is a run by itself. The words of a run are hashed. Hashes meet globally; a run is a repeat if a document with a smaller id holds it, or the same document
 holds it further up. Every sentence that a repeat covers is removed.
 
 Only hashes and places are shuffled to find repeats: an aggregation with a sum before the shuffle, and a join in which a
@@ -28,6 +28,7 @@ from spanmill.session import written
 
 SENTENCES = 2
 WORDS = 12
+LONG = 25
 #: The white space and the ends of sentences.
 SENTENCE = r"[ \t\r\n]*[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
 WHITE = " \t\r\n"
@@ -46,16 +47,14 @@ def runs(text: str) -> Iterator[tuple[int, int, int]]:
     """``first sentence, sentences, hash`` of every run."""
     words = [words_of(s) for s in sentences(text)]
     sizes = [len(w) for w in words]
-    end = total = 0
     for start in range(len(words)):
-        while end < len(words) and (end - start < SENTENCES or total < WORDS):
+        end, total = start + 1, sizes[start]
+        while end < len(words) and total < LONG and (end - start < SENTENCES or total < WORDS):
             total += sizes[end]
             end += 1
-        if end - start < SENTENCES or total < WORDS:
-            return
-        digest = xxhash.xxh3_64_intdigest(" ".join(" ".join(w) for w in words[start:end]).encode())
-        yield start, end - start, digest - (1 << 63)
-        total -= sizes[start]
+        if end - start == 1 and total >= LONG or end - start >= SENTENCES and total >= WORDS:
+            digest = xxhash.xxh3_64_intdigest(" ".join(" ".join(w) for w in words[start:end]).encode())
+            yield start, end - start, digest - (1 << 63)
 
 
 def hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
