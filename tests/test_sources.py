@@ -223,3 +223,15 @@ def test_unpaired_turns_and_unlabelled_texts(spark):
     assert R.zip_text_labels(texts, labels, "id", "q").count() == 1
     assert sorted(r["id"] for r in R.zip_text_labels(texts, labels, "id", "q", unlabelled=True).collect()) == [1, 2]
 
+
+
+def test_scratch_tables_are_dropped(spark):
+    from spanmill.session import drop_scratch, written
+
+    df = written(spark.range(3), "numbers")
+    assert df.count() == 3
+    path = df.inputFiles()[0].removeprefix("file://")
+    drop_scratch(spark)
+    import os
+
+    assert not os.path.exists(os.path.dirname(path))
