@@ -34,7 +34,7 @@ from spanmill.llm.common import map_texts, text_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text of the documents that are encoded together.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 #: Pretokens of a text that are held at once.
 PIECES = 1 << 16
 
