@@ -369,9 +369,11 @@ def pad_batch_longest(spark, sf):
     """Width of a batch is known from byte counts, so ids are padded where they are made."""
     from pyspark.sql import Window
 
-    batched = X.batch_assign(I.numbered(spark, sf).withColumn("text", I.hangul()), "record_no", 16)
-    length = F.least(F.octet_length("text"), F.lit(I.SEGMENT))
-    width = F.max(length).over(Window.partitionBy("batch_id"))
+    docs = I.numbered(spark, sf).withColumn("text", I.hangul())
+    length = F.least(F.octet_length("text"), F.lit(I.SEGMENT)).alias("length")
+    short = docs.select("doc_id", "record_no", length, F.substring("text", 1, I.SEGMENT).alias("text"))  # before texts move
+    batched = X.batch_assign(short, "record_no", 16)
+    width = F.max("length").over(Window.partitionBy("batch_id"))
     df = batched.select("doc_id", "batch_id", "text", width.alias("width"))
     ids = F.col("ids")
     padded = df.select("doc_id", "batch_id", "width", first_ids("text", I.SEGMENT).alias("ids")).select(
@@ -390,7 +392,8 @@ def mask_label_pad(spark, sf):
 
 @query
 def assemble_examples(spark, sf):
-    rows = R.zip_text_labels(I.documents(spark, sf).select("doc_id", "text"), I.table(spark, sf, "labels"), "doc_id", "quality")
+    short = I.documents(spark, sf).select("doc_id", F.substring("text", 1, 511).alias("text"))  # before texts move
+    rows = R.zip_text_labels(short, I.table(spark, sf, "labels"), "doc_id", "quality")
     ids = rows.select(
         "doc_id",
         Q.append_eos(first_ids("text", 511)).alias("ids"),

@@ -34,6 +34,19 @@ def random_chunk(
     return df.select(*rest, F.explode(bind(F.col(ids), chosen)).alias(ids))
 
 
+def chunk_text(text: Column, start: Column, length: int) -> tuple[Column, Column]:
+    """The text around ``length`` bytes from byte ``start`` on, and how many bytes of it come before ``start``.
+
+    The cut is widened to whole characters, so ids of it lie where they lie in the whole text.
+    """
+    raw = F.encode(text, "UTF-8")
+    inside = lambda at: F.conv(F.hex(F.substring(raw, at + 1, F.lit(1))), 16, 10).cast("int").between(0x80, 0xBF)
+    early = F.lit(3)
+    for back in (2, 1, 0):
+        early = F.when(~inside(start - back), back).otherwise(early)
+    return F.make_valid_utf8(F.substring(raw, start - early + 1, early + length + 3).cast("string")), early
+
+
 def concat_tokens(
     df: DataFrame, ids: str, record_no: str, group_size: int = GROUP_SIZE, chunk_length: int = CHUNK_LENGTH, seed: int = 1
 ) -> DataFrame:
@@ -86,6 +99,8 @@ def joined_segments(
     ``group_id``, ``segment``, ``ids``.
     """
     size = F.octet_length(text)
+    long = F.col("_size") > chunk_length
+    around, early = chunk_text(F.col(text), F.col("_start"), chunk_length)
     key = [F.col(c) for c in (*within, record_no)]
     start = chunk_start(F.col("_size"), *key, length=chunk_length, seed=seed)
     sized = (
@@ -95,6 +110,9 @@ def joined_segments(
         .withColumn("_start", start)
         .withColumn("_len", F.least(F.lit(chunk_length), F.col("_size") - F.col("_start")))
     )
+    # Of a record that is too long only its chunk travels.
+    sized = sized.withColumns({"_skip": F.when(long, early).otherwise(0), "_text": F.when(long, around).otherwise(F.col(text))})
+    sized = sized.select(*within, record_no, "group_id", "_text", "_skip", "_len")
     before = Window.partitionBy(*within, "group_id").orderBy(record_no).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_at", F.coalesce(F.sum("_len").over(before), F.lit(0)).cast("int"))
 
@@ -105,11 +123,11 @@ def joined_segments(
         def piece(s: Column) -> Column:
             begin = F.greatest(s * length - at, F.lit(0))
             end = F.least((s + 1) * length - at, count)
-            return F.struct(s.alias("segment"), F.slice(ids, F.col("_start") + begin + 1, end - begin).alias("ids"))
+            return F.struct(s.alias("segment"), F.slice(ids, F.col("_skip") + begin + 1, end - begin).alias("ids"))
 
         return F.transform(F.sequence(first.cast("int"), last.cast("int")), piece)
 
-    cut = placed.select(*within, "group_id", record_no, F.explode(bind(encode(F.col(text)), pieces)).alias("_p"))
+    cut = placed.select(*within, "group_id", record_no, F.explode(bind(encode(F.col("_text")), pieces)).alias("_p"))
     met = cut.groupBy(*within, "group_id", F.col("_p.segment").alias("segment")).agg(
         F.array_sort(F.collect_list(F.struct(record_no, F.col("_p.ids").alias("ids")))).alias("_parts")
     )
