@@ -1,20 +1,26 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made of sample texts. A text is compressed once with each; the
-dictionary that makes it smallest names the language. Where the two smallest results lie close together the answer is
-rejected.
+Each language has a zstandard raw-content dictionary made of sample texts. A text is compressed with each, in pieces of
+``PIECE`` bytes that all start from the dictionary alone, and the sizes are summed; the dictionary that makes it smallest
+names the language. Where the two smallest results lie close together the answer is rejected. A dictionary saves about as
+much in every piece, so the length of a text does not enter into the margin.
+
+Texts so short that no dictionary makes them smaller have equal sizes. These are told apart by the runs of ``GRAM`` bytes
+that they share with each dictionary, common ones counting more.
 
 Texts are compared by their letters: lower case, every run of ASCII characters that are no letters one space.
 
-Defined cases: a text that is null or holds no letter is ``und`` with score 0 and is rejected. Equal sizes go to the
-language that comes first by name, with score 0. Null or empty training texts and null languages teach nothing; without
+Defined cases: a text that is null or holds no letter is ``und`` with score 0 and is rejected. What is equal by that, too,
+or equal in size though smaller than the text, goes to the language that comes first by name, with score 0. Null or empty training texts and null languages teach nothing; without
 any training text every answer is ``und``. Repeated training texts count once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +30,9 @@ from spanmill.llm.common import keep_rows, map_texts, text_of
 
 UNKNOWN = "und"
 PARTS = 256
+#: Bytes compressed from a fresh dictionary, and bytes of a run.
+PIECE = 4096
+GRAM = 4
 
 
 @dataclass(frozen=True)
@@ -72,26 +81,67 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", p: Parameters =
     return {name: b"".join(texts) for name, texts in made.items()}
 
 
-def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
-    """In order of name. The settings look for matches of four bytes and up and leave everything but content out."""
-    settings = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=18, hash_log=15, chain_log=15, search_log=4,
-        write_content_size=0, write_checksum=0, write_dict_id=0,
-    )
-    made = []
-    for name in sorted(dictionaries):
-        content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        content.precompute_compress(compression_params=settings)
-        made.append((name, zstandard.ZstdCompressor(dict_data=content, compression_params=settings)))
-    return made
-
-
-def classify(text: bytes, by_name: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float]:
-    """The language that compresses best, and the share by which the second needs more."""
-    sizes = [(len(c.compress(text)), name) for name, c in by_name]
-    best = min(sizes)
-    others = [size for size, name in sizes if name != best[1]]
-    return best[1], 1 - best[0] / min(others) if others else 1.0
+def grams(text: bytes) -> np.ndarray:
+    """A number for every run of ``GRAM`` bytes."""
+    at = np.frombuffer(text, np.uint8).astype(np.uint32)
+    n = max(0, len(at) - GRAM + 1)
+    return sum((at[k : k + n] << np.uint32(8 * k) for k in range(GRAM)), np.zeros(n, np.uint32))
+
+
+class Dictionary:
+    """The settings look for matches of four bytes and up and leave everything but content out."""
+
+    def __init__(self, name: str, content: bytes):
+        settings = zstandard.ZstdCompressionParameters(
+            strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=18, hash_log=15, chain_log=15, search_log=4,
+            write_content_size=0, write_checksum=0, write_dict_id=0,
+        )
+        self.name, self.content = name, content
+        shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        shared.precompute_compress(compression_params=settings)
+        self.compressor = zstandard.ZstdCompressor(dict_data=shared, compression_params=settings)
+
+    def size(self, text: bytes) -> int:
+        """Bytes of all pieces, each compressed by itself."""
+        whole = memoryview(text)
+        return sum(len(self.compressor.compress(whole[k : k + PIECE])) for k in range(0, len(whole), PIECE))
+
+    @cached_property
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of the dictionary in order, and how much each counts."""
+        runs, n = np.unique(grams(self.content), return_counts=True)
+        return runs, np.log2(1 + n)
+
+    def shared(self, text: bytes) -> float:
+        """Sum of the weights of the runs that a text shares with the dictionary."""
+        runs, weights = self.weights
+        total = 0.0
+        for k in range(0, len(text) if len(runs) else 0, PIECE):
+            own = grams(text[k : k + PIECE + GRAM - 1])
+            place = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
+            total += float(weights[place][runs[place] == own].sum())
+        return total
+
+
+def compressors(dictionaries: dict[str, bytes]) -> list[Dictionary]:
+    """In order of name."""
+    return [Dictionary(name, dictionaries[name]) for name in sorted(dictionaries)]
+
+
+def classify(text: bytes, by_name: list[Dictionary]) -> tuple[str, float]:
+    """The language that compresses best, and the share by which the second needs more.
+
+    If no dictionary makes the text smaller: the one that shares most with it, and the share by which the second has less.
+    """
+    sizes = [d.size(text) for d in by_name]
+    if len(by_name) < 2:
+        return by_name[0].name, 1.0
+    best, second = sorted(sizes)[:2]
+    if best == second and best >= len(text):
+        tied = [d for d, size in zip(by_name, sizes, strict=True) if size == best]
+        most = sorted(((d.shared(text), d) for d in tied), key=lambda x: -x[0])
+        return most[0][1].name, 1 - most[1][0] / most[0][0] if most[0][0] else 0.0
+    return by_name[sizes.index(best)].name, 1 - best / second
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], keys: list[Column], schema: str, text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import string
 import zlib
 
 from pyspark.sql import functions as F
@@ -54,3 +56,20 @@ def test_sample_is_bounded_and_by_text(spark):
     made = li.fit(spark.createDataFrame(rows, SCHEMA), p=few)
     assert len(made["en"]) <= 7 * 11
     assert made == li.fit(spark.createDataFrame(rows[::-1], SCHEMA).repartition(3), p=few)
+
+
+def test_length_does_not_enter_the_margin():
+    draw = random.Random(3)
+    vocabulary = {name: ["".join(draw.choices(string.ascii_lowercase, k=draw.randrange(3, 9))) for _ in range(3000)] for name in ("aa", "bb")}
+
+    def some(name: str, n: int) -> bytes:
+        return li.letters(" ".join(draw.choices(vocabulary[name], k=n)).encode())
+
+    by_name = li.compressors({name: some(name, 16_000) for name in vocabulary})
+    for name in vocabulary:
+        found = [li.classify(some(name, n), by_name) for n in (2_000, 20_000, 600_000)]  # up to 4 MB
+        assert [f[0] for f in found] == [name] * 3
+        assert min(f[1] for f in found) > 0.8 * max(f[1] for f in found) > 0.1
+        words = [li.classify(f" {w} ".encode(), by_name) for w in vocabulary[name][:50]]
+        assert sum(f[0] == name and f[1] >= li.Parameters().min_margin for f in words) >= 45
+    assert li.classify("漢".encode(), by_name) == ("aa", 0.0)
