@@ -14,8 +14,8 @@ point are linked to its least, so the work is in proportion to the fingerprints
 Exact copies have one fingerprint and are one row from then on.
 
 Defined cases: a null text counts as empty. A text without words has fingerprint zero and is linked like any other.
-Rows with the same id are one document: each row is returned, all with the same component. A null id takes part in the
-links but never names a component, unless no id is there. Other columns are not read.
+Rows with the same id are grouped each by its own text, so that a text goes only where a copy of it stays. A null id takes
+part in the links but never names a component, unless no id is there. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -60,16 +60,16 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, bits``, one row for each row of ``docs``; one pass, no shuffle."""
+    """``doc_id, bits, version``, one row for each row of ``docs``; one pass, no shuffle. ``version``: hash of the text."""
 
     def start():
-        def work(ids: pa.Array, texts: pa.Array) -> list:
-            return [ids, [fingerprint(t) for t in texts.to_pylist()]]
+        def work(ids: pa.Array, texts: pa.Array, versions: pa.Array) -> list:
+            return [ids, [fingerprint(t) for t in texts.to_pylist()], versions]
 
         return work
 
-    inputs = [F.col(doc_id).cast("bigint"), text_of(text).cast("binary")]
-    return map_texts(docs, inputs, "doc_id bigint, bits bigint", start)
+    inputs = [F.col(doc_id).cast("bigint"), text_of(text).cast("binary"), F.xxhash64(text_of(text))]
+    return map_texts(docs, inputs, "doc_id bigint, bits bigint, version bigint", start)
 
 
 def _cells(bits: Column) -> Column:
@@ -112,8 +112,8 @@ def links(distinct: DataFrame, differing: int = 2) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, bits, component_id``: the least id that can be reached over links, its own included."""
+def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, bits, version, component_id`` for every row."""
     marked = written(fingerprints(docs, doc_id, text), "fingerprints")
     classes = written(marked.groupBy("bits").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(links(classes.select("bits")))
@@ -122,7 +122,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     )
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_bits = rooted.join(named, "root").select("bits", "component_id")
-    return marked.join(by_bits, "bits").select("doc_id", "bits", "component_id")
+    return marked.join(by_bits, "bits").select("doc_id", "bits", "version", "component_id")
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, bits, component_id``: the least id that can be reached over links, its own included."""
+    return grouped(docs, doc_id, text).select("doc_id", "bits", "component_id")
 
 
 def spelled(bits: str | Column) -> Column:
@@ -132,6 +137,8 @@ def spelled(bits: str | Column) -> Column:
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, with all their columns, that name their group; rows without an id stay."""
-    found = groups(docs, doc_id, text)
-    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, docs[doc_id].cast("bigint") == others["_other"], "left_anti")
+    found = grouped(docs, doc_id, text)
+    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other"), F.col("version").alias("_version"))
+    others = others.distinct()
+    same = (docs[doc_id].cast("bigint") == others["_other"]) & (F.xxhash64(text_of(docs[text])) == others["_version"])
+    return docs.join(others, same, "left_anti")

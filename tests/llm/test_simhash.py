@@ -65,6 +65,12 @@ def test_empty_table_repeated_and_null_ids(spark):
     assert simhash.first_of_each(docs).count() == 4
 
 
+def test_a_text_stays_though_its_id_stands_on_a_copy_of_another(spark):
+    a, b = "one text about the sea and its ships", "quite other words of a far mountain road"
+    docs = spark.createDataFrame([(3, a, "", ""), (5, a, "", ""), (5, b, "", ""), (8, b, "", "")], SCHEMA)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.first_of_each(docs).collect()) == [(3, a), (5, b)]
+
+
 @pytest.mark.parametrize("cell", [2, simhash.CELL])
 def test_links_connect_what_comparing_all_connects(spark, monkeypatch, cell):
     """Random clusters, chains and one dense cluster; with a small cell limit the finer grid does most of the work."""
