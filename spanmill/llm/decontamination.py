@@ -2,13 +2,14 @@
 
 A shard is a slice of documents. Its suffix array holds the word positions at which a benchmark window could begin,
 sorted by the words that follow; positions whose next words do not all occur in the benchmark cannot match and stay out.
-Every benchmark suffix is looked up by binary search, which gives all its occurrences in the shard; occurrences that
-follow each other on both sides make up the longest verbatim matches. Nothing is shuffled.
+Every distinct window of the benchmark is looked up by binary search, which gives all its occurrences in the shard. Its
+items are named afterwards, once for each stretch of windows, however many documents have that stretch; occurrences that
+follow each other on both sides make up the longest verbatim matches. No document is shuffled.
 
 A window is ``WINDOW`` consecutive words of an item; an item of fewer words, but not none, is one window. Words are runs
 of digits, a-z after lower-casing A-Z, and characters beyond ASCII.
 
-The benchmark reaches the shards in blocks of about ``BLOCK_BYTES`` of text, found by a sum over the table first. One
+The benchmark reaches the shards without repeated rows, in blocks of about ``BLOCK_BYTES`` of text, found by a sum first. One
 block is one pass over the documents; with more, each pass adds to what the passes before it have found.
 
 Defined cases: a null or empty text has no words and is clean. A null item id is named ``null``. Rows with the same item
@@ -32,6 +33,7 @@ from spanmill.session import written
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
+STRETCHES = 1 << 10  # remembered at once
 WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 FOUND = "hits array<int>, items array<string>, longest int, longest_start int, longest_item string"
 
@@ -63,10 +65,16 @@ class Windows:
                 starts = np.arange(len(ids) - length + 1)
                 np.minimum.at(self.shortest, ids[starts], length)
                 places.append((self.keys(ids, starts, np.full(len(starts), length)), length, row, starts))
-        self.key = np.concatenate([p[0] for p in places]) if places else np.empty(0, f"S{4 * window}")
-        self.length = np.concatenate([np.full(len(p[0]), p[1]) for p in places]) if places else np.empty(0, np.int64)
-        self.row = np.concatenate([np.full(len(p[0]), p[2]) for p in places]) if places else np.empty(0, np.int64)
-        self.at = np.concatenate([p[3] for p in places]) if places else np.empty(0, np.int64)
+        key = np.concatenate([p[0] for p in places]) if places else np.empty(0, f"S{4 * window}")
+        length = np.concatenate([np.full(len(p[0]), p[1]) for p in places]) if places else np.empty(0, np.int64)
+        row = np.concatenate([np.full(len(p[0]), p[2]) for p in places]) if places else np.empty(0, np.int64)
+        at = np.concatenate([p[3] for p in places]) if places else np.empty(0, np.int64)
+        # Equal windows are one; its places in items are those from first[window] to first[window + 1].
+        self.key, index, window_of = np.unique(key, return_index=True, return_inverse=True)
+        self.length = length[index]
+        order = np.argsort(window_of, kind="stable")
+        self.row, self.at = row[order], at[order]
+        self.first = np.searchsorted(window_of[order], np.arange(len(self.key) + 1))
 
     def keys(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The first words, at most a window, of the suffixes that begin at ``starts`` and have ``lengths`` words."""
@@ -96,6 +104,25 @@ class Windows:
         rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         return which, suffixes[rank]
 
+    def matches(self, which: np.ndarray, at: np.ndarray) -> tuple[list[str], tuple[int, int, str]]:
+        """The items of the windows found at the places of a stretch, and ``-length, start, item`` of its longest match."""
+        n = self.first[which + 1] - self.first[which]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[which], n)
+        at, length, row = np.repeat(at, n), np.repeat(self.length[which], n), self.row[place]
+        diagonal = at - self.at[place]
+        # Occurrences that go on by one word in the item and in the document are one match.
+        order = np.lexsort((at, diagonal, row))
+        at, row, length, diagonal = at[order], row[order], length[order], diagonal[order]
+        begins = np.ones(len(at), dtype=bool)
+        begins[1:] = (row[1:] != row[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(at)) - 1
+        start, size, item = at[first], at[last] + length[last] - at[first], row[first]
+        best = np.flatnonzero(size == size.max())
+        best = best[start[best] == start[best].min()]
+        names = sorted({self.names[k] for k in np.unique(item).tolist()})
+        return names, (-int(size[best[0]]), int(start[best[0]]), min(self.names[k] for k in item[best].tolist()))
+
     def find(self, texts: list[bytes]) -> list[tuple[int, list[int], list[str], tuple[int, int, str] | None]]:
         """For each text: number of words, bounds of the hit stretches, items found, longest match with its place."""
         get = self.vocabulary.get
@@ -106,24 +133,29 @@ class Windows:
         which, at = self.search(np.concatenate(numbers) if numbers else np.empty(0, np.int32), ends)
         if not len(which):
             return out
-        # Occurrences that go on by one word in the item and in the document are one match.
-        row, length = self.row[which], self.length[which]
-        order = np.lexsort((at, at - self.at[which], row))
-        at, row, length, diagonal = at[order], row[order], length[order], (at - self.at[which])[order]
-        begins = np.ones(len(at), dtype=bool)
-        begins[1:] = (row[1:] != row[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)
-        first = np.flatnonzero(begins)
-        last = np.append(first[1:], len(at)) - 1
-        start, stop, item = at[first], at[last] + length[last], row[first]
-        doc = np.searchsorted(ends, start, side="right")
-        order = np.lexsort((item, stop, start, doc))
-        for mine in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1):
+        order = np.lexsort((which, at))
+        which, at = which[order], at[order]
+        doc = np.searchsorted(ends, at, side="right")
+        breaks = np.flatnonzero((doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)) + 1
+        known: dict[tuple[bytes, bytes], tuple] = {}
+        for mine in np.split(np.arange(len(at)), np.flatnonzero(np.diff(doc)) + 1):
             d = int(doc[mine[0]])
             offset = int(ends[d] - sizes[d])
-            matches = list(zip((start[mine] - offset).tolist(), (stop[mine] - offset).tolist(), item[mine].tolist(), strict=True))
-            best = min(matches, key=lambda m: (m[0] - m[1], m[0], self.names[m[2]]))
-            names = sorted({self.names[m[2]] for m in matches})
-            out[d] = (out[d][0], joined(m[:2] for m in matches), names, (best[1] - best[0], best[0], self.names[best[2]]))
+            own, names = [], set()
+            low, high = np.searchsorted(breaks, (mine[0] + 1, mine[-1] + 1))
+            for part in np.split(mine, breaks[low:high] - mine[0]):
+                begin = int(at[part[0]])
+                key = which[part].tobytes(), (at[part] - begin).tobytes()
+                if key not in known:
+                    if len(known) >= STRETCHES:
+                        known.clear()
+                    known[key] = self.matches(which[part], at[part] - begin)
+                items, (size, start, item) = known[key]
+                names.update(items)
+                own.append((size, start + begin - offset, item))
+            best = min(own)
+            hits = zip((at[mine] - offset).tolist(), (at[mine] + self.length[which[mine]] - offset).tolist(), strict=True)
+            out[d] = (out[d][0], joined(hits), sorted(names), (-best[0], best[1], best[2]))
         return out
 
 
@@ -143,6 +175,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> I
     items = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("name"), text_of(text).cast("binary").alias("text")
     )
+    items = written(items.distinct(), "items")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total // block_bytes
     for k in range(n):

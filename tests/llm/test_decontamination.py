@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from spanmill.llm import decontamination as dc
@@ -69,6 +70,24 @@ def test_against_plain_comparison(spark, block_bytes, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d[0] for d in docs if not plain(d[1], items)[4])
 
 
+def test_repeated_rows_are_one_item(spark):
+    bench = spark.createDataFrame([(1, "some words " * 9)] * 50 + [(2, "some words " * 9), (3, "others")], "item_id bigint, text string")
+    assert sorted(len(b) for b in dc.blocks(bench, "item_id", "text", 10**6)) == [3]
+    assert max(len(b) for b in dc.blocks(bench, "item_id", "text", 100)) <= 3
+
+
+def test_a_passage_of_many_items_and_documents_is_found_once():
+    passage = " ".join(f"p{k}" for k in range(40))
+    items = [(f"i{k}", f"{passage} t{k} u{k}".encode()) for k in range(60)]
+    texts = [f"a{k} b{k} {passage} t{k} z".encode() for k in range(30)]
+    windows = dc.Windows(items)
+    numbers = [[windows.vocabulary.get(w, 0) for w in dc.words(t)] for t in texts]
+    which, _ = windows.search(np.concatenate(numbers), np.cumsum([len(n) for n in numbers]))
+    assert len(which) == 30 * (28 + 1)
+    names = sorted(name for name, _ in items)
+    assert windows.find(texts) == [(44, [2, 43], names, (41, 2, f"i{k}")) for k in range(30)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b", "", "")], SCHEMA)
     none = spark.createDataFrame([], "item_id bigint, text string")
