@@ -12,10 +12,13 @@ from spanmill.llm import (
     chat_format,
     decontamination,
     html_extraction,
+    importance_resampling,
     language_id,
     neighbours,
+    quality_rules,
     secret_scan,
     simhash,
+    source_divergence,
     substring_dedup,
     token_counts,
 )
@@ -201,3 +204,90 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.spelled("bits").alias("fingerprint"), "component_id")
+
+
+OP11 = """
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), groups AS (SELECT DISTINCT lang, source FROM docs),
+found AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM docs) GROUP BY ALL),
+kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM docs) GROUP BY ALL HAVING count(*) >= 30
+), counts AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN found USING (lang, source, term)
+), shares AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS p
+  FROM counts WINDOW g AS (PARTITION BY lang, source)
+), whole AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY ALL),
+language AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS q
+  FROM whole WINDOW g AS (PARTITION BY lang)
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value
+  FROM shares JOIN language USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query(OP11)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12 = """
+WITH cut AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT row, i, array_to_string(w[i:i + 7], ' ') AS k FROM cut, unnest(generate_series(1, len(w) - 7)) AS t(i)
+), twice AS (SELECT row, i, count(*) OVER (PARTITION BY row, k) AS n FROM windows),
+again AS (
+  SELECT row, count(DISTINCT p) AS n FROM twice, unnest(generate_series(i, i + 7)) AS t(p) WHERE n > 1 GROUP BY ALL
+), counts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_capitals,
+    CAST(len(list_filter(w, lambda x: list_contains([{stop}], lower(x)))) AS BIGINT) AS n_stop_words,
+    CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS BIGINT) AS n_ellipsis_lines,
+    CAST(len(list_filter(lines, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS BIGINT) AS n_bullet_lines
+  FROM cut LEFT JOIN again USING (row)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, concat_ws(',',
+    CASE WHEN 1000 * word_chars < 2000 * n_words OR 1000 * word_chars > 12000 * n_words THEN 'word_length' END,
+    CASE WHEN 1000 * n_symbols > 100 * n_words THEN 'symbols' END,
+    CASE WHEN 1000 * n_capitals > 300 * word_chars THEN 'capitals' END,
+    CASE WHEN 1000 * n_stop_words < 20 * n_words THEN 'stop_words' END,
+    CASE WHEN 1000 * n_dup_lines > 500 * n_lines THEN 'duplicate_lines' END,
+    CASE WHEN 1000 * n_ellipsis_lines > 300 * n_lines THEN 'ellipsis_lines' END,
+    CASE WHEN 1000 * n_bullet_lines > 900 * n_lines THEN 'bullet_lines' END) AS broken
+  FROM counts
+)
+SELECT *, NOT base_failed AND broken = '' AS kept FROM judged
+""".replace("{stop}", ", ".join(f"'{w}'" for w in quality_rules.stop_words()))
+
+
+@query(OP12)
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -87,3 +87,20 @@ def keep_rows(df: DataFrame, inputs: list[Column], start: Callable[[], Callable]
 
     named = [c.alias("_" * (longest + 1) + str(k)) for k, c in enumerate(inputs)]
     return df.select("*", *named).mapInArrow(run, df.schema)
+
+
+def word_table(inside: bytes) -> bytes:
+    """For ``bytes.translate``: A-Z become a-z; what is neither in ``inside`` nor beyond ASCII becomes a blank."""
+    kept = {*inside, *range(0x80, 0x100)}
+    lower = [b + 32 if 0x41 <= b <= 0x5A else b for b in range(0x100)]
+    return bytes(b if b in kept else 0x20 for b in lower)
+
+
+def worded(data: bytes, table: bytes, piece: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a whole text, in lists of those of about ``piece`` bytes."""
+    data, at = data.translate(table), 0
+    while at < len(data):
+        stop = data.find(b" ", at + piece)
+        stop = len(data) if stop < 0 else stop
+        yield data[at:stop].split()
+        at = stop
