@@ -182,6 +182,10 @@ def oracle(name: str, sql: str) -> None:
 # Sources and sinks
 
 oracle("src_jsonl_shards", "select row_number() over (order by doc_id) - 1 as record_no, doc_id, text from documents")
+oracle(
+    "src_records_by_number",
+    "select row_number() over (order by doc_id) - 1 as number, doc_id, text from documents",
+)
 oracle(
     "src_literal_lines",
     f"""with {PROBLEMS}
@@ -258,6 +262,32 @@ oracle(
     "mix_fixed_rates",
     f"with {mixture('documents', {'fr': '0.7', 'en': '0.3'}, 'count(*)')} select doc_id, lang, epoch from mixed",
 )
+SHARES = {"de": 2, "en": 3, "fr": 5}
+DUE = ", ".join(
+    f"case when {lang} * 10 // {w} <= place then (({lang} + 1) * 10 + {w - 1}) // {w} * 10 + {k} else 10000 end"
+    for k, (lang, w) in enumerate(SHARES.items())
+)
+oracle(
+    "mix_rate_order",
+    f"""with recursive walk as (
+            select 0 as place, 0 as de, 0 as en, 0 as fr, -1 as pick
+            union all
+            select place + 1, de + cast(best % 10 = 0 as int), en + cast(best % 10 = 1 as int), fr + cast(best % 10 = 2 as int), best % 10
+            from (select *, least({DUE}) as best from walk where place < 10)),
+        places as (
+            select ['de', 'en', 'fr'][pick + 1] as lang, place - 1 as place,
+                   row_number() over (partition by pick order by place) - 1 as nth, count(*) over (partition by pick) as weight
+            from walk where place > 0),
+        every as (
+            select lang, k * 10 + place as pos, k * weight + nth as row
+            from places, range(0, (select count(*) // 10 + 1 from documents)) t(k) where k * 10 + place < (select count(*) from documents)),
+        ranked as (
+            select doc_id, lang, row_number() over (partition by lang order by {digest(1, 'mix', 'lang', 'doc_id')}, doc_id) - 1 as rank,
+                   count(*) over (partition by lang) as size
+            from documents)
+        select r.doc_id, r.lang, e.row // r.size as epoch, e.pos
+        from every e join ranked r on r.lang = e.lang and r.rank = e.row % r.size""",
+)
 oracle(
     "mix_temperature_rates",
     """select lang, count(*) as n, round(pow(count(*), 0.3) / sum(pow(count(*), 0.3)) over (), 9) as rate
@@ -566,6 +596,11 @@ oracle(
     f"with recursive {LETTER_SEGMENTS}, {pairs(KEYS, 327, 1)}, {packed('doc_id, segment', 'doc_id // 100')}",
 )
 LAST = lambda ids, n: f"list_append(({padded(ids, str(n))})[1:{n - 1}], least(({padded(ids, str(n))})[{n}], 1))"
+oracle(
+    "pack_by_lengths",
+    f"""with {LETTER_SEGMENTS}, {pairs(KEYS, 327, 1)}
+        select doc_id, segment, {joined('inputs')} as inputs, {joined('targets')} as targets from pairs""",
+)
 oracle(
     "pad_without_packing",
     f"""with {LETTER_SEGMENTS}, {pairs(KEYS, 327, 1)}
@@ -691,7 +726,7 @@ oracle(
             from mixed),
         {packed('place, source', 'place[1:digits]').replace('select arg_min(place', ', packs as (select arg_min(place')}),
         ordered as (select * exclude (place, source), row_number() over (order by place) - 1 as pos from packs)
-        select *, pos // 8 as batch_id, cast(pos % 8 as int) as slot from ordered where pos // 8 < (select count(*) // 8 from packs)""",
+        select *, pos // 8 as batch_id, cast(pos % 8 as int) as slot from ordered""",
 )
 oracle(
     "eval_holdout",
@@ -725,3 +760,38 @@ oracle(
         select lang, count(*) as documents, cast(sum(len(ids)) as bigint) as tokens, cast(sum(list_sum(ids)) as bigint) as id_sum
         from t group by lang""",
 )
+oracle(
+    "endless_epochs",
+    f"""with sized as (select *, (select count(*) from documents) as n from documents),
+        dealt as (
+            select doc_id, lang, concat('s', substr({digest(1, 'shard', 'doc_id')}, 1,
+                       case when n <= 64 then 0 when n <= 1024 then 1 when n <= 16384 then 2 when n <= 262144 then 3 else 4 end)) as shard
+            from sized)
+        select doc_id, lang, epoch,
+               row_number() over (partition by epoch order by md5(concat_ws(':', '1', 'epoch-shard', epoch, shard)), shard,
+                                  md5(concat_ws(':', '1', 'epoch', epoch, doc_id)), doc_id) - 1 as pos
+        from dealt, range(0, 3) e(epoch)""",
+)
+oracle(
+    "stream_shuffle",
+    f"""with recursive laned as (
+            select doc_id, {draw(1, 'lane', 'doc_id')} % 8 as lane from documents),
+        arriving as materialized (
+            select *, row_number() over (partition by lane order by doc_id) - 1 as n, count(*) over (partition by lane) as total from laned),
+        walk as (
+            select lane, n, total, [doc_id] as held, cast(null as bigint) as out from arriving where n = 0
+            union all
+            select a.lane, a.n, a.total,
+                   case when a.n < 16 then list_append(held, a.doc_id)
+                        else list_concat(list_append(held[1 : slot], a.doc_id), held[slot + 2 :]) end,
+                   case when a.n >= 16 then held[slot + 1] end
+            from (select w.held, a.*, {draw(1, 'slot', 'a.lane', 'a.n')} % 16 as slot
+                  from walk w join arriving a on a.lane = w.lane and a.n = w.n + 1) a),
+        rest as (
+            select lane, total, unnest(held) as doc_id, unnest(range(0, len(held))) as slot, len(held) as kept from walk where n = total - 1),
+        released as (
+            select lane, n - 16 as pos, out as doc_id from walk where n >= 16
+            union all
+            select lane, total - kept + row_number() over (partition by lane order by {draw(1, 'end', 'lane', 'slot')}, slot) - 1, doc_id from rest)
+        select lane, pos, doc_id, lang from released join documents using (doc_id)""",
+)

@@ -23,13 +23,17 @@ from spanmill.operators import projection as P
 from spanmill.operators import splitting as L
 from spanmill.operators.corruption import corrupt, with_noise_spans
 from spanmill.operators.numbering import with_line_position
+from spanmill.operators import length_packing as H
 from spanmill.operators import packing as Z
 from spanmill.plans import jobs
 from spanmill.plans.recipes import registry, run_together
-from spanmill.session import scratch
+from spanmill.session import scratch, written
+from spanmill.sources import line_index as N
 from spanmill.sources import readers as R
 from spanmill.sources import sinks as W
+from spanmill.streaming import epochs as O
 from spanmill.streaming import jobs as T
+from spanmill.streaming import shuffle as U
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +60,21 @@ def src_jsonl_shards(spark, sf):
     return R.read_jsonl_shards(spark, path, "doc_id bigint, text string")
 
 
+@query
+def src_records_by_number(spark, sf):
+    """Every record of the shards, half of them compressed, fetched by its number with a sparse index of their lines."""
+    path = scratch(spark, "shards")
+    rows = I.documents(spark, sf).select("doc_id", "text")
+    middle = rows.agg(F.expr("percentile_approx(doc_id, 0.5)").alias("m")).first()["m"]
+    for name, part, packed in (("a", rows.where(F.col("doc_id") <= middle), "gzip"), ("b", rows.where(F.col("doc_id") > middle), "none")):
+        ordered = part.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        ordered.write.option("compression", packed).json(f"{path}/{name}")
+    index = written(N.line_index(spark, [f"{path}/a", f"{path}/b"], every=64), "line-index")
+    total = index.agg(F.sum("lines").alias("n")).first()["n"] or 0
+    found = N.lines_at(index, spark.range(total).toDF("number"))
+    return found.select("number", F.from_json("value", "doc_id bigint, text string").alias("r")).select("number", "r.*")
+
+
 @query
 def src_literal_lines(spark, sf):
     path = scratch(spark, "literals")
@@ -152,6 +171,16 @@ def mix_fixed_rates(spark, sf):
     return X.mix_fixed_rates(docs, "lang", ["doc_id"], {"fr": 0.7, "en": 0.3}, total)
 
 
+RATE_ORDER = {"fr": 5, "en": 3, "de": 2}
+
+
+@query
+def mix_rate_order(spark, sf):
+    """As many examples as there are documents, in an order of which every prefix keeps the rates."""
+    docs = I.documents(spark, sf).select("doc_id", "lang")
+    return X.mix_in_rate_order(docs, "lang", ["doc_id"], RATE_ORDER, docs.count())
+
+
 @query
 def mix_temperature_rates(spark, sf):
     rates = X.temperature_rates(I.documents(spark, sf), "lang")
@@ -205,9 +234,8 @@ def prompt_concat(spark, sf):
 
 @query
 def filter_blacklist(spark, sf):
-    problems = I.problems(spark, sf)
-    listed = E.verify_equations(problems).where("verdict <> 'right'")
-    return P.drop_listed(problems, listed, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "equation")
+    judged = E.verify_equations(I.problems(spark, sf))
+    return judged.where("verdict = 'right'").select("l_orderkey", "l_linenumber", "equation")
 
 
 @query
@@ -527,6 +555,14 @@ def pack_or_pad(spark, sf):
     return text_of(_packed(spark, sf, True), *PACKED)
 
 
+@query
+def pack_by_lengths(spark, sf):
+    """Examples read back from packs that were made by the histogram of lengths: none is lost, and none cut."""
+    pairs = corrupt(I.document_segments(spark, sf), ["doc_id", "segment"], S.LETTERS_ASCENDING)
+    packs = H.pack_by_lengths(pairs, ["doc_id", "segment"])
+    return text_of(H.unpacked(packs, ["inputs", "targets"]), "inputs", "targets")
+
+
 @query
 def pad_without_packing(spark, sf):
     return text_of(_packed(spark, sf, False), "inputs", "targets")
@@ -615,6 +651,40 @@ def stream_verify(spark, sf):
     return T.latest_counts(spark, f"{path}/out")
 
 
+EPOCHS = 3
+
+
+@query
+def endless_epochs(spark, sf):
+    """The first epochs of an endless stream, stopped in its middle and started again."""
+    path = scratch(spark, "epochs")
+    O.write_shards(I.documents(spark, sf).select("doc_id", "lang"), f"{path}/in", ["doc_id"], rows_per_shard=64)
+    shards = spark.read.parquet(f"{path}/in/sizes").count()
+    for epochs in (1, EPOCHS):
+        stream = O.stream_epochs(spark, f"{path}/in", "doc_id bigint, lang string", shardsPerTrigger=shards // 2 + 1)
+        T.run_until(stream, f"{path}/out", f"{path}/state", F.max("epoch") >= epochs)
+    return spark.read.parquet(f"{path}/out").where(F.col("epoch") < EPOCHS)
+
+
+@query
+def stream_shuffle(spark, sf):
+    """Documents that arrive in three parts, through shuffle buffers; then the end."""
+    path = scratch(spark, "shuffled")
+    docs = I.documents(spark, sf).select("doc_id", "lang")
+    first, second = docs.agg(F.expr("percentile_approx(doc_id, array(0.3, 0.6))").alias("m")).first()["m"] or (0, 0)
+    part = F.when(F.col("doc_id") <= first, 0).when(F.col("doc_id") <= second, 1).otherwise(2)
+    U.end_lanes(spark, f"{path}/ends", lanes=0)
+    for k in range(4):
+        if k < 3:
+            docs.where(part == k).write.mode("append").parquet(f"{path}/in")
+        else:
+            U.end_lanes(spark, f"{path}/ends", lanes=8)
+        arriving = T.stream_table(spark, f"{path}/in", "doc_id bigint, lang string")
+        ends = T.stream_table(spark, f"{path}/ends", "lane bigint")
+        U.run_with_state(U.shuffle_stream(arriving, ends, ["doc_id"], "doc_id", size=16, lanes=8), f"{path}/out", f"{path}/state")
+    return spark.read.parquet(f"{path}/out")
+
+
 # Recipes, mixtures and whole jobs
 
 
@@ -659,7 +729,7 @@ def mixture_registry(spark, sf):
 @query
 def pretraining_corpus(spark, sf):
     docs = I.documents(spark, sf).select("doc_id", "lang", I.hangul().alias("text"))
-    packed = jobs.pretraining_corpus(docs, "letters_ascending", ["doc_id"], rates={"fr": 0.7, "en": 0.3}, drop_last=True)
+    packed = jobs.pretraining_corpus(docs, "letters_ascending", ["doc_id"], rates={"fr": 0.7, "en": 0.3})
     return text_of(packed, *PACKED)
 
 

@@ -108,6 +108,7 @@ def letter_ids(text: Column | str) -> Column:
 
 def _letters_of_batch(texts: pa.Array) -> pa.Array:
     """The ids lie where the bytes lie, so the offsets of the texts are those of their ids."""
+    texts = texts.cast(pa.string())  # with large or view types, offsets would have another width
     _, offsets, data = texts.buffers()
     ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)

@@ -48,29 +48,28 @@ def with_file_position(df: DataFrame, name: str = "record_no") -> DataFrame:
 def with_line_position(df: DataFrame, name: str = "record_no") -> DataFrame:
     """Number the lines of a text source in sorted-file order, from 0.
 
-    The source is read once: its lines are written to the shared folder with
-    their file, the piece of the file they were read in (a whole file if it is
-    gzip) and the reading task's running number, and everything else starts
-    from that table. The place in a piece is the running number minus the
-    piece's first. Offsets are summed over the pieces of each file, then over
-    files.
+    One scan counts the lines of each piece of a file (a whole file if it is gzip) without reading them into rows, a
+    second one gives each line its piece's offset plus its place in the piece, which is its task's running number minus
+    the piece's first. No text is written or moved. Both scans belong to one plan and so have the same pieces; a line
+    that contradicts the counts, as after a change of the files, ends the query.
     """
     blocks = ["_file", "_start"]
-    rows = df.select(
-        "*",
+    place = [
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_running"),
-    )
-    rows = written(rows, "lines")
-    pieces = rows.groupBy(*blocks).agg(F.count("*").alias("n"), F.min("_running").alias("_first"))
+    ]
+    pieces = df.select(*place).groupBy(*blocks).agg(F.count("*").alias("n"), F.min("_running").alias("_first"))
     pieces = written(pieces, "pieces")
     files = _offsets(pieces.groupBy("_file").agg(F.sum("n").alias("n")), ["_file"]).withColumnRenamed("offset", "_before")
-    inside = _offsets(pieces, ["_start"], ["_file"], carry=["_first"]).join(files, "_file")
-    offsets = inside.select(*blocks, "_first", (F.col("offset") + F.col("_before")).alias("offset"))
-    joined = rows.join(F.broadcast(offsets) if pieces.count() <= BROADCAST_ROWS else offsets, blocks)
-    number = F.col("offset") + F.col("_running") - F.col("_first")
-    return joined.withColumn(name, number).drop(*blocks, "_running", "_first", "offset")
+    inside = _offsets(pieces, ["_start"], ["_file"], carry=["_first", "n"]).join(files, "_file")
+    offsets = inside.select(*blocks, "_first", "n", (F.col("offset") + F.col("_before")).alias("offset"))
+    small = pieces.count() <= BROADCAST_ROWS
+    joined = df.select("*", *place).join(F.broadcast(offsets) if small else offsets, blocks, "left")
+    at = F.col("_running") - F.col("_first")
+    changed = F.raise_error(F.concat(F.lit("lines changed while they were numbered: "), F.col("_file")))
+    number = F.when(at.between(0, F.col("n") - 1), F.col("offset") + at).otherwise(changed.cast("bigint"))
+    return joined.withColumn(name, number).drop(*blocks, "_running", "_first", "n", "offset")
 
 
 def block_digits(partitions: int) -> int:

@@ -57,5 +57,5 @@ def label_text(label: Column, names: list[str]) -> Column:
 
 
 def with_label_text(df: DataFrame, label: str, names: DataFrame, name: str = "label_text") -> DataFrame:
-    """As :func:`label_text` from an (id, name) table of a fixed few labels."""
-    return df.join(F.broadcast(names.toDF(label, name)), label)
+    """As :func:`label_text` from an (id, name) table; the planner broadcasts it as long as its size allows that."""
+    return df.join(names.toDF(label, name), label)

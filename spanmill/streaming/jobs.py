@@ -71,6 +71,28 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def run_until(stream: DataFrame, path: str, checkpoint: str, reached: Column, wait: float = 0.05) -> None:
+    """Process an endless stream until the aggregate ``reached`` of what has been written says so, then stop.
+
+    The micro-batch at hand may be given up; a rerun with the same checkpoint writes it again.
+    """
+    spark = stream.sparkSession
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
+    seen = -1
+    try:
+        while query.isActive:
+            progress = query.lastProgress
+            if progress and progress["batchId"] > seen:
+                seen = progress["batchId"]
+                if spark.read.schema(stream.schema).parquet(path).agg(reached.alias("r")).first()["r"]:
+                    return
+            query.awaitTermination(wait)
+    finally:
+        query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+
+
 def run_counts(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Keep the changed counts of every micro-batch; a repeated batch overwrites itself."""
 

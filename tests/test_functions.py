@@ -312,6 +312,22 @@ def test_cleaning(one):
         ("()", "1", "error"),
         ("007", "7", "error"),
         ("1,2", "1", "error"),
+        ("2^500000+1-2^500000", "1", "right"),
+        ("2^600000+1-2^600000", "1", "right"),
+        ("2^1048577+1-2^1048577", "1", "right"),
+        ("2^1048577+1-2^1048577", "0", "wrong"),
+        ("10^130+2^0.5-10^130", "2^0.5", "right"),
+        ("2^0.5*2^0.5*10^200-2*10^200", "0", "right"),
+        ("(1+10^-400)^(10^400)", "e", "right"),
+        ("e^(10^3)/e^(10^3-1)", "e", "right"),
+        ("(-2^0.5)^3", "-2.8284271247", "right"),
+        ("2^0.5//1", "1", "right"),
+        ("0.5^2000000", "0", "right"),
+        ("10^300000*3/10^300000", "3", "right"),
+        ("70000!", "70000!", "right"),
+        ("pi-pi", "0", "right"),
+        ("9**9**9+1-9**9**9", "1", "error"),
+        ("1/(2^0.5-2^0.5)", "1", "error"),
     ],
 )
 def test_verdicts(equation, answer, verdict):
@@ -321,3 +337,15 @@ def test_verdicts(equation, answer, verdict):
 def test_values_are_exact():
     assert evaluate("1/3*3") == 1
     assert evaluate("0.1*3") * 10 == 3
+
+
+def test_letter_ids_under_large_arrow_types(spark):
+    rows = spark.createDataFrame([("가나 abc",), ("",), (None,), ("é🙂힣",)], "t string").repartition(2)
+    found = lambda: sorted(map(repr, rows.select("t", letter_ids("t").alias("ids")).collect()))
+    plain = found()
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        assert found() == plain
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+    assert any("259, 278, 299" in row for row in plain)
