@@ -52,10 +52,11 @@ WITH cut AS (
   FROM cut, unnest(generate_series(1, len(parts))) AS t(i)
 ), places AS (
   SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, array_to_string(w, ' ') AS words FROM pieces
+), spans AS (
+  SELECT a.doc_id, a.i, b.i AS j FROM places AS a JOIN places AS b
+  ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 26 AND b.upto - a.upto + len(a.w) >= 25
 ), runs AS (
-  SELECT a.doc_id, a.i, min(b.i) AS j FROM places AS a JOIN places AS b
-  ON a.doc_id = b.doc_id AND b.i BETWEEN a.i + (CASE WHEN len(a.w) >= 25 THEN 0 ELSE 1 END) AND a.i + 13
-    AND b.upto - a.upto + len(a.w) >= 12 GROUP BY ALL
+  SELECT doc_id, i, min(j) AS j FROM spans GROUP BY ALL UNION SELECT doc_id, max(i), j FROM spans GROUP BY doc_id, j
 ), spelled AS (
   SELECT r.doc_id, r.i, r.j, string_agg(p.words, ' ' ORDER BY p.i) AS k
   FROM runs AS r JOIN places AS p ON r.doc_id = p.doc_id AND p.i BETWEEN r.i AND r.j GROUP BY ALL
@@ -120,7 +121,7 @@ WITH turns AS (
 ), marked AS (
   SELECT *, lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS past,
     lead(0, 1, 1) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS last,
-    replace(replace(replace(text, '\\', '\\\\'), '###', '\\#\\#\\#'), '</turn>', '\\<\\/\\t\\u\\r\\n\\>') AS safe
+    regexp_replace(text, '([\\\\#/])', '\\\\\\1', 'g') AS safe
   FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,

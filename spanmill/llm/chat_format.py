@@ -2,8 +2,8 @@
 
 Turns come sorted by conversation and turn. The machine walks over the roles, judges the order, and emits the formatted
 conversation as segments of text, each with a flag that says whether it counts in the loss. The template marks where turns
-begin and end; control strings inside a text are escaped character by character, so a mark never stands in a text and
-reading back is exact.
+begin and end. In a text, every second character of a control string is escaped wherever it stands, so no control string
+is left in a text, also not one that overlaps another, and reading back is exact.
 
 Conversations are dealt out by id and walked in order, batch by batch. Memory is bounded by a batch, whatever the length
 of a conversation; one conversation is walked by one task, as its digest can only be taken in order.
@@ -52,10 +52,10 @@ class Template:
 
 
 def escaped(text: Column, t: Template = Template(), more: tuple[str, ...] = ()) -> Column:
-    """The escape sign doubled, then every character of a control string preceded by it."""
+    """The escape sign doubled, then put before whatever may be the second (or only) character of a control string."""
     text = F.replace(text, F.lit(t.escape), F.lit(t.escape * 2))
-    for mark in (*t.control, *more):
-        text = F.replace(text, F.lit(mark), F.lit("".join(t.escape + c for c in mark)))
+    for sign in sorted({mark[:2][-1] for mark in (*t.control, *more)}):
+        text = F.replace(text, F.lit(sign), F.lit(t.escape + sign))
     return text
 
 

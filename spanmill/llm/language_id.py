@@ -37,7 +37,8 @@ GRAM = 4
 
 @dataclass(frozen=True)
 class Parameters:
-    """``samples`` texts of at most ``sample_chars`` characters are taken for each language: the only bounded sample.
+    """``samples`` texts are taken for each language, of each at most ``sample_chars`` characters from a place that the hash of
+    the text chooses: the only bounded sample.
 
     ``min_margin`` is the least share by which the best language must be smaller than the second.
     """
@@ -72,8 +73,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", p: Parameters =
     # The least of each of many parts of a language, then the least of these: no task ranks all texts of a language.
     hashes = rows.select("lang", "hash").distinct().withColumn("part", F.pmod("hash", F.lit(PARTS)))
     chosen = least(least(hashes, ["lang", "part"], p.samples), ["lang"], p.samples).select("lang", "hash")
+    places = F.greatest(F.length("text") - p.sample_chars + 1, F.lit(1))
+    place = (F.pmod(F.xxhash64(F.lit("place"), "text"), places) + 1).cast("int")
     sample = rows.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "hash").agg(
-        F.min(F.lower(text_of(F.substring("text", 1, p.sample_chars)))).alias("text")
+        F.min(F.lower(text_of(F.substring(F.col("text"), place, F.lit(p.sample_chars))))).alias("text")
     )
     made: dict[str, list[bytes]] = {}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["hash"])):  # languages x samples x sample_chars at most

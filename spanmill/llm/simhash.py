@@ -14,8 +14,8 @@ point are linked to its least, so the work is in proportion to the fingerprints
 Exact copies have one fingerprint and are one row from then on.
 
 Defined cases: a null text counts as empty. A text without words has fingerprint zero and is linked like any other.
-Rows with the same id are grouped each by its own text, so that a text goes only where a copy of it stays. A null id takes
-part in the links but never names a component, unless no id is there. Other columns are not read.
+Rows with the same id are grouped each by its own text, so that a text goes only where a copy of it stays; of equal rows one
+stays. A null id takes part in the links but never names a component, unless no id is there. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def links(distinct: DataFrame, differing: int = 2) -> DataFrame:
 
 
 def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, bits, version, component_id`` for every row."""
+    """``doc_id, bits, version, root, component_id`` for every row."""
     marked = written(fingerprints(docs, doc_id, text), "fingerprints")
     classes = written(marked.groupBy("bits").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(links(classes.select("bits")))
@@ -121,8 +121,8 @@ def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         "bits", "first", F.coalesce("root", "bits").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_bits = rooted.join(named, "root").select("bits", "component_id")
-    return marked.join(by_bits, "bits").select("doc_id", "bits", "version", "component_id")
+    by_bits = rooted.join(named, "root").select("bits", "root", "component_id")
+    return marked.join(by_bits, "bits").select("doc_id", "bits", "version", "root", "component_id")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,9 +136,21 @@ def spelled(bits: str | Column) -> Column:
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all their columns, that name their group; rows without an id stay."""
-    found = grouped(docs, doc_id, text)
-    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other"), F.col("version").alias("_version"))
-    others = others.distinct()
-    same = (docs[doc_id].cast("bigint") == others["_other"]) & (F.xxhash64(text_of(docs[text])) == others["_version"])
-    return docs.join(others, same, "left_anti")
+    """One document, with all its columns, of each group: the one that names it, of a group without ids any one text.
+
+    What goes is decided by id and text. Of several rows with the id and the text that stay, the least by its columns
+    stays; these are put together by an aggregate, so a third of all rows may be one row repeated.
+    """
+    found = written(grouped(docs, doc_id, text), "grouped")
+    leads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = leads.groupBy("root").agg(F.min("version").alias("chosen"))
+    rows = found.join(chosen, "root").groupBy("root", "doc_id", "version", "component_id", "chosen").agg(F.count("*").alias("n"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("version") == F.col("chosen"))
+    fate = rows.where(~stays | (F.col("n") > 1)).select(
+        F.col("doc_id").alias("_id"), F.col("version").alias("_version"), stays.alias("_stays")
+    )
+    fate = written(fate, "fate")
+    same = docs[doc_id].cast("bigint").eqNullSafe(fate["_id"]) & (F.xxhash64(text_of(docs[text])) == fate["_version"])
+    single = docs.join(fate, same, "left_anti")
+    again = docs.join(fate.where("_stays"), same).groupBy("_id", "_version").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_row"))
+    return single.union(again.select("_row.*"))

@@ -1,9 +1,10 @@
 """Substring dedup: runs of consecutive sentences that occurred before are removed.
 
-A text is cut into sentences, each with the white space around it, so the sentences of a text joined are the text. At every
-sentence a run begins: that sentence and the following ones, ``SENTENCES`` at least, until the run has ``WORDS`` words; a
-sentence of ``LONG`` words is a run by itself. The words of a run are hashed. Hashes meet globally; a run is a repeat if a document with a smaller id holds it, or the same document
-holds it further up. Every sentence that a repeat covers is removed.
+A text is cut into sentences, each with the white space around it, so the sentences of a text joined are the text. A run is
+consecutive sentences of ``WORDS`` words or more together: from every sentence the shortest run that begins there, and to every
+sentence the shortest run that ends there. So both ends of a repeated passage are reached, however long its sentences are. The
+words of a run are hashed. Hashes meet globally; a run is a repeat if a document with a smaller id holds it, or the same
+document holds it further up. Every sentence that a repeat covers is removed.
 
 Only hashes and places are shuffled to find repeats: an aggregation with a sum before the shuffle, and a join in which a
 passage that a third of all documents hold can be split by the adaptive plan. Texts move once, to meet their repeats.
@@ -16,7 +17,9 @@ Words are compared as written, white space as one space. Other columns are not r
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -26,9 +29,7 @@ from pyspark.sql import functions as F
 from spanmill.llm.common import map_texts, text_of
 from spanmill.session import written
 
-SENTENCES = 2
-WORDS = 12
-LONG = 25
+WORDS = 25
 #: The white space and the ends of sentences.
 SENTENCE = r"[ \t\r\n]*[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
 WHITE = " \t\r\n"
@@ -43,18 +44,27 @@ def words_of(sentence: str) -> list[str]:
     return re.split(f"[{WHITE}]+", sentence.strip(WHITE)) if sentence.strip(WHITE) else []
 
 
-def runs(text: str) -> Iterator[tuple[int, int, int]]:
+def runs(sizes: list[int]) -> list[tuple[int, int]]:
+    """First sentence of every run and the one behind its last, from the words of each sentence."""
+    before = [0, *accumulate(sizes)]
+    found = set()
+    for k in range(len(sizes)):
+        end = bisect_left(before, before[k] + WORDS)
+        if end < len(before):
+            found.add((k, end))
+        start = bisect_right(before, before[k + 1] - WORDS) - 1
+        if start >= 0:
+            found.add((start, k + 1))
+    return sorted(found)
+
+
+def run_hashes(text: str) -> Iterator[tuple[int, int, int]]:
     """``first sentence, sentences, hash`` of every run."""
     words = [words_of(s) for s in sentences(text)]
-    sizes = [len(w) for w in words]
-    for start in range(len(words)):
-        end, total = start + 1, sizes[start]
-        while end < len(words) and total < LONG and (end - start < SENTENCES or total < WORDS):
-            total += sizes[end]
-            end += 1
-        if end - start == 1 and total >= LONG or end - start >= SENTENCES and total >= WORDS:
-            digest = xxhash.xxh3_64_intdigest(" ".join(" ".join(w) for w in words[start:end]).encode())
-            yield start, end - start, digest - (1 << 63)
+    spelled = [" ".join(w) for w in words]
+    for start, end in runs([len(w) for w in words]):
+        digest = xxhash.xxh3_64_intdigest(" ".join(spelled[start:end]).encode())
+        yield start, end - start, digest - (1 << 63)
 
 
 def hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -68,7 +78,7 @@ def hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             of, at, n, hashes, again = [], [], [], [], []
             for k, t in enumerate(texts.to_pylist()):
                 seen: set[int] = set()
-                for a, b, h in runs(t):
+                for a, b, h in run_hashes(t):
                     of.append(k)
                     at.append(a)
                     n.append(b)
@@ -97,7 +107,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text, n_sentences, n_removed`` for every document, with the text that stays."""
-    at = F.collect_set(F.struct("at", "n")).alias("gone")  # as many as the text has sentences at most
+    at = F.collect_set(F.struct("at", "n")).alias("gone")  # twice as many as the text has sentences at most
     gone = repeats(docs, doc_id, text).groupBy("doc_id", "version").agg(at)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), text_of(text).alias("text"))
     rows = rows.select("*", F.coalesce("id", F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("version"))

@@ -13,6 +13,7 @@ SCHEMA = "conv_id bigint, turn int, role string, text string, loss string, segme
 
 def turns() -> list[tuple]:
     odd = ["", None, "\\", "\\\\", "###", "####", "#", "</turn>", "</turn", "\\### Assistant: </turn> ok", "### User: x</turn>\n", "a\nb\n", "é🙂", "x" * 200_000]
+    odd += [f"{'#' * n} Assistant: hi" for n in range(3, 10)] + ["</</turn></turn>", "\\" * 3 + "###", "<" * 3 + "/turn>\n", "</turn" * 2, "#/" * 5]
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(odd)]
     rows += [(2, 0, "system", "s"), (2, 1, "user", "u"), (2, 2, "assistant", "a")]
     rows += [(3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (3, 0, "tool: </turn>\\", "t"), (3, None, None, "n"), (3, 7, "User", "cap")]
@@ -50,6 +51,8 @@ def test_marks_stand_only_where_turns_begin_and_end(spark):
     formatted = chat_format.segments(spark.createDataFrame(turns(), SCHEMA)).collect()
     bodies = [r["text"] for k, r in enumerate(formatted) if k % 3 == 1]
     assert not any("###" in b or "</turn>" in b for b in bodies)
+    whole = "".join(r["text"] for r in formatted if r["conv_id"] == 1)
+    assert whole.count("###") == whole.count("</turn>") == len({r["turn_no"] for r in formatted if r["conv_id"] == 1})
     assert all(r["text"] == "</turn>\n" and not r["loss"] for r in formatted[2::3])
 
 

@@ -62,7 +62,24 @@ def test_empty_table_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d", "", ""), (4, "a b c d", "", ""), (4, "a b c d", "", ""), (None, "z", "", "")], SCHEMA)
     rows = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.groups(docs).select("doc_id", "component_id").collect() if r["component_id"])
     assert rows == [(-1, 4), (4, 4), (4, 4)]
-    assert simhash.first_of_each(docs).count() == 4
+    kept = [(r["doc_id"], r["text"]) for r in simhash.first_of_each(docs).collect()]
+    assert sorted(kept, key=repr) == [(4, "a b c d"), (None, "z")]
+
+
+def test_one_row_of_each_group_stays(spark):
+    words = " ".join(f"v{k}" for k in range(30_000))
+    near = [f"{words} w{k}" for k in range(3)]
+    bits = [plain_fingerprint(t) for t in near]
+    assert all((bits[0] ^ b).bit_count() <= 2 for b in bits)
+    rows = [(None, "only null ids", "b", ""), (None, "only null ids", "a", ""), (7, "same", "x", "y"), (7, "same", "x", "y"), (7, "same", None, "y")]
+    rows += [(9, near[0], "", ""), (9, near[1], "", ""), (9, near[1], "", ""), (12, near[2], "", ""), (None, near[2], "", "")] + [(20, "often", "", "")] * 500
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    kept = simhash.first_of_each(docs)
+    assert kept.dtypes == docs.dtypes
+    found = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    groups = {(r["doc_id"], r["component_id"]) for r in simhash.groups(docs).collect()}
+    assert (12, 9) in groups and (None, 9) in groups
+    assert [f[0] for f in found] == [0, 7, 9, 20] and found[0][1] == "only null ids" and found[2][1] in near[:2]
 
 
 def test_a_text_stays_though_its_id_stands_on_a_copy_of_another(spark):

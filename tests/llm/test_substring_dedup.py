@@ -17,14 +17,15 @@ def plain(docs: list[tuple]) -> dict:
         parts = sd.sentences(text or "")
         words = [sd.words_of(p) for p in parts]
         covered = set()
-        for a in range(len(parts)):
-            for b in range(a + 1, len(parts) + 1):
-                run = tuple(w for own in words[a:b] for w in own)
-                if b == a + 1 and len(run) >= sd.LONG or b >= a + sd.SENTENCES and len(run) >= sd.WORDS:
-                    if run in seen:
-                        covered |= set(range(a, b))
-                    seen.add(run)
-                    break
+        spans = [
+            (a, b) for a in range(len(parts)) for b in range(a + 1, len(parts) + 1) if sum(map(len, words[a:b])) >= sd.WORDS
+        ] if len(parts) < 100 else [(a, a + 13) for a in range(len(parts) - 12)]
+        shortest = {(a, min(b for x, b in spans if x == a)) for a, _ in spans} | {(max(a for a, y in spans if y == b), b) for _, b in spans}
+        for a, b in sorted(shortest):
+            run = tuple(w for own in words[a:b] for w in own)
+            if run in seen:
+                covered |= set(range(a, b))
+            seen.add(run)
         out[doc_id] = ("".join(p for k, p in enumerate(parts) if k not in covered), len(parts), len(covered))
     return out
 
@@ -61,8 +62,23 @@ def test_sentences_joined_are_the_text():
         assert "".join(sd.sentences(text or "")) == (text or "")
 
 
+def test_a_passage_goes_whole_whatever_its_sentences(spark):
+    draw = random.Random(2)
+    long = lambda n: " ".join(f"x{draw.randrange(10**6)}" for _ in range(n)) + ". "
+    docs = []
+    for k, sizes in enumerate([(30, 24), (24, 30), (16, 2, 5, 27, 24), (1, 60, 1), (51,), (5,) * 11, (24, 2, 26), (3, 24, 24, 3)]):
+        passage = "".join(long(n) for n in sizes)
+        docs += [(2 * k, long(9) + passage + long(7)), (2 * k + 1, long(8) + long(40) + passage + long(3))]
+    found = {r["doc_id"]: r for r in sd.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    for k, text in docs:
+        parts = sd.sentences(text)
+        assert found[k]["text"] == (text if k % 2 == 0 else "".join([*parts[:2], parts[-1]]))
+    short = [(1, "a b c d e f. g h i j k l m. " + long(30)), (2, "a b c d e f. g h i j k l m. " + long(30))]
+    assert all(r["n_removed"] == 0 for r in sd.deduplicated(spark.createDataFrame(short, "doc_id bigint, text string")).collect())
+
+
 def test_rows_of_one_id_are_one_document(spark):
-    text = "One two three four five six. Seven eight nine ten eleven twelve thirteen. End."
+    text = "One two three four five six. " * 2 + "Seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen. End of it."
     frame = spark.createDataFrame([(4, text, "", ""), (4, text, "", ""), (9, text, "", "")], SCHEMA)
-    assert sorted((r["doc_id"], r["n_removed"]) for r in sd.deduplicated(frame).collect()) == [(4, 0), (4, 0), (9, 2)]
+    assert sorted((r["doc_id"], r["n_removed"]) for r in sd.deduplicated(frame).collect()) == [(4, 0), (4, 0), (9, 4)]
     assert sd.deduplicated(frame.limit(0)).count() == 0
