@@ -25,14 +25,21 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def shared_out(df: DataFrame, *keys: str) -> DataFrame:
+    """On one machine, the rows of a table that is a single row group, over its cores."""
+    context = df.sparkSession.sparkContext
+    one_machine = context.master.startswith("local[") and df.rdd.getNumPartitions() < context.defaultParallelism
+    return spread(df, *keys, tasks=context.defaultParallelism if one_machine else None)
+
+
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, text, lang), shared out over the cores for the work that follows."""
-    return spread(documents(spark, sf).select("doc_id", "text", "lang"), "doc_id")
+    return shared_out(documents(spark, sf).select("doc_id", "text", "lang"), "doc_id")
 
 
 def korean(spark: SparkSession, sf: str) -> DataFrame:
     """As :func:`texts`, with the Korean-looking text."""
-    return spread(documents(spark, sf).select("doc_id", hangul().alias("text"), "lang"), "doc_id")
+    return shared_out(documents(spark, sf).select("doc_id", hangul().alias("text"), "lang"), "doc_id")
 
 
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +67,7 @@ def problems(spark: SparkSession, sf: str) -> DataFrame:
     """Math problems over lineitem: four right forms, some in other spellings, one wrong, one broken."""
     form = F.col("l_linenumber") % 6
     q, p = F.col("q"), F.col("p")
-    rows = spread(table(spark, sf, "lineitem"), "l_orderkey").select(
+    rows = shared_out(table(spark, sf, "lineitem"), "l_orderkey").select(
         "l_orderkey",
         "l_linenumber",
         "l_returnflag",

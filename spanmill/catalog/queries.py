@@ -14,13 +14,13 @@ from spanmill.functions import spans as S
 from spanmill.functions.binding import bind
 from spanmill.functions.decode import decode_ids
 from spanmill.functions.encode import byte_ids, first_ids, letter_ids, special_letter_ids
-from spanmill.functions.vocabulary import vocabulary_table
 from spanmill.operators import corpus as K
 from spanmill.operators import equations as E
 from spanmill.operators import metrics as M
 from spanmill.operators import mixing as X
 from spanmill.operators import projection as P
 from spanmill.operators import splitting as L
+from spanmill.operators.vocabulary_use import vocabulary_use
 from spanmill.operators.corruption import corrupt, with_noise_spans
 from spanmill.operators.numbering import with_line_position
 from spanmill.operators import length_packing as H
@@ -319,10 +319,8 @@ def tok_special_encode(spark, sf):
 
 @query
 def tok_vocab_table(spark, sf):
-    """Use of each vocabulary entry in the corpus; the counts are summed before the 384-row join."""
-    ids = special_letter_ids(I.with_specials())
-    used = I.korean(spark, sf).select(F.explode(ids).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    return vocabulary_table(spark).join(F.broadcast(used), "id", "left").select("id", "token", "kind", F.coalesce("n", F.lit(0)).alias("n"))
+    """Use of each vocabulary entry in the corpus."""
+    return vocabulary_use(I.korean(spark, sf).select(I.with_specials().alias("text")))
 
 
 @query
@@ -442,7 +440,7 @@ def assemble_examples(spark, sf):
 
 @query
 def tok_decode(spark, sf):
-    both = R.spread(I.documents(spark, sf).select("doc_id", "text", I.with_specials(I.hangul()).alias("special")), "doc_id")
+    both = I.shared_out(I.documents(spark, sf).select("doc_id", "text", I.with_specials(I.hangul()).alias("special")), "doc_id")
     df = both.select("doc_id", special_letter_ids("special").alias("ids"), byte_ids("text").alias("raw"))
     return df.select("doc_id", decode_ids("ids").alias("text"), decode_ids("raw").alias("bytes_text"))
 

@@ -1,11 +1,17 @@
-"""Token ids back to text, one linear pass per row and no UDF."""
+"""Token ids back to text, one pass over the ids of a whole Arrow batch."""
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanmill.functions.binding import bind
 from spanmill.functions.vocabulary import (
     BYTE_BASE,
     FINAL_BASE,
@@ -19,79 +25,83 @@ from spanmill.functions.vocabulary import (
     special_tokens,
 )
 
-REPLACEMENT = chr(0xFFFD)
-SEPARATOR = chr(0x100)
-
-
-def _spelling() -> Column:
-    """The bytes of each id on its own, one Latin-1 character per byte; stray letters print as U+0100 and up."""
-    literals = {i: token for token, i in special_tokens().items()}
-
-    def alone(i: int) -> bytes:
-        if i in literals:
-            return literals[i].encode()
-        return bytes([i - BYTE_BASE]) if i < INITIAL_BASE else chr(i - BYTE_BASE).encode()
-
-    # No cell holds the separator, which lies beyond Latin-1; the split folds to one constant.
-    return F.split(F.lit(SEPARATOR.join(alone(i).decode("latin-1") for i in range(SIZE))), SEPARATOR)
-
-
-def _with_syllables(ids: Column) -> Column:
-    """Ids, but an initial that a vowel and a final follow is the code point of their syllable."""
-
-    def cell(x: Column, i: Column) -> Column:
-        vowel, final = F.get(ids, i + 1), F.get(ids, i + 2)
-        constant = FIRST_SYLLABLE - (INITIAL_BASE * VOWELS + VOWEL_BASE) * FINALS - FINAL_BASE
-        code = (x * VOWELS + vowel) * FINALS + final + constant
-        follow = vowel.between(VOWEL_BASE, FINAL_BASE - 1) & final.between(FINAL_BASE, SENTINEL_BASE - 1)
-        return F.when((x < INITIAL_BASE) | (x >= VOWEL_BASE), x).when(follow, code).otherwise(x)
-
-    return F.transform(ids, cell)
-
-
-def _spelled(ids: Column, table: Column) -> Column:
-    """One string per id; a syllable gives its three bytes, and its vowel and final nothing more."""
-    byte = lambda value: F.get(table, value + BYTE_BASE)
-    low_bits = lambda value: byte(value.bitwiseAND(0x3F) + 0x80)
-
-    def cells(joined: Column) -> Column:
-        used = lambda at: F.get(joined, at) >= FIRST_SYLLABLE
-
-        def cell(y: Column, i: Column) -> Column:
-            syllable = F.concat(byte(F.shiftright(y, 12) + 0xE0), low_bits(F.shiftright(y, 6)), low_bits(y))
-            return (
-                F.when(y < VOWEL_BASE, F.get(table, y))
-                .when(y >= FIRST_SYLLABLE, syllable)
-                .when((y < FINAL_BASE) & used(i - 1), F.lit(""))
-                .when((y >= FINAL_BASE) & (y < SENTINEL_BASE) & used(i - 2), F.lit(""))
-                .otherwise(F.get(table, y))
-            )
-
-        return F.transform(joined, cell)
-
-    is_letter = lambda x: (x >= INITIAL_BASE) & (x < SENTINEL_BASE)
-    plain = F.transform(ids, lambda x: F.get(table, x))
-    return F.when(F.exists(ids, is_letter), bind(_with_syllables(ids), cells)).otherwise(plain)
-
-
-def _valid_text(cells: Column) -> Column:
-    """Bytes to text; undecodable bytes vanish, a U+FFFD that was in the text stays."""
-    kept = REPLACEMENT.encode().decode("latin-1")
-
-    def run_text(run: Column) -> Column:
-        raw = F.encode(run, "ISO-8859-1").cast("string")
-        return F.replace(F.make_valid_utf8(raw), F.lit(REPLACEMENT), F.lit(""))
-
-    return F.array_join(F.transform(F.split(F.array_join(cells, ""), kept), run_text), REPLACEMENT)
+# Executors get the batch function with its code and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _alone() -> list[bytes]:
+    """The bytes of each id that stands alone; stray letters print as U+0100 and up."""
+    literals = {i: token.encode() for token, i in special_tokens().items()}
+    plain = lambda i: bytes([i - BYTE_BASE]) if i < INITIAL_BASE else chr(i - BYTE_BASE).encode()
+    return [literals.get(i) or plain(i) for i in range(SIZE)]
+
+
+def _text_of_batch(lists: pa.Array, bare: bool = False) -> pa.Array:
+    """The texts of a batch of id lists; ``bare`` leaves out special and sentinel ids."""
+    ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    if bare:
+        kept = (ids >= BYTE_BASE) & (ids < SENTINEL_BASE)
+        ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+        ids = ids[kept]
+    spelled = _alone()
+    known = (ids >= 0) & (ids < SIZE)
+    lengths = np.where(known, np.array([len(s) for s in spelled])[np.where(known, ids, 0)], 0)
+
+    # An initial, a vowel and a final of one list are the three bytes of a syllable.
+    first = np.flatnonzero((ids >= INITIAL_BASE) & (ids < VOWEL_BASE))
+    first = first[first + 2 < len(ids)]
+    vowel, final = ids[first + 1], ids[first + 2]
+    joined = (vowel >= VOWEL_BASE) & (vowel < FINAL_BASE) & (final >= FINAL_BASE) & (final < SENTINEL_BASE)
+    joined &= np.searchsorted(ends, first, side="right") == np.searchsorted(ends, first + 2, side="right")
+    first = first[joined]
+    code = ((ids[first] - INITIAL_BASE) * VOWELS + vowel[joined] - VOWEL_BASE) * FINALS + final[joined] - FINAL_BASE + FIRST_SYLLABLE
+    lengths[first] = 3
+    lengths[first + 1] = lengths[first + 2] = 0
+    at = np.concatenate([[0], np.cumsum(lengths)])
+
+    raw = np.zeros(at[-1], np.uint8)
+    is_byte = (ids >= BYTE_BASE) & (ids < INITIAL_BASE)
+    raw[at[:-1][is_byte]] = ids[is_byte] - BYTE_BASE
+    for k, byte in enumerate((code >> 12 | 0xE0, code >> 6 & 0x3F | 0x80, code & 0x3F | 0x80)):
+        raw[at[first] + k] = byte
+    others = np.flatnonzero(known & ~is_byte & (lengths > 0))
+    others = others[~np.isin(others, first, assume_unique=True)]
+    for i in np.unique(ids[others]):
+        places = at[others[ids[others] == i]]
+        for k, byte in enumerate(spelled[i]):
+            raw[places + k] = byte
+
+    bounds = at[ends]
+    return _valid(raw, bounds, lists.is_null() if lists.null_count else None)
+
+
+def _valid(raw: np.ndarray, bounds: np.ndarray, missing: pa.Array | None) -> pa.Array:
+    """Bytes to texts; undecodable bytes vanish, a U+FFFD that was in the text stays."""
+    data = raw.tobytes()
+    begins = raw[bounds[:-1][bounds[:-1] < bounds[1:]]]
+    try:
+        data.decode()
+        whole = not ((begins & 0xC0) == 0x80).any()
+    except UnicodeDecodeError:
+        whole = False
+    if whole:
+        texts = pa.Array.from_buffers(
+            pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data)]
+        )
+    else:
+        cut = (data[a:b].decode(errors="ignore") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        texts = pa.array(list(cut), pa.large_string())
+    texts = texts.cast(pa.string())
+    return texts if missing is None else pa.compute.if_else(missing, pa.scalar(None, pa.string()), texts)
 
 
 def decode_ids(ids: Column | str) -> Column:
     """Token ids to text: letter triples rejoin to syllables, special ids print as literals."""
-    ids = F.col(ids) if isinstance(ids, str) else ids
-    return bind(ids, lambda v: _valid_text(_spelled(v, _spelling())))
+    return F.arrow_udf(lambda lists: _text_of_batch(lists), T.StringType())(ids)
 
 
 def decode_bytes(ids: Column | str) -> Column:
     """As :func:`decode_ids`, but special and sentinel ids leave no trace in the text."""
-    ids = F.col(ids) if isinstance(ids, str) else ids
-    return decode_ids(F.filter(ids, lambda x: (x >= BYTE_BASE) & (x < SENTINEL_BASE)))
+    return F.arrow_udf(lambda lists: _text_of_batch(lists, bare=True), T.StringType())(ids)

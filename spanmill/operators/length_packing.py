@@ -8,23 +8,17 @@ buckets to close half full: at most one pack of a type and class stays open.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.functions.vocabulary import EOS
 from spanmill.operators.numbering import with_shuffled_position
-from spanmill.operators.packing import LENGTHS, SHORTEST
+from spanmill.operators.packing import LENGTHS, SHORTEST, filled
 from spanmill.session import written
 
 CLASSES = 4096
-#: Packs that are filled at a time.
-AT_ONCE = 1000
 
 
 class Deal(NamedTuple):
@@ -93,47 +87,6 @@ def plan(histogram: dict[tuple[int, ...], int], capacity: tuple[int, ...]) -> li
     return deals
 
 
-def _filled(packs: pa.Array, feature: str, length: int, ensure_eos: bool) -> list[pa.Array]:
-    """Ids, segment numbers and positions of a batch of packs, each ``length`` long."""
-    members = packs.flatten()
-    counts = pc.list_value_length(packs).to_numpy(zero_copy_only=False).astype(np.int64)
-    lists = pc.struct_field(members, feature)
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = lists.flatten().to_numpy(zero_copy_only=False)
-    pack = np.repeat(np.arange(len(counts)), counts)
-    first = np.cumsum(counts) - counts
-    before = np.concatenate([[0], np.cumsum(sizes)])
-    member = np.repeat(np.arange(len(sizes)), sizes)
-    position = np.arange(len(ids)) - before[member]
-    at = np.arange(len(ids)) - before[first[pack[member]]]
-    inside = at < length
-    place = pack[member][inside] * length + at[inside]
-    out = np.zeros((3, len(counts) * length), np.int32)
-    for k, values in enumerate((ids, np.arange(len(sizes))[member] - first[pack[member]] + 1, position)):
-        out[k, place] = values[inside]
-    if ensure_eos:  # the last place is the end or padding, never a cut-off token
-        last = out[0, length - 1 :: length]
-        np.minimum(last, EOS, out=last)
-    ends = pa.array(np.arange(0, len(counts) * length + 1, length, dtype=np.int32))
-    return [pa.ListArray.from_arrays(ends, pa.array(row)) for row in out]
-
-
-def filled(packs: DataFrame, keys: list[str], lengths: dict[str, int] = LENGTHS, ensure_eos: bool = True) -> DataFrame:
-    """``keys`` and, from the list of structs ``_pack``, the fixed-length arrays of each feature, a batch at a time."""
-    kinds = {f.name: f.dataType.simpleString() for f in packs.schema.fields}
-    parts = [f"{f}{part}" for f in lengths for part in ("", "_segmentation", "_position")]
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{p}` array<int>" for p in parts])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, AT_ONCE):
-                some = batch.slice(start, AT_ONCE)
-                made = [c for f, n in lengths.items() for c in _filled(some.column(len(keys)), f, n, ensure_eos)]
-                yield pa.RecordBatch.from_arrays([*some.columns[: len(keys)], *made], names=[*keys, *parts])
-
-    return packs.select(*keys, "_pack").mapInArrow(fill, schema)
-
-
 def pack_by_lengths(
     df: DataFrame,
     keys: list[str],

@@ -31,6 +31,18 @@ def _offsets(counts: DataFrame, blocks: list[str], within: list[str] = [], carry
     return counts.select(*within, *blocks, *carry, F.coalesce(running, F.lit(0)).alias("offset"))
 
 
+def text_offsets(counts: DataFrame, block: str, lead: int = 3) -> DataFrame:
+    """``block`` and the rows ``n`` of all blocks before it in text order, for any number of blocks whose names begin evenly.
+
+    Sums over the first ``lead`` characters come first, so one task orders those alone, and no other task more than the blocks
+    that begin alike.
+    """
+    led = counts.select(block, "n", F.substring(block, 1, lead).alias("_lead"))
+    before = _offsets(led.groupBy("_lead").agg(F.sum("n").alias("n")), ["_lead"]).withColumnRenamed("offset", "_before")
+    inside = _offsets(led, [block], ["_lead"]).join(before, "_lead")
+    return inside.select(block, (F.col("offset") + F.col("_before")).alias("offset"))
+
+
 def with_file_position(df: DataFrame, name: str = "record_no") -> DataFrame:
     """Number the rows of a Parquet source in sorted-file order, from 0.
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.functions.binding import bind, steps
-from spanmill.functions.sequences import attention_mask, pad_to
+from spanmill.functions.binding import bind
+from spanmill.functions.sequences import pad_to
 from spanmill.functions.spans import INPUT_LENGTH, TARGET_LENGTH
 from spanmill.functions.vocabulary import EOS, PAD
 from spanmill.session import written
@@ -14,6 +19,8 @@ from spanmill.session import written
 LENGTHS = {"inputs": INPUT_LENGTH, "targets": TARGET_LENGTH}
 # The least an example can take up: one id and its end, or the end alone.
 SHORTEST = {"inputs": 2, "targets": 1}
+# Packs that are filled at a time.
+AT_ONCE = 1000
 
 
 def next_fit_starts(members: Column, lengths: dict[str, int]) -> Column:
@@ -47,25 +54,45 @@ def _fixed(ids: Column, length: int, ensure_eos: bool) -> Column:
     return bind(ids, lambda v: F.array_append(pad_to(v, length - 1), last(v)))
 
 
-def _fill_alone(row: Column, feature: str, length: int, ensure_eos: bool) -> list[Column]:
-    """As :func:`_fill` for a pack of one."""
-    size = F.size(row[feature])
-    return [
-        _fixed(row[feature], length, ensure_eos).alias(feature),
-        attention_mask(row[feature], length).alias(f"{feature}_segmentation"),
-        pad_to(steps(size), length).alias(f"{feature}_position"),
-    ]
-
-
-def _fill(members: Column, feature: str, length: int, ensure_eos: bool) -> list[Column]:
-    ids = _fixed(F.flatten(F.transform(members, lambda m: m[feature])), length, ensure_eos)
-    number = F.flatten(F.transform(members, lambda m, i: F.array_repeat(i + 1, F.size(m[feature]))))
-    place = F.flatten(F.transform(members, lambda m: steps(F.size(m[feature]))))
-    return [
-        ids.alias(feature),
-        pad_to(number, length).alias(f"{feature}_segmentation"),
-        pad_to(place, length).alias(f"{feature}_position"),
-    ]
+def _filled(packs: pa.Array, feature: str, length: int, ensure_eos: bool) -> list[pa.Array]:
+    """Ids, segment numbers and positions of a batch of packs, each ``length`` long."""
+    members = packs.flatten()
+    counts = pc.list_value_length(packs).to_numpy(zero_copy_only=False).astype(np.int64)
+    lists = pc.struct_field(members, feature)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    pack = np.repeat(np.arange(len(counts)), counts)
+    first = np.cumsum(counts) - counts
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    member = np.repeat(np.arange(len(sizes)), sizes)
+    position = np.arange(len(ids)) - before[member]
+    at = np.arange(len(ids)) - before[first[pack[member]]]
+    inside = at < length
+    place = pack[member][inside] * length + at[inside]
+    out = np.zeros((3, len(counts) * length), np.int32)
+    for k, values in enumerate((ids, np.arange(len(sizes))[member] - first[pack[member]] + 1, position)):
+        out[k, place] = values[inside]
+    if ensure_eos:  # the last place is the end or padding, never a cut-off token
+        last = out[0, length - 1 :: length]
+        np.minimum(last, EOS, out=last)
+    ends = pa.array(np.arange(0, len(counts) * length + 1, length, dtype=np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(row)) for row in out]
+
+
+def filled(packs: DataFrame, keys: list[str], lengths: dict[str, int] = LENGTHS, ensure_eos: bool = True) -> DataFrame:
+    """``keys`` and, from the list of structs ``_pack``, the fixed-length arrays of each feature, a batch at a time."""
+    kinds = {f.name: f.dataType.simpleString() for f in packs.schema.fields}
+    parts = [f"{f}{part}" for f in lengths for part in ("", "_segmentation", "_position")]
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{p}` array<int>" for p in parts])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(start, AT_ONCE)
+                made = [c for f, n in lengths.items() for c in _filled(some.column(len(keys)), f, n, ensure_eos)]
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(keys)], *made], names=[*keys, *parts])
+
+    return packs.select(*keys, "_pack").mapInArrow(fill, schema)
 
 
 def pack_examples(
@@ -94,12 +121,7 @@ def pack_examples(
         full = full | (F.least(F.size(f), F.lit(n)) + shortest[f] > n)
     whole = written(df.select(full.alias("_full"), bucket.alias("_bucket"), F.struct(*keys, *trimmed).alias("_row")), "examples")
 
-    row = F.col("_row")
-    alone = whole.where("_full").select(
-        *[row[k].alias(k) for k in keys],
-        F.lit(1).alias("members"),
-        *[c for f, n in lengths.items() for c in _fill_alone(row, f, n, ensure_eos)],
-    )
+    alone = whole.where("_full").select(F.array("_row").alias("_pack"))
     gathered = whole.where("NOT _full").groupBy("_bucket").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
 
     def packs(rows: Column) -> Column:
@@ -109,12 +131,9 @@ def pack_examples(
 
         return bind(next_fit_starts(rows, lengths), cut)
 
-    together = gathered.select(F.explode(bind(F.col("_rows"), packs)).alias("_pack")).select(
-        *[F.get("_pack", F.lit(0))[k].alias(k) for k in keys],
-        F.size("_pack").alias("members"),
-        *[c for f, n in lengths.items() for c in _fill(F.col("_pack"), f, n, ensure_eos)],
-    )
-    return alone.unionByName(together)
+    together = alone.unionByName(gathered.select(F.explode(bind(F.col("_rows"), packs)).alias("_pack")))
+    first = [F.get("_pack", F.lit(0))[k].alias(k) for k in keys]
+    return filled(together.select(*first, F.size("_pack").alias("members"), "_pack"), [*keys, "members"], lengths, ensure_eos)
 
 
 def pad_examples(

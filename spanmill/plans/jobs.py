@@ -17,7 +17,7 @@ from spanmill.functions.spans import LETTERS_ASCENDING, SentinelScheme, span_len
 from spanmill.operators.corruption import corrupt
 from spanmill.operators.equations import verify_equations
 from spanmill.operators.mixing import batch_assign, mix_fixed_rates
-from spanmill.operators.numbering import with_shuffled_position
+from spanmill.operators.numbering import text_offsets, with_shuffled_position
 from spanmill.operators.packing import pack_or_pad
 from spanmill.operators.projection import label_text, project_task_triple
 from spanmill.operators.splitting import eval_records
@@ -72,13 +72,11 @@ def pretraining_corpus(
     ordered = mixed.withColumn("_order", draw_hash(seed, "order", SOURCE, *place, "epoch"))
     packs = pack_or_pad(ordered, ["_order", SOURCE], F.substring("_order", 1, digits), pack)
     packs = written(packs.withColumn("_block", F.substring("_order", 1, max(digits, 1))), "packs")
-    offsets = packs.groupBy("_block").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # one row for each bucket
-    offsets = offsets.select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    offsets = text_offsets(packs.groupBy("_block").agg(F.count("*").alias("n")), "_block")
     inside = F.row_number().over(Window.partitionBy("_block").orderBy("_order")) - 1
     numbered = packs.withColumn("_inside", inside).join(offsets, "_block")
-    numbered = numbered.withColumn("pos", F.col("_before") + F.col("_inside"))
-    return batch_assign(numbered, "pos", batch, drop_last).drop("_order", SOURCE, "_block", "_inside", "_before")
+    numbered = numbered.withColumn("pos", F.col("offset") + F.col("_inside"))
+    return batch_assign(numbered, "pos", batch, drop_last).drop("_order", SOURCE, "_block", "_inside", "offset")
 
 
 def _recipe(recipe: str | Recipe) -> Recipe:

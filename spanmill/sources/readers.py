@@ -21,14 +21,12 @@ MISSING_WORDS = (
 LITERAL_PIECES = r"""('(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[^'"]++|['"])"""
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share out the rows of a scan that has fewer tasks than the session has cores.
+def spread(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """Share out the rows of a scan of few files over ``tasks``; nothing moves unless that is asked for.
 
-    One gzip file or one Parquet row group is one task whatever follows. A
-    scan of a large table has more tasks than cores and is left alone.
+    One gzip file or one Parquet row group is one task whatever follows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df if tasks is None else df.repartition(tasks, *keys)
 
 
 def read_jsonl_shards(

@@ -349,3 +349,54 @@ def test_letter_ids_under_large_arrow_types(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
     assert any("259, 278, 299" in row for row in plain)
+
+
+def test_batches_equal_expressions_and_single_rows(spark):
+    import random
+
+    from spanmill.functions.encode import special_letter_ids_expr
+
+    draw = random.Random(4)
+    pieces = ["가힣", "é🙂", "abc", "<", "</s>", "<unk>", "<pad>", "<extra_id_0>", "<extra_id_56>", "<extra_id_57>", "<extra_id_5", "ㄱ", "\n", "漢"]
+    texts = ["".join(draw.choices(pieces, k=draw.randrange(9))) for _ in range(300)] + ["", None, "<extra_id_", "1>", "</", "s>", "<unk>"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1)
+    rows = df.select("k", special_letter_ids("t").alias("a"), special_letter_ids_expr("t").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
+    back = df.select("t", decode_ids(special_letter_ids("t")).alias("u")).collect()
+    assert all(r["t"] == r["u"] for r in back)
+
+
+def test_decoding_ids_in_any_order(spark):
+    import random
+
+    from spanmill.functions.decode import decode_bytes
+    from spanmill.functions.vocabulary import special_tokens
+
+    names = {i: t for t, i in special_tokens().items()}
+
+    def plain(ids: list, bare: bool) -> str:
+        out, k = b"", 0
+        ids = [i for i in ids if i is not None and (not bare or 3 <= i < 327)] if bare else [-1 if i is None else i for i in ids]
+        while k < len(ids):
+            i = ids[k]
+            if 259 <= i < 278 and k + 2 < len(ids) and 278 <= ids[k + 1] < 299 and 299 <= ids[k + 2] < 327:
+                out += chr(0xAC00 + ((i - 259) * 21 + ids[k + 1] - 278) * 28 + ids[k + 2] - 299).encode()
+                k += 3
+                continue
+            if i in names:
+                out += names[i].encode()
+            elif 3 <= i < 259:
+                out += bytes([i - 3])
+            elif 259 <= i < 327:
+                out += chr(i - 3).encode()
+            k += 1
+        return out.decode(errors="ignore")
+
+    draw = random.Random(6)
+    kinds = [lambda: draw.randrange(0, 384), lambda: draw.randrange(259, 327), lambda: draw.randrange(35, 130), lambda: draw.choice([-1, 384, 999, None])]
+    lists = [[draw.choice(kinds)() for _ in range(draw.randrange(12))] for _ in range(500)]
+    lists += [[259, 278], [299], [259], [278, 299], [], None, [198, 172], [198], [172, 100], [ord(c) + 3 for c in "plain"]]
+    df = spark.createDataFrame([(k, ids) for k, ids in enumerate(lists)], "k int, ids array<int>").coalesce(1)
+    for r in df.select("k", decode_ids("ids").alias("a"), decode_bytes("ids").alias("b")).collect():
+        ids = lists[r["k"]]
+        assert (r["a"], r["b"]) == ((None, None) if ids is None else (plain(ids, False), plain(ids, True))), ids
