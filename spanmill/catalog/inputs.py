@@ -145,3 +145,25 @@ def literal_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     bad = F.concat(F.lit("bad "), "l_orderkey", F.lit("-"), "l_linenumber")
     return problems(spark, sf).select(F.when(F.col("l_orderkey") % 8 == 0, bad).otherwise(line).alias("value"))
+
+
+def odd_literals(spark: SparkSession, sf: str) -> DataFrame:
+    """As :func:`literal_lines`, with tuples, nested containers, adjacent strings, prefixes and escapes."""
+    line = F.concat(
+        F.lit("{'id': ("), "l_orderkey", F.lit(", "), "l_linenumber", F.lit("), 'question': 'It' \"'s\" ' \\x41\\t\\u00e9' r'\\n', "),
+        F.lit("'steps': [True, {'equation': ('"), "equation", F.lit("'), 'more': ((), [None, {1, 2}], b'x')}], 'ans': '"), "ans", F.lit("',}"),
+    )
+    bad = F.concat(F.lit("{'id': ("), "l_orderkey", F.lit(", "), "l_linenumber", F.lit("), 'call': f()}"))
+    return problems(spark, sf).select(F.when(F.col("l_orderkey") % 8 == 0, bad).otherwise(line).alias("value"))
+
+
+def shaped_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as JSON lines of three shapes; ``use`` names a place of the record itself."""
+    made = F.col("doc_id") % 3
+    whole = lambda *c: F.to_json(F.struct(F.col("doc_id").alias("id"), *c))
+    return documents(spark, sf).select(
+        F.when(made == 0, whole("text", F.lit("$.text").alias("use")))
+        .when(made == 1, whole(F.struct(F.col("text").alias("body"), "lang").alias("content"), F.lit("$.content.lang").alias("use")))
+        .otherwise(whole(F.array("source", "text").alias("parts"), F.lit("$.parts[0]").alias("use")))
+        .alias("value")
+    )

@@ -196,6 +196,15 @@ oracle(
            case when not good then concat('bad ', l_orderkey, '-', l_linenumber) end as bad_line
     from (select *, l_orderkey % 8 <> 0 as good from problems)""",
 )
+oracle(
+    "src_literal_records",
+    f"""with {PROBLEMS}
+    select case when good then l_orderkey end as l_orderkey, case when good then l_linenumber end as l_linenumber,
+           case when good then concat('It''s A', chr(9), 'é', chr(92), 'n') end as question, case when good then equation end as equation,
+           case when good then true end as first, case when good then ans end as ans,
+           case when not good then concat('{{''id'': (', l_orderkey, ', ', l_linenumber, '), ''call'': f()}}') end as bad_line
+    from (select *, l_orderkey % 8 <> 0 as good from problems)""",
+)
 oracle("src_union_files", "select doc_id as id, text from documents union all select item_id, text from benchmark")
 oracle(
     "src_tsv_as_str",
@@ -795,3 +804,45 @@ oracle(
             select lane, total - kept + row_number() over (partition by lane order by {draw(1, 'end', 'lane', 'slot')}, slot) - 1, doc_id from rest)
         select lane, pos, doc_id, lang from released join documents using (doc_id)""",
 )
+oracle(
+    "rekey_records",
+    """select '' as inputs, text as targets, case doc_id % 3 when 0 then text when 1 then lang else source end as chosen,
+              cast(doc_id as varchar) as doc_id
+       from documents""",
+)
+oracle("sink_cached_tokens", f"select doc_id, {joined(letter_ids('text'))} as ids, 1 as builds from documents")
+oracle(
+    "mixture_tasks",
+    f"""with recursive records as (
+            select lang, octet_length(encode(case lang when 'fr' then {HANGUL} else text end)) as bytes,
+                   row_number() over (partition by lang order by {digest(1, 'order', 'doc_id')}, doc_id) - 1 as record_no
+            from documents where lang in ('fr', 'en')),
+        chunks as (
+            select lang, record_no // 128 as group_id,
+                   least(65536, bytes - {draw(1, 'chunk', 'record_no')} % cast(ceil(bytes / 65536.0) as bigint) * 65536) as n
+            from records where bytes > 0),
+        streams as (select lang, group_id, cast(ceil(sum(n) / {SEGMENT}.0) as bigint) as pieces from chunks group by 1, 2),
+        examples as (
+            select case lang when 'fr' then 'letters_ascending' else 'bytes_ascending' end as task, group_id, unnest(range(0, pieces)) as segment
+            from streams),
+        ranked as (
+            select *, row_number() over (partition by task order by {digest(1, 'mix', 'task', 'group_id', 'segment')}, group_id, segment) - 1 as rank,
+                   count(*) over (partition by task) as size
+            from examples),
+        walk as (
+            select 0 as place, 0 as b, 0 as l, -1 as pick
+            union all
+            select place + 1, b + cast(best % 10 = 0 as int), l + cast(best % 10 = 1 as int), best % 10
+            from (select *, least(case when b * 10 // 3 <= place then ((b + 1) * 10 + 2) // 3 * 10 else 10000 end,
+                                  case when l * 10 // 7 <= place then ((l + 1) * 10 + 6) // 7 * 10 + 1 else 10000 end) as best
+                  from walk where place < 10)),
+        places as (
+            select ['bytes_ascending', 'letters_ascending'][pick + 1] as task, place - 1 as place,
+                   row_number() over (partition by pick order by place) - 1 as nth, count(*) over (partition by pick) as weight
+            from walk where place > 0),
+        every as (
+            select task, k * 10 + place as pos, k * weight + nth as row
+            from places, range(0, (select count(*) // 10 + 1 from examples)) t(k) where k * 10 + place < (select count(*) from examples))
+        select r.task, r.group_id, r.segment, e.row // r.size as epoch, e.pos
+        from every e join ranked r on r.task = e.task and r.rank = e.row % r.size""",
+)

@@ -19,18 +19,21 @@ from spanmill.operators import equations as E
 from spanmill.operators import metrics as M
 from spanmill.operators import mixing as X
 from spanmill.operators import projection as P
+from spanmill.operators import records as D
 from spanmill.operators import splitting as L
 from spanmill.operators.vocabulary_use import vocabulary_use
 from spanmill.operators.corruption import corrupt, with_noise_spans
-from spanmill.operators.numbering import with_line_position
+from spanmill.operators.numbering import with_line_position, with_shuffled_position
 from spanmill.operators import length_packing as H
 from spanmill.operators import packing as Z
 from spanmill.plans import jobs
-from spanmill.plans.recipes import registry, run_together
+from spanmill.plans.recipes import Registry, registry, run_together
 from spanmill.session import scratch, written
 from spanmill.sources import line_index as N
+from spanmill.sources import literals as V
 from spanmill.sources import readers as R
 from spanmill.sources import sinks as W
+from spanmill.sources.token_cache import TokenCache
 from spanmill.streaming import epochs as O
 from spanmill.streaming import jobs as T
 from spanmill.streaming import shuffle as U
@@ -83,6 +86,19 @@ def src_literal_lines(spark, sf):
     return df.select("id", "original_text_kr", "equation", "ans", F.col(R.CORRUPT).alias("bad_line"))
 
 
+@query
+def src_literal_records(spark, sf):
+    """Problems as Python literals with tuples, nested containers, adjacent strings and escapes, every eighth order broken."""
+    path = scratch(spark, "literals")
+    I.odd_literals(spark, sf).write.text(path)
+    read = V.read_literal_records(spark, path)
+    part = lambda key, kind="string": D.value_at("record", key, kind=kind)
+    return read.select(
+        part("$.id[0]", "bigint").alias("l_orderkey"), part("$.id[1]", "int").alias("l_linenumber"), part("$.question").alias("question"),
+        part("$.steps[1].equation").alias("equation"), part("$.steps[0]", "boolean").alias("first"), part("$.ans").alias("ans"), "bad_line",
+    )
+
+
 @query
 def src_union_files(spark, sf):
     first, second = scratch(spark, "first"), scratch(spark, "second")
@@ -144,6 +160,20 @@ def sink_token_cache(spark, sf):
 # Split, sample, mix, order
 
 
+@query
+def sink_cached_tokens(spark, sf):
+    """Token ids from a cache that is asked twice and built once."""
+    cache, built = TokenCache(spark, scratch(spark, "cache")), []
+
+    def build(docs):
+        built.append(1)
+        return docs.select("doc_id", Q.ids_text(letter_ids("text")).alias("ids"))
+
+    for _ in range(2):
+        found = cache.cached(I.documents(spark, sf), "letters", build, {"length": None})
+    return found.withColumn("builds", F.lit(len(built)))
+
+
 @query
 def split_every_nth(spark, sf):
     return L.split_every_nth(I.numbered(spark, sf)).select("doc_id", "record_no", "split")
@@ -215,6 +245,17 @@ def rekey(spark, sf):
     return P.rekey(I.documents(spark, sf), {"inputs": None, "targets": "text"}, keep=["doc_id"])
 
 
+@query
+def rekey_records(spark, sf):
+    """Features of JSON lines of three shapes, the key of one feature named by the record itself."""
+    path = scratch(spark, "shapes")
+    I.shaped_records(spark, sf).write.text(path)
+    lines = spark.read.text(path).select(F.try_parse_json("value").alias("record"))
+    own = F.try_variant_get("record", "$.use", "string")
+    keys = {"inputs": None, "targets": ["$.text", "$.content.body", "$.parts[1]"], "chosen": own, "doc_id": "$.id"}
+    return D.rekey_records(lines, "record", keys)
+
+
 @query
 def select_features(spark, sf):
     keyed = P.rekey(I.documents(spark, sf), {"inputs": None, "targets": "text", "raw": "source"}, keep=["doc_id"])
@@ -724,6 +765,24 @@ def mixture_registry(spark, sf):
     return mixed.groupBy("lang", "epoch").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
+tasks = Registry()
+for _recipe in registry.recipes.values():
+    tasks.add(_recipe)
+tasks.add_mixture("by_function", ["letters_ascending", "bytes_ascending"], lambda task, count: 7 if task.startswith("letters") else 3)
+
+
+@query
+def mixture_tasks(spark, sf):
+    """Examples of two recipes, French as letters and English as bytes, at rates that a function gives."""
+    docs = I.documents(spark, sf)
+    numbered = lambda lang, text: with_shuffled_position(
+        docs.where(F.col("lang") == lang).select("doc_id", text.alias("text")), ["doc_id"], name="record_no"
+    )
+    sources = {"letters_ascending": numbered("fr", I.hangul()), "bytes_ascending": numbered("en", F.col("text"))}
+    mixed = jobs.mixture_examples("by_function", sources, registered=tasks)
+    return mixed.select("task", "group_id", "segment", "epoch", "pos")
+
+
 @query
 def pretraining_corpus(spark, sf):
     docs = I.documents(spark, sf).select("doc_id", "lang", I.hangul().alias("text"))

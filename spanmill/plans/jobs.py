@@ -16,12 +16,12 @@ from spanmill.functions.sequences import append_eos, attention_mask, ignore_padd
 from spanmill.functions.spans import LETTERS_ASCENDING, SentinelScheme, span_lengths
 from spanmill.operators.corruption import corrupt
 from spanmill.operators.equations import verify_equations
-from spanmill.operators.mixing import batch_assign, mix_fixed_rates
+from spanmill.operators.mixing import batch_assign, mix_fixed_rates, mix_in_rate_order
 from spanmill.operators.numbering import text_offsets, with_shuffled_position
 from spanmill.operators.packing import pack_or_pad
 from spanmill.operators.projection import label_text, project_task_triple
 from spanmill.operators.splitting import eval_records
-from spanmill.plans.recipes import SOURCE, Recipe, registry
+from spanmill.plans.recipes import SOURCE, Recipe, Registry, registry
 from spanmill.session import written
 
 LABEL_NAMES = ["negative</s>", "positive</s>"]  # fixed value: target text of labels 0 and 1
@@ -79,6 +79,24 @@ def pretraining_corpus(
     return batch_assign(numbered, "pos", batch, drop_last).drop("_order", SOURCE, "_block", "_inside", "offset")
 
 
+def mixture_examples(
+    name: str, sources: dict[str, DataFrame], total: int | None = None, seed: int = 1, registered: Registry = registry
+) -> DataFrame:
+    """``total`` examples of the tasks of a registered mixture, in an order of which every prefix keeps its rates.
+
+    ``sources`` has a numbered corpus (``record_no``, ``text``) for each task of the mixture, which is named like its recipe. Each
+    corpus runs through its recipe, the examples are written once, and rates are taken from how many there are. Returns
+    ``task``, ``group_id``, ``segment``, the features, ``epoch`` and ``pos``.
+    """
+    parts = [registered.recipe(task).run(sources[task]).withColumn("task", F.lit(task)) for task in registered.mixture(name)]
+    examples = written(reduce(DataFrame.unionByName, parts), "examples")
+    counts = {r["task"]: r["n"] for r in examples.groupBy("task").agg(F.count("*").alias("n")).collect()}  # a row for each task
+    if not counts:
+        return examples.withColumns({"epoch": F.lit(0).cast("bigint"), "pos": F.lit(0).cast("bigint")})
+    total = sum(counts.values()) if total is None else total
+    return mix_in_rate_order(examples, "task", ["group_id", "segment"], registered.shares(name, counts), total, seed)
+
+
 def _recipe(recipe: str | Recipe) -> Recipe:
     return registry.recipe(recipe) if isinstance(recipe, str) else recipe
 

@@ -23,6 +23,13 @@ from spanmill.operators.projection import rekey, select_features
 from spanmill.session import written
 
 Step = Callable[[DataFrame], DataFrame]
+Rate = float | Callable[[str, int], float]
+
+
+def temperature_rate(temperature: float, maximum: int | None = None) -> Rate:
+    """A rate that grows with the number of examples, capped, to the power 1/temperature."""
+    return lambda name, count: float(count if maximum is None else min(count, maximum)) ** (1 / temperature)
+
 
 
 @dataclass(frozen=True)
@@ -64,7 +71,7 @@ class Registry:
     """Recipes and mixtures by name."""
 
     recipes: dict[str, Recipe] = field(default_factory=dict)
-    mixtures: dict[str, dict[str, float]] = field(default_factory=dict)
+    mixtures: dict[str, dict[str, Rate]] = field(default_factory=dict)
 
     def add(self, recipe: Recipe) -> Recipe:
         if recipe.name in self.recipes:
@@ -72,18 +79,28 @@ class Registry:
         self.recipes[recipe.name] = recipe
         return recipe
 
-    def add_mixture(self, name: str, rates: dict[str, float]) -> None:
-        """Rates by recipe or source name."""
+    def add_mixture(self, name: str, rates: dict[str, Rate] | list[str], default_rate: Rate = 1.0) -> None:
+        """Rates by recipe or source name, or names that all have the default rate.
+
+        A rate is a number, or a function of the name and the number of its examples.
+        """
         if name in self.mixtures:
             raise ValueError(f"mixture {name} is already registered")
-        self.mixtures[name] = dict(rates)
+        self.mixtures[name] = dict(rates) if isinstance(rates, dict) else dict.fromkeys(rates, default_rate)
 
     def recipe(self, name: str) -> Recipe:
         return self.recipes[name]
 
-    def mixture(self, name: str) -> dict[str, float]:
+    def mixture(self, name: str) -> dict[str, Rate]:
         return self.mixtures[name]
 
+    def shares(self, name: str, counts: dict[str, int]) -> dict[str, float]:
+        """The mixture's rates as shares of their sum, for sources that hold so many examples; empty ones have none."""
+        named = {n: r for n, r in self.mixtures[name].items() if counts.get(n)}
+        found = {n: float(r(n, counts[n]) if callable(r) else r) for n, r in named.items()}
+        whole = sum(found.values())
+        return {n: r / whole for n, r in found.items() if r > 0}
+
 
 SOURCE = "source"  # a column of this name keeps sources apart: each is numbered, joined and cut by itself
 
