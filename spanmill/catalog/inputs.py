@@ -46,6 +46,12 @@ def numbered(spark: SparkSession, sf: str) -> DataFrame:
     return with_file_position(documents(spark, sf))
 
 
+def numbered_korean(spark: SparkSession, sf: str) -> DataFrame:
+    """(record_no, text), numbered before the text is made Korean-looking."""
+    docs = shared_out(numbered(spark, sf).select("record_no", "text"), "record_no")
+    return docs.select("record_no", hangul().alias("text"))
+
+
 def hangul(text: Column | str = "text") -> Column:
     """A Korean-looking text: Latin letters become syllables, the rest stays."""
     return F.translate(F.lower(text), LATIN, SYLLABLES)

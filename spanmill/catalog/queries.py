@@ -566,8 +566,7 @@ def corrupt_targets(spark, sf):
 
 @query
 def corrupt_pairs(spark, sf):
-    docs = I.numbered(spark, sf).select("record_no", I.hangul().alias("text"))
-    pairs = registry.recipe("letters_ascending").run(docs)
+    pairs = registry.recipe("letters_ascending").run(I.numbered_korean(spark, sf))
     return text_of(pairs, "inputs", "targets")
 
 
@@ -730,7 +729,7 @@ def stream_shuffle(spark, sf):
 @query
 def recipe_registry(spark, sf):
     """Size of what every registered recipe makes of the corpus."""
-    docs = I.numbered(spark, sf).select("record_no", I.hangul().alias("text"))
+    docs = I.numbered_korean(spark, sf)
     out = None
     for name, pairs in run_together(list(registry.recipes.values()), docs).items():
         sizes = pairs.agg(

@@ -107,23 +107,33 @@ def letter_ids(text: Column | str) -> Column:
     return F.arrow_udf(letters_of_batch, T.ArrayType(T.IntegerType()))(text)
 
 
-def letters_of_batch(texts: pa.Array) -> pa.Array:
-    """The ids lie where the bytes lie, so the offsets of the texts are those of their ids."""
-    texts = texts.cast(pa.string())  # with large or view types, offsets would have another width
-    _, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
-    ids = raw.astype(np.int32) + BYTE_BASE
-    lead = np.flatnonzero((raw >= 0xEA) & (raw <= 0xED))  # first bytes of the characters from U+A000 to U+DFFF
+def byte_values(raw: np.ndarray) -> np.ndarray:
+    """The id of each byte."""
+    return raw.astype(np.int32) + BYTE_BASE
+
+
+def letter_values(raw: np.ndarray) -> np.ndarray:
+    """The id of each byte, or of the letter in its place if it belongs to a whole syllable."""
+    ids = byte_values(raw)
+    lead = np.flatnonzero((raw[: max(0, len(raw) - 2)] >= 0xEA) & (raw[: max(0, len(raw) - 2)] <= 0xED))  # from U+A000 to U+DFFF
     bits = [raw[lead + k].astype(np.int32) for k in range(3)]
     code = (bits[0] & 0x0F) << 12 | (bits[1] & 0x3F) << 6 | bits[2] & 0x3F
-    found = (code >= FIRST_SYLLABLE) & (code <= LAST_SYLLABLE)
+    found = (code >= FIRST_SYLLABLE) & (code <= LAST_SYLLABLE) & (bits[1] >> 6 == 2) & (bits[2] >> 6 == 2)
     lead, syllable = lead[found], code[found] - FIRST_SYLLABLE
     ids[lead] = INITIAL_BASE + syllable // (VOWELS * FINALS)
     ids[lead + 1] = VOWEL_BASE + syllable % (VOWELS * FINALS) // FINALS
     ids[lead + 2] = FINAL_BASE + syllable % FINALS
+    return ids
+
+
+def letters_of_batch(texts: pa.Array) -> pa.Array:
+    """The ids lie where the bytes lie, so the offsets of the texts are those of their ids."""
+    texts = texts.cast(pa.string())  # with large or view types, offsets would have another width
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
     return pa.ListArray.from_arrays(
-        pa.array(ends - ends[0], pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null() if texts.null_count else None
+        pa.array(ends - ends[0], pa.int32()), pa.array(letter_values(raw), pa.int32()), mask=texts.is_null() if texts.null_count else None
     )
 
 
@@ -212,3 +222,8 @@ def special_letter_ids_expr(text: Column | str, sentinels: int = SENTINELS) -> C
 
     pieces = F.regexp_extract_all(text, F.lit(f"({special_pieces(sentinels)})"), F.lit(1))
     return F.flatten(F.transform(pieces, piece_ids))
+
+
+#: What gives the ids of :func:`byte_ids`, :func:`letter_ids` or :func:`letter_ids_expr` from the bytes of a text, or of a part of it
+#: with two bytes more on both sides.
+VALUES = {byte_ids: byte_values, letter_ids: letter_values, letter_ids_expr: letter_values}

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanmill.functions.binding import bind, steps
 from spanmill.functions.draws import draw
+from spanmill.functions.encode import VALUES, letter_ids
+
+# Functions go to the executors with their code, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_LENGTH = 65_536  # fixed value: most ids one record may contribute
 GROUP_SIZE = 128  # fixed value: records joined into one token stream
+MARGIN = 2  # bytes; a syllable has three
 
 
 def chunk_start(tokens: Column, *key: Column, length: int = CHUNK_LENGTH, seed: int = 1) -> Column:
@@ -88,11 +98,11 @@ def joined_segments(
     """Chunk selection, concatenation and splitting as one shuffle of the text.
 
     The id count of a text is its byte count, so every record's place in its
-    group's token stream is a running sum over byte counts. A record is then
-    tokenised where it lies and cut at the segment borders of the group; only
-    the pieces of one segment meet. The final grouping has the group in its
-    key, so it runs inside the partitions that the running sum made, and no
-    row ever holds a whole group.
+    group's token stream is a running sum over byte counts. A record's bytes
+    are cut at the segment borders of the group, and only the pieces of one
+    segment meet; they become ids afterwards, a batch at a time. The final
+    grouping has the group in its key, so it runs inside the partitions that
+    the running sum made, and no row ever holds a whole group.
 
     With ``within``, say a source, records are numbered and joined for each of
     its values apart, and no segment holds two. Returns ``within``,
@@ -118,17 +128,49 @@ def joined_segments(
 
     at, count = F.col("_at"), F.col("_len")
     first, last = F.floor(at / length), F.floor((at + count - 1) / length)
+    values = VALUES.get(encode)
+    if values is None:
+        raise ValueError("segments can be cut only where ids lie as bytes lie")
+
+    def pieces(raw: Column) -> Column:
+        """The bytes of each segment, with up to ``MARGIN`` more on both sides, so that a character that is cut is still known."""
 
-    def pieces(ids: Column) -> Column:
         def piece(s: Column) -> Column:
             begin = F.greatest(s * length - at, F.lit(0))
             end = F.least((s + 1) * length - at, count)
-            return F.struct(s.alias("segment"), F.slice(ids, F.col("_skip") + begin + 1, end - begin).alias("ids"))
+            early = F.least(F.col("_skip") + begin, F.lit(MARGIN))
+            cut = F.substring(raw, F.col("_skip") + begin - early + 1, end - begin + early + MARGIN)
+            return F.struct(s.alias("segment"), early.cast("int").alias("early"), (end - begin).cast("int").alias("n"), cut.alias("raw"))
 
         return F.transform(F.sequence(first.cast("int"), last.cast("int")), piece)
 
-    cut = placed.select(*within, "group_id", record_no, F.explode(bind(encode(F.col("_text")), pieces)).alias("_p"))
+    cut = placed.select(*within, "group_id", record_no, F.explode(bind(F.encode("_text", "UTF-8"), pieces)).alias("_p"))
     met = cut.groupBy(*within, "group_id", F.col("_p.segment").alias("segment")).agg(
-        F.array_sort(F.collect_list(F.struct(record_no, F.col("_p.ids").alias("ids")))).alias("_parts")
+        F.array_sort(F.collect_list(F.struct(record_no, F.col("_p.early").alias("early"), F.col("_p.n").alias("n"), F.col("_p.raw").alias("raw"))))
+        .alias("_parts")
     )
-    return met.select(*within, "group_id", "segment", F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids"))
+    kept = [*within, "group_id", "segment"]
+    schema = T.StructType([met.schema[c] for c in kept] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _ids_of_pieces(batch.column(len(kept)), values)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], names=[*kept, "ids"])
+
+    return met.select(*kept, "_parts").mapInArrow(encoded, schema)
+
+
+def _ids_of_pieces(parts: pa.Array, values: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """The ids of each row's pieces, one after the other, without those of the margins."""
+    pieces = parts.flatten()
+    raw = pieces.field("raw").cast(pa.binary())
+    _, offsets, data = raw.buffers()
+    starts = np.frombuffer(offsets, np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None else np.empty(0, np.uint8)
+    ids = values(held)
+    sizes = pieces.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = starts[:-1] - starts[0] + pieces.field("early").to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    ids = ids[np.repeat(begin - before[:-1], sizes) + np.arange(before[-1])]
+    rows = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(before[rows], pa.int32()), pa.array(ids, pa.int32()))

@@ -2,18 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanmill.functions import spans as S
 from spanmill.functions.sequences import append_eos_always, trim_then_eos
+from spanmill.functions.vocabulary import EOS
+
+# Functions go to the executors with their code, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SpanStep = Callable[[Column, list[Column]], Column]
 CutStep = Callable[[Column, Column, S.SentinelScheme], Column]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers from each start on, as many as its size."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def corrupted_batch(
+    ids: pa.Array, spans: pa.Array, scheme: S.SentinelScheme, lengths: tuple[int, int] | None = None
+) -> list[pa.ListArray]:
+    """What :func:`spans.corrupt_inputs` and :func:`spans.corrupt_targets` make of each row, ended."""
+    values = ids.flatten().to_numpy(zero_copy_only=False)
+    sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = spans.flatten()
+    at, keep, drop = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "keep", "drop"))
+    row = np.repeat(np.arange(len(counts)), counts)
+    first = np.cumsum(counts) - counts
+    begin = (np.cumsum(sizes) - sizes)[row] + at - 1
+    number = np.arange(len(row)) - first[row]
+    late = np.zeros(len(counts), np.int64)
+    late[counts > 0] = keep[first[counts > 0]] == 0
+    sides = []
+    for k, (start, n, before, mark, shown) in enumerate((
+        (begin, keep, 0, drop > 0, number), (begin + keep, drop, 1, keep > 0, number - late[row])
+    )):
+        size = n + mark
+        length = np.bincount(row, size, len(counts)).astype(np.int64)
+        place = np.cumsum(size) - size  # of each span's part
+        out = np.empty(int(size.sum()), np.int32)
+        out[_ranges(place + before * mark, n)] = values[_ranges(start, n)]
+        sentinel = place if before else place + n
+        out[sentinel[mark]] = scheme.start + scheme.step * shown[mark]
+        kept = length if lengths is None else np.minimum(length, lengths[k] - 1)
+        ends = np.concatenate([[0], np.cumsum(kept + 1)])
+        whole = np.full(int(ends[-1]), EOS, np.int32)
+        whole[_ranges(ends[:-1], kept)] = out[_ranges(np.cumsum(length) - length, kept)]
+        missing = spans.is_null() if spans.null_count else None  # of rows without ids
+        sides.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole), mask=missing))
+    return sides
+
+
 def with_noise_spans(
     df: DataFrame,
     keys: list[str],
@@ -41,13 +91,25 @@ def corrupt(
 ) -> DataFrame:
     """``inputs`` and ``targets`` of each segment, ended by the end id.
 
-    The three steps are pluggable. With ``lengths`` both sides are trimmed so
-    that the end id fits; without, it is appended to whatever is there.
+    The three steps are pluggable; the usual ones work on a whole Arrow batch.
+    With ``lengths`` both sides are trimmed so that the end id fits; without,
+    it is appended to whatever is there.
     """
     if spans_step is None:
         noised = with_noise_spans(df, keys, ids, seed)
     else:
         noised = df.withColumn("spans", spans_step(F.size(ids), [F.col(k) for k in keys]))
+    if (inputs_step, targets_step) == (S.corrupt_inputs, S.corrupt_targets):
+        kept = [*keys, *keep]
+        sides = [T.StructField(side, T.ArrayType(T.IntegerType())) for side in ("inputs", "targets")]
+        schema = T.StructType([noised.schema[c] for c in kept] + sides)
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = corrupted_batch(*batch.columns[len(kept) :], scheme, lengths)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *both], names=[*kept, "inputs", "targets"])
+
+        return noised.select(*kept, ids, "spans").mapInArrow(pairs, schema)
     end = [append_eos_always] * 2 if lengths is None else [lambda c, n=n: trim_then_eos(c, n) for n in lengths]
     return noised.select(
         *keys,
