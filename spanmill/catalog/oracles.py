@@ -846,3 +846,4 @@ oracle(
         select r.task, r.group_id, r.segment, e.row // r.size as epoch, e.pos
         from every e join ranked r on r.task = e.task and r.rank = e.row % r.size""",
 )
+ORACLES["sql_recipe"] = ORACLES["corrupt_pairs"]

@@ -28,6 +28,7 @@ from spanmill.operators import length_packing as H
 from spanmill.operators import packing as Z
 from spanmill.plans import jobs
 from spanmill.plans.recipes import Registry, registry, run_together
+from spanmill.plans.tables import register_tables
 from spanmill.session import scratch, written
 from spanmill.sources import line_index as N
 from spanmill.sources import literals as V
@@ -755,6 +756,18 @@ def step_callables(spark, sf):
     return text_of(pairs, "inputs", "targets")
 
 
+@query
+def sql_recipe(spark, sf):
+    """A recipe run from SQL text."""
+    register_tables(spark)
+    records = I.numbered_korean(spark, sf).selectExpr("record_no div 128 AS group_id", "record_no", "text")
+    pairs = spark.sql(
+        "SELECT * FROM masked_pairs(TABLE(SELECT * FROM {records}) PARTITION BY group_id ORDER BY (record_no), 'letters_ascending')",
+        records=records,
+    )
+    return text_of(pairs, "inputs", "targets")
+
+
 @query
 def mixture_registry(spark, sf):
     """Rows and epochs that each source adds to the registered mixture, with French in the place of Korean."""
