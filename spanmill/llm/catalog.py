@@ -95,18 +95,29 @@ hit AS (
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+), parts AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, i AS j, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS k
+  FROM item_words, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS t(i) WHERE len(w) > 0
+), met AS (SELECT doc_id, i, n, item, i - j AS diagonal FROM places JOIN parts USING (n, k)),
+stretches AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, diagonal ORDER BY i) AS stretch FROM met),
+verbatim AS (
+  SELECT doc_id, item, min(i) - 1 AS start, max(i) + n - min(i) AS size FROM stretches GROUP BY doc_id, item, diagonal, stretch, n
+), longest AS (
+  SELECT doc_id, item, start, size FROM verbatim QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, start, item) = 1
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  CAST(coalesce(size, 0) AS INTEGER) AS longest_match, CAST(start AS INTEGER) AS longest_start, item AS longest_item
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 
 @query(OP2)
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    contract = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    return found.select(*contract, "longest_match", "longest_start", "longest_item")
 
 
 @query()
