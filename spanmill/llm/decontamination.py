@@ -14,7 +14,7 @@ block is one pass over the documents; with more, each pass adds to what the pass
 
 Defined cases: a null or empty text has no words and is clean. A null item id is named ``null``. Rows with the same item
 id are one item, each row with its own windows. An empty benchmark hits nothing. Repeated documents are judged each by
-itself. Names of other columns do not matter.
+itself. Of several longest matches the one that starts first is given, and of items that share it the least by name. Names of other columns do not matter.
 """
 
 from __future__ import annotations

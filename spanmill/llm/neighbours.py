@@ -11,7 +11,7 @@ is broadcast, so what is sent at once does not grow with the table.
 Equal vectors are one node with the list of their ids, so a vector that a third of all rows share costs no more than one.
 
 Defined cases: rows whose vector is null, zero, or holds a null or a component that is not finite take no part, and
-neither do rows without an id. Vectors are compared with those of the same length only. Repeated rows count once. Fewer
+neither do rows without an id. Of equally near vectors the one with the smaller id comes first. Vectors are compared with those of the same length only. Repeated rows count once. Fewer
 candidates than asked for give fewer answers; an empty table gives none. Other columns are not read.
 """
 
