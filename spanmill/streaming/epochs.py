@@ -2,9 +2,12 @@
 
 :func:`write_shards` deals the rows once to even shards, by the digest of their keys. The stream source ``epochs`` then walks over
 the shards: in every epoch in another order, and the rows of a shard in another order, too. Its offset is the epoch and the number of
-shards read of it, so a micro-batch reads the files of its shards and no others, a replayed one gives the same rows, and
+shards read of it, so a micro-batch reads the folders of its shards and no others, a replayed one gives the same rows, and
 a restarted query goes on where it stopped.
 
+Shards of less than ``ROWS_PER_SHARD`` rows whose names follow each other lie in one folder, ``ROWS_PER_FOLDER`` rows on average, and one task reads those that a micro-batch
+takes of it: files and tasks grow with the rows and not with the number of shards.
+
 The driver keeps the names and sizes of the shards, one row for each; a task sorts one shard at a time, ``rows_per_shard`` on average.
 """
 
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset
 import pyarrow.fs
 from pyspark import cloudpickle
@@ -30,20 +34,25 @@ from spanmill.functions.draws import draw_hash
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_SHARD = 4096
+ROWS_PER_FOLDER = 16_384
 MOST_DIGITS = 4  # at most 65,536 shards
 
 
 def write_shards(df: DataFrame, path: str, keys: list[str], seed: int = 1, rows_per_shard: int = ROWS_PER_SHARD) -> None:
-    """The rows in folders ``rows/_shard=...``, and the size of each shard in ``sizes``."""
+    """The rows in folders ``rows/_folder=...``, each in the order of its shards, and the size and folder of each shard in ``sizes``."""
     total, digits = df.count(), 0
     while digits < MOST_DIGITS and total > rows_per_shard * 16**digits:
         digits += 1
+    folders = 16**digits if rows_per_shard >= ROWS_PER_SHARD else min(16**digits, -(-total // ROWS_PER_FOLDER))
     shard = F.concat(F.lit("s"), F.substring(draw_hash(seed, "shard", *keys), 1, digits))
+    place = F.conv(F.substring("_shard", 2, digits), 16, 10).cast("bigint") if digits else F.lit(0)
+    folder = F.concat(F.lit("f"), F.floor(place * folders / 16**digits))
     spelled = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
-    rows = df.withColumn("_key", spelled).withColumn("_shard", shard)
-    rows.repartition("_shard").write.partitionBy("_shard").parquet(f"{path}/rows")
-    made = df.sparkSession.read.schema("_key string, _shard string").parquet(f"{path}/rows")
-    sizes = made.groupBy(F.col("_shard").alias("shard")).agg(F.count("*").alias("n"))
+    rows = df.withColumn("_key", spelled).withColumn("_shard", shard).withColumn("_folder", folder)
+    dealt = rows.repartition("_folder").sortWithinPartitions("_folder", "_shard")
+    dealt.write.partitionBy("_folder").parquet(f"{path}/rows")
+    made = df.sparkSession.read.schema("_shard string, _folder string").parquet(f"{path}/rows")
+    sizes = made.groupBy(F.col("_shard").alias("shard"), F.col("_folder").alias("folder")).agg(F.count("*").alias("n"))
     sizes.coalesce(1).write.parquet(f"{path}/sizes")
 
 
@@ -56,10 +65,12 @@ class Shard(NamedTuple):
     before: int  # rows of the epoch in the shards before it
 
 
-class ShardOfEpoch(InputPartition):
-    def __init__(self, epoch: int, shard: Shard):
-        super().__init__((epoch, shard))
-        self.epoch, self.shard = epoch, shard
+class ShardsOfEpoch(InputPartition):
+    """Shards of one folder."""
+
+    def __init__(self, epoch: int, folder: str, shards: list[Shard]):
+        super().__init__((epoch, folder, shards))
+        self.epoch, self.folder, self.shards = epoch, folder, shards
 
 
 def _dataset(folder: str) -> pa.dataset.Dataset:
@@ -75,6 +86,7 @@ class EpochReader(DataSourceStreamReader):
         self.epochs = int(options["epochs"]) if "epochs" in options else None
         sizes = _dataset(f"{self.path}/sizes").to_table().to_pylist()
         self.sizes = {row["shard"]: row["n"] for row in sizes}
+        self.folders = {row["shard"]: row["folder"] for row in sizes}
         self.at: tuple[int, int] | None = None
 
     def order(self, epoch: int) -> list[Shard]:
@@ -111,23 +123,35 @@ class EpochReader(DataSourceStreamReader):
             return []
         low, high = (o["epoch"] * len(self.sizes) + o["shard"] for o in (start, end))
         orders: dict[int, list[Shard]] = {}
-        found: list[InputPartition] = []
+        found: dict[tuple[int, str], list[Shard]] = {}
         for epoch, k in (divmod(place, len(self.sizes)) for place in range(low, high)):
             if epoch not in orders:
                 orders = {epoch: self.order(epoch)}
-            found.append(ShardOfEpoch(epoch, orders[epoch][k]))
-        return found
+            shard = orders[epoch][k]
+            found.setdefault((epoch, self.folders[shard.name]), []).append(shard)
+        return [ShardsOfEpoch(*at, shards) for at, shards in found.items()]
 
     def commit(self, end: dict) -> None:
         self._seen(end)
 
-    def read(self, partition: ShardOfEpoch) -> Iterator[pa.RecordBatch]:
-        epoch, (name, before), schema = partition.epoch, partition.shard, to_arrow_schema(self.schema)
-        rows = _dataset(f"{self.path}/rows/_shard={name}").to_table()
-        digests = [_digest(self.seed, "epoch", epoch, key) for key in rows.column("_key").to_pylist()]
-        order = sorted(range(len(digests)), key=lambda k: (digests[k], rows.column("_key")[k].as_py()))
+    def read(self, partition: ShardsOfEpoch) -> Iterator[pa.RecordBatch]:
+        epoch, schema = partition.epoch, to_arrow_schema(self.schema)
+        before = {shard.name: shard.before for shard in partition.shards}
+        columns = [*dict.fromkeys(["_key", "_shard", *[f.name for f in schema if f.name not in ("epoch", "pos")]])]
+        held = _dataset(f"{self.path}/rows/_folder={partition.folder}")
+        rows = held.to_table(columns, filter=pc.field("_shard").isin(list(before)))
+        keys = rows.column("_key").to_pylist()
+        own: dict[str, list[int]] = {}
+        for k, name in enumerate(rows.column("_shard").to_pylist()):
+            own.setdefault(name, []).append(k)
+        order: list[int] = []
+        places: list[int] = []
+        for name, inside in own.items():
+            digests = {k: _digest(self.seed, "epoch", epoch, keys[k]) for k in inside}
+            order += sorted(inside, key=lambda k: (digests[k], keys[k]))
+            places += range(before[name], before[name] + len(inside))
         rows = rows.take(pa.array(order, pa.int64()))
-        made = {"epoch": pa.array([epoch] * len(order), pa.int64()), "pos": pa.array(range(before, before + len(order)), pa.int64())}
+        made = {"epoch": pa.array([epoch] * len(order), pa.int64()), "pos": pa.array(places, pa.int64())}
         columns = [(made[f.name] if f.name in made else rows.column(f.name)).cast(f.type) for f in schema]
         yield from pa.Table.from_arrays(columns, schema=schema).to_batches(max_chunksize=10_000)
 

@@ -87,3 +87,18 @@ def test_shuffle_equals_a_simulation_however_it_is_cut(spark, tmp_path, cuts):
     out = spark.read.parquet(f"{tmp_path}/out")
     assert sorted((r["lane"], r["pos"], r["id"]) for r in out.collect()) == simulated(list(range(250)), 3, 20)
     assert out.select("id", "text").exceptAll(df).count() == 0 and out.count() == 250
+
+
+def test_small_shards_share_folders_and_tasks(spark, tmp_path):
+    O.write_shards(spark.range(900).toDF("id"), f"{tmp_path}/in", ["id"], rows_per_shard=4)
+    reader = O.EpochReader(O.StructType.fromDDL("id bigint, epoch bigint, pos bigint"), {"path": f"{tmp_path}/in", "shardspertrigger": "100"})
+    assert len(reader.sizes) > 200
+    parts = reader.partitions(reader.initialOffset(), {"epoch": 1, "shard": 20})
+    assert len(parts) == 2  # one folder, in two epochs
+    found = [tuple(r.values()) for part in parts for batch in reader.read(part) for r in batch.to_pylist()]
+    order, digest = reader.order(0), lambda e, k: (md5(1, "epoch", e, k), str(k))
+    expected = []
+    for epoch, shards in ((0, order), (1, reader.order(1)[:20])):
+        ids = [k for s in shards for k in sorted((k for k in range(900) if f"s{md5(1, 'shard', k)[:2]}" == s.name), key=lambda k: digest(epoch, k))]
+        expected += [(k, epoch, pos) for pos, k in enumerate(ids)]
+    assert sorted(found, key=lambda r: r[1:]) == expected
