@@ -45,19 +45,23 @@ def _bounds(total: int, parts: int, seed: int, tag: str, *key: object) -> list[i
     return [0, *sorted(cuts), total]
 
 
-def _spans(tokens: int, seed: int, *key: object) -> list[dict]:
-    """As :func:`spanmill.functions.spans.noise_spans`, for values."""
+def _spans(tokens: int, seed: int, *key: object) -> list[tuple[int, int, int]]:
+    """As :func:`spanmill.functions.spans.noise_spans`, for values: where each span starts, what it keeps and what it drops."""
     if tokens == 1:
-        return [{"at": 1, "keep": 1, "drop": 0}]
+        return [(1, 1, 0)]
     noise = int(min(max(round(tokens * S.NOISE_DENSITY), 1), tokens - 1))
     count = min(max(round(noise / S.MEAN_SPAN), 1), tokens - noise)
     kept, dropped = (_bounds(n, count, seed, tag, *key) for n, tag in ((tokens - noise, "keep"), (noise, "drop")))
-    return [
-        {"at": kept[i] + dropped[i] + 1, "keep": kept[i + 1] - kept[i], "drop": dropped[i + 1] - dropped[i]} for i in range(count)
-    ]
+    return [(kept[i] + dropped[i] + 1, kept[i + 1] - kept[i], dropped[i + 1] - dropped[i]) for i in range(count)]
 
 
-@udtf
+def _lists(lists: pa.ListArray) -> Iterator[list[int]]:
+    """The lists as Python's: from numpy, as Arrow makes an object of its own of each id first."""
+    values, ends = lists.values.to_numpy(), lists.offsets.to_pylist()
+    return (values[a:b].tolist() for a, b in zip(ends, ends[1:]))
+
+
+@udtf(useArrow=True)
 class MaskedPairs:
     """``group_id, segment, inputs, targets`` of a recipe, from a table with group_id, record_no and text.
 
@@ -95,10 +99,14 @@ class MaskedPairs:
         if not self.parts:
             return
         ids = np.concatenate(self.parts)
-        pieces = [ids[k : k + SEGMENT] for k in range(0, len(ids), SEGMENT)]
-        spans = [_spans(len(piece), self.seed, self.group, k) for k, piece in enumerate(pieces)]
-        inputs, targets = corrupted_batch(pa.array(pieces), pa.array(spans), RECIPES[self.recipe][1], LENGTHS)
-        for k, (a, b) in enumerate(zip(inputs.to_pylist(), targets.to_pylist())):
+        ends = np.append(np.arange(0, len(ids), SEGMENT), len(ids))
+        spans = [_spans(size, self.seed, self.group, k) for k, size in enumerate(np.diff(ends).tolist())]
+        parts = pa.array(np.cumsum([0, *map(len, spans)]), pa.int32())
+        columns = np.array([span for row in spans for span in row], np.int32).T
+        flat = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["at", "keep", "drop"])
+        pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+        inputs, targets = corrupted_batch(pieces, pa.ListArray.from_arrays(parts, flat), RECIPES[self.recipe][1], LENGTHS)
+        for k, (a, b) in enumerate(zip(_lists(inputs), _lists(targets))):
             yield self.group, k, a, b
 
 

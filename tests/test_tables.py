@@ -45,3 +45,9 @@ def test_wrong_calls(spark, records, call, message):
 def test_empty_table(spark, records):
     grouped = records.withColumn("group_id", F.lit(0).cast("bigint")).limit(0)
     assert spark.sql(CALL % "bytes_ascending", t=grouped).count() == 0
+
+
+def test_examples_come_back_as_arrow(spark, records):
+    grouped = records.selectExpr("record_no div 128 AS group_id", "record_no", "text")
+    plan = spark.sql(CALL % "letters_ascending", t=grouped)._jdf.queryExecution().toString()
+    assert "ArrowEvalPythonUDTF" in plan and "BatchEvalPythonUDTF" not in plan
