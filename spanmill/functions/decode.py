@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanmill.functions.batches import list_sizes, runs
 from spanmill.functions.vocabulary import (
     BYTE_BASE,
     FINAL_BASE,
@@ -97,11 +99,20 @@ def _valid(raw: np.ndarray, bounds: np.ndarray, missing: pa.Array | None) -> pa.
     return texts if missing is None else pa.compute.if_else(missing, pa.scalar(None, pa.string()), texts)
 
 
+def _texts(bare: bool, ids: Column | str) -> Column:
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            for run in runs(list_sizes(lists)):
+                yield _text_of_batch(lists.slice(*run), bare)
+
+    return F.arrow_udf(texts, T.StringType())(ids)
+
+
 def decode_ids(ids: Column | str) -> Column:
     """Token ids to text: letter triples rejoin to syllables, special ids print as literals."""
-    return F.arrow_udf(lambda lists: _text_of_batch(lists), T.StringType())(ids)
+    return _texts(False, ids)
 
 
 def decode_bytes(ids: Column | str) -> Column:
     """As :func:`decode_ids`, but special and sentinel ids leave no trace in the text."""
-    return F.arrow_udf(lambda lists: _text_of_batch(lists, bare=True), T.StringType())(ids)
+    return _texts(True, ids)

@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.functions.batches import text_parts
 from spanmill.functions.encode import special_letters_of_batch
 from spanmill.functions.vocabulary import SENTINEL_BASE, SENTINELS, vocabulary_table
 
@@ -25,8 +26,9 @@ def vocabulary_use(texts: DataFrame, text: str = "text", sentinels: int = SENTIN
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            ids = special_letters_of_batch(batch.column(0), sentinels).flatten().to_numpy()
-            total += np.bincount(ids, minlength=size)
+            for part in text_parts(batch.column(0)):
+                ids = special_letters_of_batch(part, sentinels).flatten().to_numpy()
+                total += np.bincount(ids, minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total)], names=["id", "n"])
 
     used = texts.select(F.col(text).cast("string")).mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
