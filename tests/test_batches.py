@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import batches as B
 from spanmill.functions import decode, encode
+from spanmill.functions import sequences as Q
 from spanmill.operators import corpus as K
 from spanmill.operators import corruption as Z
+from spanmill.operators import packing as P
 from spanmill.operators import vocabulary_use as V
 from spanmill.functions import spans as S
 
@@ -94,3 +96,18 @@ def test_groups_are_joined_one_at_a_time(spark):
     )
     plan = joined._jdf.queryExecution().toString()
     assert "FlatMapGroupsInArrow" in plan and "collect_list" not in plan
+
+
+def test_ids_become_text_and_rows_of_one_width_by_the_batch(spark):
+    rows = [(1, [5, 6, 300, 8], [1]), (2, None, []), (None, [], [2, -100]), (4, [9], None), (4, [3, None], [384])]
+    df = spark.createDataFrame(rows, "id bigint, a array<int>, b array<int>").coalesce(1)
+    spelled = Q.spelled(df, ["a", "b"])
+    assert dict(spelled.dtypes) == {"id": "bigint", "a": "string", "b": "string"}
+    expected = df.select("id", Q.ids_text(F.col("a")).alias("a"), Q.ids_text(F.col("b")).alias("b"))
+    assert spelled.collect() == expected.collect()
+    whole = df.where("id is null or id < 4")
+    padded = P.pad_examples(whole, ["id"], {"a": 3, "b": 2})
+    assert padded.collect() == [(1, [5, 6, 1], [1, 0]), (2, None, [0, 0]), (None, [0, 0, 0], [2, -100])]
+    assert [r["a"] for r in P.pad_examples(whole, ["id"], {"a": 3}, ensure_eos=False).collect()] == [[5, 6, 300], None, [0, 0, 0]]
+    for made in (spelled, padded):
+        assert "MapInArrow" in made._jdf.queryExecution().toString()  # and no step for each id
