@@ -8,16 +8,26 @@ buckets to close half full: at most one pack of a type and class stays open.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from spanmill.functions.batches import as_lists, list_sizes, packed
 from spanmill.operators.numbering import with_shuffled_position
-from spanmill.operators.packing import LENGTHS, SHORTEST, filled
+from spanmill.operators.packing import AT_ONCE, LENGTHS, SHORTEST, filled, first_of, is_packed, size_of
 from spanmill.session import written
 
+# Functions go to the executors with their code, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CLASSES = 4096
 
 
@@ -94,23 +104,25 @@ def pack_by_lengths(
     lengths: dict[str, int] = LENGTHS,
     shortest: dict[str, int] = SHORTEST,
     ensure_eos: bool = True,
+    packed_ids: bool = False,
 ) -> DataFrame:
     """``members`` (the keys of a pack's examples, in their order), and per feature ids, segment numbers (from 1) and positions.
 
     An example that leaves no room even for the shortest other one is a pack of its own and is never shuffled. The others
     move twice: to be ranked in their class, and to their pack. The examples are written once. Which examples share a pack depends on
-    the keys, the seed and the lengths alone.
+    the keys, the seed and the lengths alone. Features may be packed ids; with ``packed_ids`` the results are.
     """
-    trimmed = [F.slice(f, 1, n).alias(f) for f, n in lengths.items()]
+    small = [f for f in lengths if is_packed(df, f)]
+    trimmed = [first_of(f, n, f in small).alias(f) for f, n in lengths.items()]
     full = F.lit(False)
     for f, n in lengths.items():
-        full = full | (F.least(F.size(f), F.lit(n)) + shortest[f] > n)
+        full = full | (F.least(size_of(f, f in small), F.lit(n)) + shortest[f] > n)
     row = F.struct(F.struct(*keys).alias("keys"), *trimmed).alias("_row")
     whole = written(df.select(*keys, full.alias("_full"), row), "examples")
     alone = whole.where("_full").select(F.array("_row").alias("_pack"))
 
     rest = whole.where("NOT _full")
-    sizes = [F.size(F.col("_row")[f]) for f in lengths]
+    sizes = [size_of(F.col("_row")[f], f in small) for f in lengths]
     counts = rest.groupBy(*[s.alias(f"_{k}") for k, s in enumerate(sizes)]).agg(F.count("*").alias("n"))
     histogram, grain = coarsened({tuple(r[:-1]): r[-1] for r in counts.collect()})  # a row for each pair of lengths
     deals = plan(histogram, tuple(lengths.values()))
@@ -126,19 +138,40 @@ def pack_by_lengths(
     met = met.select(F.expr("_from + (_rank - _first) div _times").alias("_number"), "_row")
     together = met.groupBy("_number").agg(F.array_sort(F.collect_list("_row")).alias("_pack")).select("_pack")
     packs = alone.unionByName(together).select(F.transform("_pack", lambda m: m["keys"]).alias("members"), "_pack")
-    return filled(packs, ["members"], lengths, ensure_eos)
+    return filled(packs, ["members"], lengths, ensure_eos, packed_ids)
 
 
 def unpacked(packs: DataFrame, features: list[str]) -> DataFrame:
-    """The examples of packs again: their keys, and the ids of each feature without padding."""
-    one = packs.select(F.posexplode("members").alias("_at", "_keys"), *features, *[f"{f}_segmentation" for f in features])
-
-    def ids(feature: str) -> Column:
-        number, places = F.col("_at") + 1, F.col(f"{feature}_segmentation")
-        n = F.size(F.filter(places, lambda x: x == number))
-        return F.slice(feature, F.greatest(F.array_position(places, number), F.lit(1)).cast("int"), n).alias(feature)
+    """The examples of packs again: their keys, and the ids of each feature without padding, packed if those of the packs are.
 
-    return one.select("_keys.*", *[ids(f) for f in features])
+    The ids of an example lie together, so a pack is cut where its segment number changes, a batch at a time.
+    """
+    keys = packs.schema["members"].dataType.elementType.fields
+    pack = [is_packed(packs, f) for f in features]
+    schema = T.StructType([*keys, *[T.StructField(f, T.BinaryType() if p else T.ArrayType(T.IntegerType())) for f, p in zip(features, pack)]])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                members, *rest = batch.slice(start, AT_ONCE).columns
+                made = [_examples(as_lists(i), as_lists(n), list_sizes(members)) for i, n in zip(rest[::2], rest[1::2])]
+                own = members.flatten()
+                kept = [pc.struct_field(own, k.name) for k in keys]
+                yield pa.RecordBatch.from_arrays([*kept, *[packed(c) if p else c for c, p in zip(made, pack)]], names=schema.names)
+
+    parts = [c for f in features for c in (f, f"{f}_segmentation")]
+    return packs.select("members", *parts).mapInArrow(cut, schema)
+
+
+def _examples(ids: pa.ListArray, numbers: pa.ListArray, members: np.ndarray) -> pa.ListArray:
+    """The ids of each member of each pack, by the segment numbers beside them."""
+    number = numbers.flatten().to_numpy(zero_copy_only=False)
+    first = np.cumsum(members) - members
+    used = number > 0
+    member = np.repeat(first, list_sizes(numbers))[used] + number[used] - 1
+    ends = np.concatenate([[0], np.cumsum(np.bincount(member, minlength=int(members.sum())))])
+    values = ids.flatten().to_numpy(zero_copy_only=False)[used]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
 
 def fill_rate(packs: DataFrame, lengths: dict[str, int] = LENGTHS) -> DataFrame:

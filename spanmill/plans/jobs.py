@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanmill.functions.cleaning import clean_review_text
 from spanmill.functions.draws import draw_hash
 from spanmill.functions.encode import first_ids, letter_ids, special_letter_ids
-from spanmill.functions.sequences import append_eos, attention_mask, ignore_padding, pad_to, truncate_ended
+from spanmill.functions.sequences import append_eos, attention_mask, ignore_padding, pad_to, truncate_ended, with_lists
 from spanmill.functions.spans import LETTERS_ASCENDING, SentinelScheme, span_lengths
 from spanmill.operators.corruption import corrupt
 from spanmill.operators.equations import verify_equations
@@ -40,6 +40,7 @@ def pretraining_corpus(
     pack: bool = True,
     batch: int = BATCH,
     drop_last: bool = False,
+    packed_ids: bool = False,
 ) -> DataFrame:
     """Corpus to packed training rows in batches.
 
@@ -48,7 +49,8 @@ def pretraining_corpus(
     ``total`` examples, as many as there are if not given, are then drawn at
     the sources' rates, put in a seeded order, packed and batched. The order
     is that of a digest, whose leading digits make the packing buckets; the
-    examples are built once and written.
+    examples are built once and written. Ids are packed on the way, and with
+    ``packed_ids`` in the result, if all recipes can give them so.
     """
     named = corpus if rates is None else corpus.where(F.col(source).isin(list(rates)))
     records = with_shuffled_position(named, keys, seed, within=[source], name="record_no")
@@ -59,7 +61,8 @@ def pretraining_corpus(
             by_recipe.setdefault(_recipe(recipe), []).append(name)
     else:
         by_recipe[_recipe(recipes)] = None
-    parts = [r.run(records if names is None else records.where(F.col(SOURCE).isin(names))) for r, names in by_recipe.items()]
+    small = all(r.packing for r in by_recipe)
+    parts = [r.run(records if names is None else records.where(F.col(SOURCE).isin(names)), pack=small) for r, names in by_recipe.items()]
     examples = written(reduce(DataFrame.unionByName, parts), "examples")
 
     place = ["group_id", "segment"]
@@ -70,13 +73,14 @@ def pretraining_corpus(
         mixed = mix_fixed_rates(examples, SOURCE, place, rates, total, seed)
     digits = max(0, math.ceil(math.log(max(total, 1) / BUCKET, 16)))
     ordered = mixed.withColumn("_order", draw_hash(seed, "order", SOURCE, *place, "epoch"))
-    packs = pack_or_pad(ordered, ["_order", SOURCE], F.substring("_order", 1, digits), pack)
+    packs = pack_or_pad(ordered, ["_order", SOURCE], F.substring("_order", 1, digits), pack, packed_ids=small)
     packs = written(packs.withColumn("_block", F.substring("_order", 1, max(digits, 1))), "packs")
     offsets = text_offsets(packs.groupBy("_block").agg(F.count("*").alias("n")), "_block")
     inside = F.row_number().over(Window.partitionBy("_block").orderBy("_order")) - 1
     numbered = packs.withColumn("_inside", inside).join(offsets, "_block")
     numbered = numbered.withColumn("pos", F.col("offset") + F.col("_inside"))
-    return batch_assign(numbered, "pos", batch, drop_last).drop("_order", SOURCE, "_block", "_inside", "offset")
+    batched = batch_assign(numbered, "pos", batch, drop_last).drop("_order", SOURCE, "_block", "_inside", "offset")
+    return batched if packed_ids else with_lists(batched)
 
 
 def mixture_examples(

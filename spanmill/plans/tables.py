@@ -36,25 +36,6 @@ def _draw(seed: int, tag: str, *keys: object) -> int:
     return int(hashlib.md5(":".join(map(str, (seed, tag, *keys))).encode()).hexdigest()[:8], 16)
 
 
-def _bounds(total: int, parts: int, seed: int, tag: str, *key: object) -> list[int]:
-    """As :func:`spanmill.functions.spans.random_bounds`, for values."""
-    cuts: list[int] = []
-    for top in range(total - parts + 1, total):
-        cut = _draw(seed, tag, *key, top) % top + 1
-        cuts.append(top if cut in cuts else cut)
-    return [0, *sorted(cuts), total]
-
-
-def _spans(tokens: int, seed: int, *key: object) -> list[tuple[int, int, int]]:
-    """As :func:`spanmill.functions.spans.noise_spans`, for values: where each span starts, what it keeps and what it drops."""
-    if tokens == 1:
-        return [(1, 1, 0)]
-    noise = int(min(max(round(tokens * S.NOISE_DENSITY), 1), tokens - 1))
-    count = min(max(round(noise / S.MEAN_SPAN), 1), tokens - noise)
-    kept, dropped = (_bounds(n, count, seed, tag, *key) for n, tag in ((tokens - noise, "keep"), (noise, "drop")))
-    return [(kept[i] + dropped[i] + 1, kept[i + 1] - kept[i], dropped[i + 1] - dropped[i]) for i in range(count)]
-
-
 def _lists(lists: pa.ListArray) -> Iterator[list[int]]:
     """The lists as Python's: from numpy, as Arrow makes an object of its own of each id first."""
     values, ends = lists.values.to_numpy(), lists.offsets.to_pylist()
@@ -100,7 +81,7 @@ class MaskedPairs:
             return
         ids = np.concatenate(self.parts)
         ends = np.append(np.arange(0, len(ids), SEGMENT), len(ids))
-        spans = [_spans(size, self.seed, self.group, k) for k, size in enumerate(np.diff(ends).tolist())]
+        spans = [S.drawn_spans(size, self.seed, f":{self.group}:{k}") for k, size in enumerate(np.diff(ends).tolist())]
         parts = pa.array(np.cumsum([0, *map(len, spans)]), pa.int32())
         columns = np.array([span for row in spans for span in row], np.int32).T
         flat = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["at", "keep", "drop"])

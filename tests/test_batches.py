@@ -111,3 +111,51 @@ def test_ids_become_text_and_rows_of_one_width_by_the_batch(spark):
     assert [r["a"] for r in P.pad_examples(whole, ["id"], {"a": 3}, ensure_eos=False).collect()] == [[5, 6, 300], None, [0, 0, 0]]
     for made in (spelled, padded):
         assert "MapInArrow" in made._jdf.queryExecution().toString()  # and no step for each id
+
+
+def test_packed_ids_are_the_same_lists_and_sort_alike():
+    lists = pa.array([[5, 384, 1], None, [], [65535, 0], [5, 1]], pa.list_(pa.int32()))
+    raw = B.packed(lists)
+    assert B.as_lists(raw).to_pylist() == lists.to_pylist() and B.as_lists(lists) is lists
+    assert B.as_lists(raw.slice(1, 3)).to_pylist() == lists.slice(1, 3).to_pylist()
+    assert B.packed(lists.slice(3)).to_pylist() == raw.slice(3).to_pylist() and B.as_lists(raw.slice(5)).to_pylist() == []
+    assert B.list_sizes(raw).tolist() == B.list_sizes(lists).tolist() == [3, 0, 0, 2, 2]
+    held = [k for k in range(5) if k != 1]
+    assert sorted(held, key=lambda k: raw[k].as_py()) == sorted(held, key=lambda k: lists[k].as_py())
+
+
+def test_spans_drawn_by_the_batch_are_those_of_the_expression(spark):
+    rows = [(k, None if k % 7 == 0 else k % 3, n) for k, n in enumerate([None, 0, 1, 2, 3, 7, 20, 133, 400, 1137, 1192, 3000])]
+    df = spark.createDataFrame(rows, "a bigint, b int, n int").select("a", "b", F.expr("transform(sequence(1, n), x -> x % 250)").alias("ids"))
+    df = df.withColumn("ids", F.when(F.col("a") != 1, F.col("ids")).otherwise(F.array().cast("array<int>")))
+    given = Z.corrupt(df, ["a", "b"], S.LETTERS_ASCENDING, seed=3, spans_step=lambda n, key: S.noise_spans(n, *key, seed=3))
+    drawn = Z.corrupt(df, ["a", "b"], S.LETTERS_ASCENDING, seed=3)
+    expected = sorted(map(tuple, given.collect()), key=str)
+    assert sorted(map(tuple, drawn.collect()), key=str) == expected and len(expected) == 12
+    plan = drawn._jdf.queryExecution().toString()
+    assert "md5" not in plan  # one draw costs more there than a segment costs here
+    small = Z.corrupt(df, ["a", "b"], S.LETTERS_ASCENDING, seed=3, pack=True)
+    assert dict(small.dtypes)["inputs"] == "binary"
+    assert sorted(map(tuple, Q.with_lists(small).collect()), key=str) == expected
+
+
+def test_packing_takes_packed_ids(spark):
+    from spanmill.operators import length_packing as H
+
+    docs = spark.range(0, 60, 1, 3).select((F.col("id") % 50).alias("id"), F.repeat(F.lit("가나 b"), (F.col("id") * 7 % 90).cast("int")).alias("text"))
+    pairs = {}
+    for pack in (False, True):
+        cut = K.split_segments(docs.select("id", encode.letter_ids("text", pack).alias("ids")), "ids", 300, ["id"])
+        pairs[pack] = Z.corrupt(cut, ["id", "segment"], S.LETTERS_ASCENDING, pack=pack)
+    rows = lambda df: sorted(map(str, Q.with_lists(df).collect()))
+    keys = ["id", "segment"]
+    for made in (
+        lambda df, **more: P.pack_examples(df, keys, F.floor(F.col("id") / 10), **more),
+        lambda df, **more: P.pad_examples(df, keys, **more),
+        lambda df, **more: H.pack_by_lengths(df, keys, **more),
+        lambda df, **more: H.unpacked(H.pack_by_lengths(df, keys, **more), ["inputs", "targets"]),
+    ):
+        expected = rows(made(pairs[False]))
+        small = made(pairs[True], packed_ids=True)
+        assert dict(small.dtypes)["inputs"] == "binary" and rows(small) == expected
+        assert dict(made(pairs[True]).dtypes)["inputs"] == "array<int>" and rows(made(pairs[True])) == expected
