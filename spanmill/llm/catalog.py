@@ -156,7 +156,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+    return html_extraction.compared(table(spark, sf_dir, "pages"))
 
 
 @query()

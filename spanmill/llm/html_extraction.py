@@ -1,16 +1,17 @@
 """Main text of web pages: landmarks of the markup, and differencing against the nearest page of the same host.
 
 A page becomes lines, one for each block of text. Lines inside navigation, headers, footers, sidebars, notices, adverts,
-forms, comments and other furniture go at once. If the page marks its main part (``article``, ``main`` or that role), the
-lines inside it are the text. If it doesn't, the page is paired with the page of its host whose URL path is nearest, the
-lines of both are aligned by a longest common subsequence, and the lines that both share are deleted. Neighbours that share
+forms, comments and other furniture go at once. Every page is then paired with the page of its host whose URL path is
+nearest, the lines of both are aligned by a longest common subsequence, and the lines that both share are deleted. Neighbours that share
 nearly all of their text, ``NEAR`` of its characters, are addresses of one article: they are one page here, and the walk along the
 paths goes on to the next that differs.
 
-Deleting shared lines inside a marked main part as well would be wrong: two addresses of one article share all of it.
+Last, a page that marks its main part (``article``, ``main`` or that role) is checked by the mark: lines outside it go, and
+shared lines inside it come back, as articles may well have a line in common. Such pages are paired with each other, as the others are.
 
 Pages are dealt out by ranges of (host, path), so a host with a third of all pages is many ranges; the neighbours of the
-first and last page of a range come from a table of one row for each range. Lines travel only for pages without a mark.
+first and last page of a range come from a table of one row for each range. Digests of lines travel for the pairing, and the lines once,
+to the shared places of their page.
 
 Defined cases: a null or empty page, or one without text, gives an empty text. Markup that is cut off is read as far as it
 goes. A null or unreadable URL is a page of the host "". A page that is alone on its host is compared with none, and
@@ -19,6 +20,7 @@ so are its copies and near copies. If the pages before and after are equally nea
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -75,8 +77,14 @@ def marked(attributes: str) -> bool:
 
 def lines(page: str) -> tuple[list[str], list[str], bool]:
     """The lines of the marked main parts, all lines that are no furniture, and whether a main part is marked."""
-    main: list[str] = []
+    free, in_main, has_main = placed_lines(page)
+    return [x for x, here in zip(free, in_main) if here], free, has_main
+
+
+def placed_lines(page: str) -> tuple[list[str], list[bool], bool]:
+    """All lines that are no furniture, which of them are in a marked main part, and whether there is one."""
     free: list[str] = []
+    in_main: list[bool] = []
     block: list[str] = []
     inside = skipped = 0  # elements open around this place that mark main parts, and furniture
     open_elements: list[tuple[str, int]] = []  # (name, 1 main, -1 furniture, 0 neither) since the first that counts
@@ -88,8 +96,7 @@ def lines(page: str) -> tuple[list[str], list[str], bool]:
         block.clear()
         if text and not skipped:
             free.append(text)
-            if inside:
-                main.append(text)
+            in_main.append(inside > 0)
 
     def close(k: int) -> None:
         nonlocal inside, skipped
@@ -140,7 +147,7 @@ def lines(page: str) -> tuple[list[str], list[str], bool]:
     if at < len(page):
         block.append(html.unescape(page[at:]))
     end_block()
-    return main, free, has_main
+    return free, in_main, has_main
 
 
 def _rows(a: list, b: list) -> list[int]:
@@ -213,17 +220,29 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def parsed(pages: DataFrame, page_id: str, url: str, page: str) -> DataFrame:
-    """``page_id, url, host, path, text, lines``; lines only for pages that mark no main part."""
+def _digest(line: str) -> bytes:
+    return hashlib.blake2b(line.encode(), digest_size=16).digest()
+
+
+def parsed(pages: DataFrame, page_id: str, url: str, page: str, whole: bool) -> DataFrame:
+    """``page_id, url, host, path, content`` and the lines of every page.
+
+    With ``whole`` these are texts in ``lines``, and ``in_main`` says which are in a marked main part (null: none is marked).
+    Without, they are digests and ``sizes``. Pages that mark their main part have a host of their own, as they look otherwise;
+    ``content`` is a digest of all lines.
+    """
 
     def start():
         def work(texts: pa.Array, *kept: pa.Array) -> list:
-            text, rest = [], []
+            rows: list[list] = [[], [], [], []]
             for t in texts.to_pylist():
-                main, free, has_main = lines(t)
-                text.append("\n".join(main) if has_main else None)
-                rest.append(None if has_main else free)
-            return [*kept, text, rest]
+                free, in_main, has_main = placed_lines(t)
+                digests = [_digest(x) for x in free]
+                content = hashlib.blake2b(b"".join(digests), digest_size=16).digest()
+                more = (free, in_main if has_main else None) if whole else (digests, [len(x) for x in free])
+                for column, value in zip(rows, (has_main, content, *more)):
+                    column.append(value)
+            return [*kept, *rows]
 
         return work
 
@@ -231,8 +250,10 @@ def parsed(pages: DataFrame, page_id: str, url: str, page: str) -> DataFrame:
     host = F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
     inputs = [text_of(page), F.col(page_id).cast("bigint"), F.col(url).cast("string"), host, path]
-    schema = "page_id bigint, url string, host string, path string, text string, lines array<string>"
-    return map_texts(pages, inputs, schema, start, text=0)
+    kinds = "lines array<string>, in_main array<boolean>" if whole else "lines array<binary>, sizes array<int>"
+    schema = f"page_id bigint, url string, host string, path string, marked boolean, content binary, {kinds}"
+    read = map_texts(pages, inputs, schema, start, text=0)
+    return read.withColumn("host", F.when(F.col("marked"), F.concat("host", F.lit("\n"))).otherwise(F.col("host"))).drop("marked")
 
 
 def beside(pages: DataFrame) -> DataFrame:
@@ -262,29 +283,30 @@ def neighbours(pages: DataFrame) -> DataFrame:
     return beside(pages).select("row", other.alias("other"))
 
 
-def alike(a: list[str], b: list[str]) -> bool:
+def alike(a: list, b: list, a_sizes: list[int], b_sizes: list[int]) -> bool:
     """Whether lines that both have make up ``NEAR`` of the characters of each."""
     both = set(a) & set(b)
-    return all(sum(len(x) for x in own if x in both) >= NEAR * sum(map(len, own)) for own in (a, b))
+    return all(sum(n for x, n in zip(own, sizes) if x in both) >= NEAR * sum(sizes) for own, sizes in ((a, a_sizes), (b, b_sizes)))
 
 
-def folded(heads: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def folded(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The heads without near copies of each other, and ``row, rep`` with the head that stands for each.
 
     Heads that follow each other in the order of addresses are compared; those that are alike become one, and what now
     follows each other is compared again, until no neighbours are alike. Each round has fewer heads.
     """
-    lines_of = lambda row: pages.select(F.col("row").alias(row), F.col("lines").alias(f"{row}_lines"))
+    whole = heads
+    lines_of = lambda row: whole.select(F.col("row").alias(row), F.col("lines").alias(f"{row}_lines"), F.col("sizes").alias(f"{row}_sizes"))
     classes = heads.select("row", F.col("row").alias("rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            yield batch.select([0, 1]).filter(pa.array([alike(x, y) for x, y in pairs], pa.bool_()))
+            sides = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            yield batch.select([0, 1]).filter(pa.array([alike(*side) for side in sides], pa.bool_()))
 
     while True:
         pairs = beside(heads).where("before.host = host").select(F.col("before.row").alias("a"), F.col("row").alias("b"))
-        both = pairs.join(lines_of("a"), "a").join(lines_of("b"), "b").select("a", "b", "a_lines", "b_lines")
+        both = pairs.join(lines_of("a"), "a").join(lines_of("b"), "b").select("a", "b", "a_lines", "b_lines", "a_sizes", "b_sizes")
         links = written(both.mapInArrow(run, "a bigint, b bigint"), "alike")
         if links.isEmpty():
             return heads, classes
@@ -296,35 +318,49 @@ def folded(heads: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def differenced(pages: DataFrame) -> DataFrame:
-    """``row, text`` from ``row, host, path, lines``: the lines that the nearest page does not share.
+    """``host, content, shared`` from ``row, host, path, content, lines, sizes``: for each line, whether the nearest page shares it.
+
+    Only for pages of which it shares a line.
 
     Addresses of a host with the same lines, or nearly the same, are one page here, so none is compared with its own copy.
     """
-    pages = pages.withColumn("content", F.xxhash64("lines"))
     own = ["host", "content"]
-    heads = pages.where(F.size("lines") > 0).groupBy(*own).agg(F.min(F.struct("path", "row")).alias("head"))
-    heads = written(heads.select(*own, "head.path", "head.row"), "distinct")
-    distinct, classes = folded(heads, pages)
-    partner = classes.join(neighbours(distinct).withColumnRenamed("row", "rep"), "rep").drop("rep")
-    pairs = heads.select(*own, "row").join(partner, "row").drop("row")
-    others = pages.select(F.col("row").alias("other"), F.col("lines").alias("other_lines"))
-    both = pages.join(pairs, own, "left").join(others, "other", "left").select("row", "lines", "other_lines")
+    first = F.min(F.struct("path", "row")).alias("head")
+    heads = pages.where(F.size("lines") > 0).groupBy(*own).agg(first, F.any_value("lines").alias("lines"), F.any_value("sizes").alias("sizes"))
+    heads = written(heads.select(*own, "head.path", "head.row", "lines", "sizes"), "distinct")
+    distinct, classes = folded(heads)
+    partner = classes.join(neighbours(distinct).withColumnRenamed("row", "rep"), "rep").drop("rep").where("other is not null")
+    others = heads.select(F.col("row").alias("other"), F.col("lines").alias("other_lines"))
+    both = heads.join(partner, "row").join(others, "other").select(*own, "lines", "other_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = []
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                gone = shared(a, b or [])
-                text.append("\n".join(x for k, x in enumerate(a) if k not in gone))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["row", "text"])
-
-    return both.mapInArrow(run, "row bigint, text string")
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            masks = []
+            for a, b in pairs:
+                places = shared(a, b)
+                masks.append([k in places for k in range(len(a))] if places else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(masks, pa.list_(pa.bool_()))], names=[*own, "shared"])
+
+    return both.mapInArrow(run, "host string, content binary, shared array<boolean>").where("shared is not null")
+
+
+def compared(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """As :func:`main_text`, with ``n_shared``, the lines that the nearest page has too, and ``n_kept``, those of them that a mark keeps."""
+    read = written(parsed(pages, page_id, url, page, False).withColumn("row", F.monotonically_increasing_id()), "pages")
+    found = written(differenced(read), "shared")
+    both = parsed(pages, page_id, url, page, True).join(found, ["host", "content"], "left")
+    here = lambda k: F.coalesce(F.get("shared", k), F.lit(False))
+    differs = F.filter("lines", lambda x, k: ~here(k))
+    stays = F.filter("lines", lambda x, k: F.get("in_main", k))
+    text = F.array_join(F.when(F.col("in_main").isNull(), differs).otherwise(stays), "\n")
+    common = F.coalesce(F.size(F.filter("shared", lambda x: x)), F.lit(0))
+    kept = F.coalesce(F.size(F.filter("in_main", lambda x, k: x & here(k))), F.lit(0))
+    return both.select(
+        "page_id", "url", text.alias("text"), common.cast("bigint").alias("n_shared"), kept.cast("bigint").alias("n_kept")
+    ).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every page."""
-    read = written(parsed(pages, page_id, url, page), "pages").withColumn("row", F.monotonically_increasing_id())
-    done = read.where("lines is null").select("page_id", "url", "text")
-    rest = written(read.where("lines is not null").select("row", "page_id", "url", "host", "path", "lines"), "unmarked")
-    texts = rest.select("row", "page_id", "url").join(differenced(rest), "row").select("page_id", "url", "text")
-    return done.union(texts).withColumn("n_chars", F.length("text").cast("bigint"))
+    return compared(pages, page_id, url, page).select("page_id", "url", "text", "n_chars")

@@ -109,3 +109,14 @@ def test_query_gives_the_article_of_every_page(spark):
         title, *own = r["text"].split("\n")
         assert own == want and " ".join(" ".join(want).split()).startswith(title.rstrip("&")[:40])
         assert r["n_chars"] == len(r["text"])
+
+
+def test_pages_with_marks_are_differenced_too(spark):
+    def page(k: int) -> str:
+        return f"<div>Our site</div><article><p>own {k}</p><p>Refrain</p></article><div>tail {k}</div>"
+
+    rows = [(k, f"http://h.example/{k:02d}", page(k), "", "", "") for k in range(12)] + [(50, "http://h.example/99", "<p>Our site</p><p>bare</p>", "", "", "")]
+    found = {r["page_id"]: r for r in he.compared(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    for k in range(12):  # the top line and the refrain are shared; the mark keeps the refrain, and takes the tail away
+        assert (found[k]["text"], found[k]["n_shared"], found[k]["n_kept"]) == (f"own {k}\nRefrain", 2, 1)
+    assert (found[50]["text"], found[50]["n_shared"], found[50]["n_kept"]) == ("Our site\nbare", 0, 0)
