@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,19 @@ def test_null_and_none(spark):
     assert found == {"None": "null", None: None, "[None]": "[null]"}
 
 
+def test_lines_of_one_shape_are_read_once(monkeypatch):
+    values = ["'it\\'s'", '"\\u00e9%s"', "b'x'", "None", "-2.50", "0", "1e999", "r'\\d'", "'\\x4'", "'a' 'b'", "'a' b'c'", "'}'", "1 2"]
+    lines = [f"{{'id': ({k}, 'n{k}'), 'set': {{2, 1}}, 'v': [{values[k % 13]}], 'w': 'x' \"{k}\"}}" if k % 5 else f"{{'id': {k}, 'call': f()}}" for k in range(4000)]
+    lines += ["{'a': 1, 'a': %d}" % k for k in range(300)] + ["{%d: 0, 7: 1}" % (k % 9) for k in range(300)]
+    wanted = [V._json_of(line) for line in lines]
+    calls, read = [], ast.literal_eval
+    monkeypatch.setattr(ast, "literal_eval", lambda text: calls.append(text) or read(text))
+    assert V._json_of_batch(pa.array([*lines, None])).to_pylist() == [*wanted, None]
+    assert wanted[1] == '{"id": [1, "n1"], "set": [1, 2], "v": ["é%s"], "w": "x1"}' and wanted[0] is None
+    # Lines with a value that none is, or whose keys repeat, go through the reader; the others as often as there are shapes.
+    assert len(calls) < 1800
+
+
 @pytest.mark.parametrize("partitions", [1, 4])
 def test_keys_chosen_at_run_time(spark, partitions):
     lines = ['{"q": "a", "use": "$.q"}', '{"body": {"q": 5}, "use": "$.body.q"}', '{"parts": ["x", {"y": null}], "use": "$.gone"}', '{"q": [1]}', "7", None, "bad"]
