@@ -11,6 +11,9 @@ pair by pair. Its fingerprints enter a finer grid, of the fingerprints themselve
 Whoever shares a point there differs by two bits at most, and whoever differs by two bits at most shares one; all of a
 point are linked to its least, so the work is in proportion to the fingerprints and no pair is left out.
 
+Cells and points are tables of up to 33 and 65 rows for each fingerprint, which Spark takes for as small as that of the
+fingerprints, so these joins and those of all documents are told to be merges: no such table is ever broadcast.
+
 Exact copies have one fingerprint and are one row from then on.
 
 Defined cases: a null text counts as empty. A text without words has fingerprint zero and is linked like any other.
@@ -94,7 +97,7 @@ def links(distinct: DataFrame, differing: int = 2) -> DataFrame:
     tasks = max(1, distinct.count() >> 14)  # each row becomes many: more tasks than the size of the table suggests
     rows = distinct.select("bits").repartition(tasks).select("bits", F.explode(_cells(F.col("bits"))).alias("cell"))
     met = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    rows = written(rows.join(met, "cell"), "cells")
+    rows = written(rows.join(met.hint("merge"), "cell"), "cells")
 
     group = rows.where(F.col("n") <= CELL).groupBy("cell").agg(F.array_sort(F.collect_list("bits")).alias("all"))
     pairs = group.select(
@@ -108,7 +111,7 @@ def links(distinct: DataFrame, differing: int = 2) -> DataFrame:
     dense = rows.where(F.col("n") > CELL).select("bits").distinct()
     points = dense.select("bits", F.explode(_flips(F.col("bits"))).alias("point"))
     first = points.groupBy("point").agg(F.min("bits").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = points.join(first, "point").where("bits <> a").select("a", F.col("bits").alias("b"))
+    stars = points.join(first.hint("merge"), "point").where("bits <> a").select("a", F.col("bits").alias("b"))
     return pairs.union(stars).distinct()
 
 
@@ -117,12 +120,12 @@ def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     marked = written(fingerprints(docs, doc_id, text), "fingerprints")
     classes = written(marked.groupBy("bits").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(links(classes.select("bits")))
-    rooted = classes.join(roots, classes["bits"] == roots["node"], "left").select(
+    rooted = classes.join(roots.hint("merge"), classes["bits"] == roots["node"], "left").select(
         "bits", "first", F.coalesce("root", "bits").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_bits = rooted.join(named, "root").select("bits", "root", "component_id")
-    return marked.join(by_bits, "bits").select("doc_id", "bits", "version", "root", "component_id")
+    return marked.join(by_bits.hint("merge"), "bits").select("doc_id", "bits", "version", "root", "component_id")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanmill.llm import simhash
 from spanmill.llm.components import components
+from spanmill.session import written
 
 SCHEMA = "doc_id bigint, text string, bits string, component_id string"
 
@@ -119,6 +120,25 @@ def test_links_connect_what_comparing_all_connects(spark, monkeypatch, cell):
     assert sorted(mine.values()) == sorted(other.values())
 
 
+def test_what_each_fingerprint_becomes_is_never_broadcast(spark, monkeypatch):
+    """Spark takes cells and points, many for each fingerprint, for as small as the table of fingerprints."""
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(simhash, "CELL", 2)
+    docs = written(spark.createDataFrame([(k, f"text {k % 30}", "", "") for k in range(90)], SCHEMA), "docs")
+    plans["grouped"] = simhash.grouped(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    distinct = written(spark.range(50).selectExpr("id AS bits"), "distinct")
+    plans["links"] = simhash.links(distinct)._jdf.queryExecution().executedPlan().toString()
+    for name, joined in (("cells", r"\[cell#"), ("links", r"\[point#"), ("grouped", r"\[bits#")):
+        assert re.search(f"SortMergeJoin {joined}", plans[name]), name
+        assert not re.search(f"BroadcastHashJoin {joined}", plans[name]), name
+
+
 @pytest.mark.parametrize("chunk", [3, 1 << 18])
 def test_components_of_odd_links(spark, monkeypatch, chunk):
     monkeypatch.setattr("spanmill.llm.components.CHUNK", chunk)
