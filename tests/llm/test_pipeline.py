@@ -53,3 +53,19 @@ def test_run_is_the_stages(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert 0 < rows.count() == rows.select("doc_id").distinct().count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "decontamination", "secret_scan", "byte_bpe"]
+
+
+def test_no_table_of_cells_is_broadcast_in_a_stage(spark, monkeypatch):
+    from spanmill.llm import simhash
+
+    plans, written = {}, simhash.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    rows = [(k, f"one text in {k % 9} forms", "en", "web", 20) for k in range(40)]
+    docs = written(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "docs")
+    assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").count() == 9
+    assert re.search(r"SortMergeJoin \[cell#", plans["cells"]) and "Broadcast" not in plans["cells"]
