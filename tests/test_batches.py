@@ -154,6 +154,40 @@ def test_spans_drawn_by_the_batch_are_those_of_the_expression(spark):
     assert sorted(map(tuple, Q.with_lists(small).collect()), key=str) == expected
 
 
+def test_draws_of_a_batch_are_those_of_each_row():
+    keys = [f":{37 * k}:{k}" for k in range(40)] + [":" + "é" * 22, ":" + "x" * 46, ":" + "y" * 200, ""]
+    tokens = np.array([0, 1, 2, 3, 9, 10, 11, 99, 100, 101, 1000, 1193, *range(12, 40), 1193, 1193, 101, 2500])
+    for density, mean_span, seed in ((0.15, 20.0, 1), (0.5, 3.0, 5), (0.9, 1.0, 2), (0.5, 1.0, 7)):
+        found = S.spans_of_batch(tokens, keys, seed, density, mean_span).to_pylist()
+        given = [S.drawn_spans(n, seed, key, density, mean_span) for n, key in zip(tokens.tolist(), keys, strict=True)]
+        assert [None if row is None else [tuple(span.values()) for span in row] for row in found] == [row or None for row in given]
+
+
+def test_steps_on_the_other_side_and_denser_noise_work_by_the_batch(spark):
+    rows = [(k, None if k % 4 == 1 else k, n) for k, n in enumerate([None, 0, 1, 2, 3, 20, 400, 1193])]
+    df = spark.createDataFrame(rows, "a bigint, b int, n int").select("a", "b", F.expr("transform(sequence(1, n), x -> x % 250)").alias("ids"))
+    df = df.withColumn("ids", F.when(F.col("a") != 1, F.col("ids")).otherwise(F.array().cast("array<int>")))
+    denser = S.NoiseSpans(seed=5, density=0.5, mean_span=3.0)
+    spanned = df.withColumn("spans", S.noise_spans(F.size("ids"), F.col("a"), F.col("b"), seed=5, density=0.5, mean_span=3.0))
+    by_hand = {"i": S.corrupt_inputs, "t": S.corrupt_targets}
+    plain = lambda c, end: Q.append_eos_always(c) if end is None else Q.trim_then_eos(c, end)
+    for sides, lengths in (("ti", None), ("ti", (9, 30)), ("ii", (9, 30)), ("it", None)):
+        ends = lengths or (None, None)
+        expected = spanned.select("a", "b", *[plain(by_hand[k](F.col("ids"), F.col("spans"), S.BYTES_ASCENDING), n) for k, n in zip(sides, ends)])
+        for spans_step in (denser, lambda n, key: denser(n, key)):
+            steps = {"inputs_step": by_hand[sides[0]], "targets_step": by_hand[sides[1]], "spans_step": spans_step}
+            made = Z.corrupt(df, ["a", "b"], S.BYTES_ASCENDING, lengths=lengths, **steps)
+            plan = made._jdf.queryExecution().toString()
+            assert "MapInArrow" in plan and ("md5" in plan) == (spans_step is not denser)
+            assert sorted(map(tuple, made.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+
+
+def test_packed_bytes_are_those_of_the_expression(spark):
+    df = spark.createDataFrame([(1, "a é 가"), (2, ""), (3, None), (4, "\x00\U0001f600" * 300)], "id bigint, text string")
+    small = Q.with_lists(df.select("id", encode.byte_ids("text", pack=True).alias("ids")))
+    assert sorted(small.collect()) == sorted(df.select("id", encode.byte_ids("text").alias("ids")).collect())
+
+
 def test_packing_takes_packed_ids(spark):
     from spanmill.operators import length_packing as H
 
